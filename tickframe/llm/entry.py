@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tickframe.llm import mixing
+from tickframe.llm import chat, mixing, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_warc": warc.op2_warc,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 SQL = {
     "op1_mix_sources": mixing.SQL,
+    "op2_warc": warc.SQL,
+    "op10_chat_format": chat.SQL,
 }
