@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickframe.llm import chat, decontam, jaccard, mixing, simhash, token_counts, warc
+from tickframe.llm import chat, decontam, jaccard, mixing, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_warc": warc.op2_warc,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_decontaminate": decontam.op4_decontaminate,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_format": chat.op10_chat_format,
