@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickframe.llm import chat, decontam, jaccard, mixing, pii, simhash, suffix_dedup, token_counts, warc
+from tickframe.llm import chat, decontam, jaccard, mixing, pii, quality, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_quality": quality.op7_quality,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_format": chat.op10_chat_format,
