@@ -99,14 +99,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     most = bounds["most"] if bounds["most"] is not None else 0
     cuts = sorted(set(bounds["cuts"] or []) - {most}, reverse=True)
     at = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    bucket = F.size(F.filter(at, lambda c: F.col("order") <= c))
+    # the number of cuts that are not below; without a lambda, so that Spark sees that two uses are the same shuffle
+    bucket = len(cuts) + 1 - F.array_position(F.sort_array(F.array_append(at, F.col("order"))), F.col("order"))
     place = lambda b, extra: F.struct(b.cast("int").alias("bucket"), F.lit(extra).alias("extra"))
     copies = F.array(
         place(bucket, False),
         F.when(F.array_contains(at, F.col("order")), place(bucket - 1, True)),
         F.when(F.col("order") == most, place(F.lit(len(cuts)), True)),
     )
-    dealt = rows.withColumn("to", F.explode(F.filter(copies, lambda c: c.isNotNull()))).select("*", "to.bucket", "to.extra")
+    dealt = rows.withColumn("to", F.explode(copies)).where("to is not null and to.bucket is not null").select("*", "to.bucket", "to.extra")
     in_order = Window.partitionBy("bucket").orderBy("extra", F.col("order").desc(), "text")
     return dealt.select(
         "bucket",
@@ -129,8 +130,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), size - moved), F.substring("next_text", F.lit(1), moved))
     docs = docs.withColumn("edited", F.when(F.col("extra"), F.lit("")).otherwise(edited))
     keys = ["bucket", "place"]
-    both = docs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprints(both.select(*keys, "x.kind", "x.text"), [*keys, "kind"])
+    # both branches use the same columns, so that Spark shuffles the texts once
+    both = docs.select(*keys, "doc_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    prints = fingerprints(both.select(*keys, "doc_id", "x.kind", "x.text"), [*keys, "doc_id", "kind"])
     wide = prints.groupBy(*keys).agg(
         F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("own"),
         F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited"),
