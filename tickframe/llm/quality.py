@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import table
 
 #: Labelled and unlabelled documents that are fetched for fitting, at most.
-LABELLED, POOL = 6_000, 3_000
+LABELLED, POOL = 5_000, 2_500
 ROUNDS = 3
 #: Share of the pool that each view hands to the other in a round.
 HANDED = 0.1
@@ -74,13 +74,10 @@ def meta_features(source: str | None, lang: str | None, text: str) -> list[int]:
 
 
 class View:
-    """Rows of slots with weights, as one long array, and logistic weights for them."""
+    """Rows of slots with weights, as one long array each, and logistic weights for them."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
-        self.starts = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int64)
-        self.slots = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-        self.size = size
+    def __init__(self, starts: np.ndarray, slots: np.ndarray, values: np.ndarray, size: int):
+        self.starts, self.slots, self.values, self.size = starts, slots, values, size
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = self.starts[chosen + 1] - self.starts[chosen]
@@ -232,13 +229,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
         return None
     kind = next(t for n, t in docs.dtypes if n == key)
     chosen = F.broadcast(spark.createDataFrame(rows, f"`{key}` {kind}, target double, part long"))
-    found = _features(docs.select(key, "text", "source", "lang").join(chosen, key)).toPandas()
-    found = found.sort_values(["part"], kind="stable").drop_duplicates("part")
-    first, then = found[found["target"].notna()], found[found["target"].isna()]
-    rows = [*first.itertuples(), *then.itertuples()]
-    text = View([(np.asarray(r.slots, np.int64), np.asarray(r.weights, np.float64)) for r in rows], TEXT_SIZE)
-    meta = View([(np.asarray(r.meta, np.int64), np.ones(len(r.meta))) for r in rows], META_SIZE)
-    return cotrain(text, meta, first["target"].to_numpy(np.float64), len(then))
+    found = _features(docs.select(key, "text", "source", "lang").join(chosen, key)).toArrow()
+    # labelled ones first, then by hash; rows that repeat an id once
+    target, part = found.column("target").to_numpy(), found.column("part").to_numpy()
+    order = np.lexsort((part, np.isnan(target)))
+    order = order[np.concatenate([[True], np.diff(part[order]) != 0])]
+    found, target = found.take(order), target[order]
+    lists = lambda c: found.column(c).combine_chunks()
+    starts = lists("slots").offsets.to_numpy()
+    text = View(starts - starts[0], lists("slots").flatten().to_numpy(), lists("weights").flatten().to_numpy(), TEXT_SIZE)
+    slots = lists("meta").flatten().to_numpy()
+    starts = lists("meta").offsets.to_numpy()
+    meta = View(starts - starts[0], slots, np.ones(len(slots), np.float32), META_SIZE)
+    del found
+    labels_ = target[~np.isnan(target)]
+    return cotrain(text, meta, labels_, len(target) - len(labels_))
 
 
 def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
