@@ -249,4 +249,4 @@ SQL: dict[str, str] = {
       e AS (SELECT *, coalesce(lag(first_seq + block_count) OVER (PARTITION BY stock ORDER BY arrival), 0) AS expected FROM p)
       SELECT stock, arrival, first_seq, block_count, expected::BIGINT AS expected, (first_seq - expected)::BIGINT AS gap FROM e""",
 }
-SQL["stream_inside"] = SQL["inside_reported"]
+SQL["order_fold"] = SQL["order_updates"]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions.prices import level_to_price, penny_price, price_levels, price_text, time_text
-from tickframe.operators import book, delay, histogram, inside, orders, packets, rates
+from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates
 from tickframe.plans.oracle import HOUR, MINUTE
 from tickframe.sources.adapters import feed
 
@@ -345,19 +344,26 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def stream_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """inside_reported through the streaming fold, run over everything that is there."""
-    from tickframe.streaming.live import inside_from
-
-    name = f"inside_{uuid.uuid4().hex}"
-    return inside_from(spark, updates(spark, sf_dir), name)
+def order_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_updates through the fold that follows arbitrary references."""
+    rows = feed(spark, sf_dir).select(
+        F.col("stock").alias("stock_locate"),
+        F.col("seq").alias("msgcnt"),
+        "type",
+        F.coalesce("ref", F.when(F.col("type") == "A", F.col("order_id"))).alias("order_id"),
+        F.when(F.col("type") == "U", F.col("order_id")).alias("new_order_id"),
+        "side",
+        "shares",
+        "px",
+    )
+    return fold.fold(rows).select("seq", "stock", "side", "px", "qty", "is_replace", "old_px", "old_qty")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     f.__name__.rstrip("_"): f
     for f in (
-        feed_messages, type_counts, trades, symbols, order_updates, skipped_messages, order_remaining, replace_chain, level_quantity,
+        feed_messages, type_counts, trades, symbols, order_updates, order_fold, skipped_messages, order_remaining, replace_chain, level_quantity,
         level_intervals, bbo, worst_quotes, level_counts, inside_reported, inside_lines, inside_changed, published_inside, top_n_levels,
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, hist_integer, hist_cuts, hist_mean,
