@@ -56,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in as many partitions as its rows need, at least 8 and never more than it has; for tables that may be small."""
+    return df.coalesce(max(8, -(-rows // each)))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most the given number of (narrow) rows, else df itself.
 

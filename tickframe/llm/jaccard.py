@@ -8,8 +8,8 @@ Equal sets are one. What is left goes through these steps:
    first n - ceil(t n) + 1 of each. This holds under any order that all sets share, so the prefixes under
    three orders (by frequency and hash, by frequency and another hash, by the frequency's power of two and
    a third hash) are kept, and a candidate pair must meet in all three.
-3. Each set is first compared with the smallest id that it meets, which joins large groups of near copies
-   without their pairs; then all candidates that are still in different components are compared.
+3. In a few rounds each set is compared with three sets that it meets, chosen by hash, which joins large groups
+   of near copies without their pairs; then all candidates that are still in different components are compared.
 
 Every candidate is verified on its whole sets. The links' components come from tickframe.llm.graph.
 """
@@ -17,18 +17,24 @@ Every candidate is verified on its whole sets. The links' components come from t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import partitions, small, table, written
+from tickframe.llm.common import fitted, partitions, small, table, written
 from tickframe.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 75
 #: Tokens that one task of the count takes, about; 15 bytes each.
 RANGE_TOKENS = 2_000_000
+#: Rounds in which documents that are apart are compared with STARS others that they meet; the rounds end
+#: early when the pairs left are at most FEW times the rows, or two rounds found no link.
+TURNS = 3
+STARS = 3
+FEW = 2
 #: Ids up to this many (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
 #: Distinct words whose hashes a task keeps.
@@ -261,27 +267,84 @@ def links(docs: DataFrame, total: int, key: str = "doc_id", text: str = "text",
         ),
         "candidates",
     )
-    members = cands.select("doc", "n", F.explode("p1").alias("token"))
-    # each document with the smallest one that it meets
-    groups = members.groupBy("token").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader < last").drop("last")
-    met = members.join(groups, "token").where("leader < doc").groupBy("doc").agg(F.min("leader").alias("leader"))
-    first = written(_verified(met.select(F.col("leader").alias("a"), F.col("doc").alias("b")), cands, percent), "first-links")
-    known = written(components(first), "first-components")
-    # then all that meet and are still apart
-    placed = members.join(known, members["doc"] == known["node"], "left").select(
-        "token", "doc", "n", F.coalesce("component", "doc").alias("component")
+    at = F.posexplode("p1").alias("at", "token")
+    members = cands.select("doc", "n", (F.col("n") - F.octet_length("tokens") / 8).cast("int").alias("alone"), at).select(
+        "doc", "n", "alone", (F.col("alone") + F.col("at")).alias("at"), "token"
     )
-    apart = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    open_ = written(placed.join(apart, "token"), "open")
+    rows = members.count()
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    known = docs.sparkSession.createDataFrame([], "node long, component long")
+    misses = 0
+    for turn in range(TURNS):
+        open_ = _apart(members, known, rows)
+        rows, pairs = _pairs(open_, rows)
+        if pairs <= FEW * rows or misses == 2:
+            break
+        # who is together stays together: later turns only see what is open now
+        members = open_.select("doc", "n", "alone", "at", "token")
+        stars = [_star(open_, salt, percent) for salt in range(STARS * turn, STARS * (turn + 1))]
+        chosen = written(fitted(_union(stars).distinct(), rows), "star-pairs")
+        new = written(fitted(_verified(chosen, cands, percent), rows), "star-links")
+        if new.isEmpty():
+            misses += 1
+            continue
+        misses = 0
+        found = found.unionByName(new)
+        known = components(found)
+    else:
+        open_ = _apart(members, known, rows)
+    # a pair is made at the first token of its prefixes that both have
+    firsts = F.slice("p1", F.lit(1), F.col("at") - F.col("alone"))
+    open_ = written(fitted(open_.join(cands.select("doc", "p1"), "doc").select(*open_.columns, firsts.alias("before")), rows), "open-prefixes")
     left, right = open_.alias("l"), open_.alias("r")
+    # what two sets of these sizes have in common at least, and at most if this token is their first in common
+    needed = (F.col("l.n") + F.col("r.n")) * percent / (100 + percent)
+    possible = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
     meets = (
         (F.col("l.token") == F.col("r.token"))
         & (F.col("l.doc") < F.col("r.doc"))
         & (F.col("l.component") != F.col("r.component"))
         & (F.greatest("l.n", "r.n") * percent <= F.least("l.n", "r.n") * 100)
+        & (possible >= needed)
+        & ~F.arrays_overlap("l.before", "r.before")
+    )
+    pairs = left.join(right, meets).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
+    return found.unionByName(_verified(pairs, cands, percent))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _apart(members: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """Members with their component, of the tokens where several components meet; a written table."""
+    placed = members.join(known, members["doc"] == known["node"], "left").select(
+        "token", "doc", "n", "alone", "at", F.coalesce("component", "doc").alias("component")
+    )
+    placed = written(fitted(placed, rows), "placed")
+    several = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    return written(fitted(placed.join(several, "token"), rows), "open")
+
+
+def _pairs(open_: DataFrame, rows: int) -> tuple[int, int]:
+    """Rows, and pairs of rows that share a token across components."""
+    sizes = open_.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    sums = fitted(sizes.groupBy("token").agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("own")), rows)
+    row = sums.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _star(open_: DataFrame, salt: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents with one that they meet in another component, the first of a token by a salted hash."""
+    order = lambda *c: F.xxhash64(*c, F.lit(salt))
+    leaders = open_.groupBy("token").agg(
+        F.min(F.struct(order("doc").alias("h"), F.col("doc").alias("leader"), F.col("component").alias("other"), F.col("n").alias("m"))).alias("x")
+    )
+    met = open_.join(leaders.select("token", "x.leader", "x.other", "x.m"), "token").where(
+        (F.col("component") != F.col("other")) & (F.greatest("n", "m") * percent <= F.least("n", "m") * 100)
     )
-    pairs = left.join(right, meets).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
-    return first.unionByName(_verified(pairs, cands, percent))
+    one = met.groupBy("doc").agg(F.min(F.struct(order("leader").alias("h"), "leader")).alias("x"))
+    return one.select(F.least("doc", "x.leader").alias("a"), F.greatest("doc", "x.leader").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -302,7 +365,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     copies = written(rows.where("doc <> first").select(F.col("doc").alias(key)), "copies")
     total = rows.where("doc = first").agg(F.sum("n")).first()[0] or 0
     own = docs.where(F.col(key).isNotNull()).join(small(copies, BROADCAST_IDS), key, "left_anti")
-    known = written(components(links(own, total, key, text, size, percent)), "components")
+    known = components(links(own, total, key, text, size, percent))
     return rows.join(small(known, BROADCAST_IDS), rows["first"] == known["node"], "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id")
     )
