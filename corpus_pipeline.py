@@ -39,6 +39,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, with copy, from 1."""
+    docs = docs.drop("copy")
     taken = mixing.mix(docs, word_count(F.col("text"))).where("mix_copies > 0")
     return taken.withColumn("copy", F.explode(F.expr("sequence(1, mix_copies)"))).select(*docs.columns, "copy")
 

@@ -80,8 +80,9 @@ def mix(
 
     Null, empty and very long texts count as any other; a document without words can be taken too, which
     adds nothing to the size. Rows that repeat a key share the key's coin. An empty table gives an empty
-    result. Columns of docs keep their names; the new ones start with mix_.
+    result. Columns of docs stay, but for such as have the names of the new ones.
     """
+    docs = docs.drop("mix_size", "mix_source", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
     targets = written(source_targets(docs, size, weights, budget, cap, source), "mix-sources").select(
         F.col("source").alias("mix_source"),
         F.col("source_size").alias("mix_source_size"),

@@ -302,12 +302,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: i
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
-def find(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, field: Field, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with base and spans: arrays of kind, start, end (code points, end exclusive), by start and kind.
 
     spans holds the base spans and what the field adds where no base span is. Null and empty texts have none.
-    All columns of docs stay; rows may repeat.
+    Columns of docs stay, but for such as have the names of the new ones; rows may repeat.
     """
+    docs = docs.drop(base, spans)
     weights = docs.sparkSession.sparkContext.broadcast(field.weights)
 
     def scan(batches: Iterator) -> Iterator:
@@ -316,7 +317,7 @@ def find(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
         own = Field(weights.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            base, spans = [], []
+            patterns, all_ = [], []
             for value in batch.column(text):
                 t = value.as_py() or ""
                 found, _ = base_spans(t)
@@ -328,12 +329,12 @@ def find(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
                         if not any(x < s[1] and y > s[0] for x, y, _ in inside):
                             more.append(s)
                 as_rows = lambda x: [{"kind": k, "start": s, "end": e} for s, e, k in x]
-                base.append(as_rows(found))
-                spans.append(as_rows(sorted([*found, *more], key=lambda s: (s[0], KINDS.index(s[2])))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(spans, kind)], [*batch.schema.names, "base", "spans"])
+                patterns.append(as_rows(found))
+                all_.append(as_rows(sorted([*found, *more], key=lambda s: (s[0], KINDS.index(s[2])))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(patterns, kind), pa.array(all_, kind)], [*batch.schema.names, base, spans])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(scan, f"{fields}, base {_SPANS}, spans {_SPANS}")
+    return docs.mapInArrow(scan, f"{fields}, `{base}` {_SPANS}, `{spans}` {_SPANS}")
 
 
 def _room(text: str, island: list[tuple[int, int]], inside: list[tuple[int, int, str]]) -> bool:
@@ -346,10 +347,10 @@ def _room(text: str, island: list[tuple[int, int]], inside: list[tuple[int, int,
     return "@" in rest or rest.count(".") > 2 or len(_DIGITS.findall(rest)) > 8
 
 
-def mask(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; a span that overlaps an earlier one joins it."""
     columns = docs.columns
-    found = find(docs, field, key, text)
+    found = find(docs, field, text, "pii_base", "pii_spans")
     step = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("last"))
 
     def grow(s, x):
@@ -359,9 +360,9 @@ def mask(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
             F.when(x["start"] >= s["last"], fresh).otherwise(s["done"]).alias("done"), F.greatest(s["last"], x["end"]).alias("last")
         )
 
-    done = F.aggregate("spans", step, grow)
+    done = F.aggregate("pii_spans", step, grow)
     rest = F.substring(F.col(text), (done["last"] + 1).cast("int"), F.length(text))
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.concat(done["done"], rest)).otherwise(F.col(text))).select(*columns)
+    return found.withColumn(text, F.when(F.size("pii_spans") > 0, F.concat(done["done"], rest)).otherwise(F.col(text))).select(*columns)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,8 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
 def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with p_text, p_meta, score and keep. Null and empty texts are documents without words.
 
-    Without a classifier every document scores 1 and stays. All columns stay, rows may repeat.
+    Without a classifier every document scores 1 and stays. Columns of docs stay, but for such as have the
+    names of the new ones; rows may repeat.
     """
+    docs = docs.drop("p_text", "p_meta", "score", "keep")
     if classifier is None:
         one = F.lit(1.0)
         return docs.withColumns({"p_text": one, "p_meta": one, "score": one, "keep": F.lit(True)})

@@ -213,8 +213,9 @@ def with_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0
     Of rows with equal payloads of at least least_bytes bytes the one with the smallest key is a response
     and the others revisit it. Rows that repeat the smallest key are all responses; null keys come after
     all others. Only payloads that occur more than once are looked up; payloads themselves are never
-    shuffled when those groups are few.
+    shuffled when those groups are few. Columns of pages with the names of the new ones are replaced.
     """
+    pages = pages.drop("payload_bytes", "payload_digest", "record_type", "refers_to", "first_key")
     sized = pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn(
         "payload_digest", base32_sha1(F.col(payload))
     )
