@@ -409,3 +409,19 @@ def test_pipeline(spark, data):
             assert not [1 for r in out.collect() if pii.base_spans(r.text or "")[0]]
         docs = out
     assert corpus_pipeline.run(spark, data).count() == seen[-1][1]
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "one two three four five x@y.com", "en", "s"), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.lit("x") for c in "score keep base spans mix_size mix_target key doc n a b print component node token cut edited".split()})
+    assert quality.score(docs, None).count() == pii.find(docs, pii.Field()).count() == mixing.mix(docs, word_count(F.col("text"))).count() == 2
+    assert pii.mask(docs, pii.Field()).columns == docs.columns
+    assert jaccard.near_duplicates(docs).count() == suffix_dedup.remove_repeats(docs).count() == simhash.with_next(docs).where("not extra").count() == 2
+    benchmark = spark.createDataFrame([("a", "one two")], "item_id string, text string").withColumn("key", F.lit(1))
+    assert decontam.decontaminate(docs, benchmark).count() == 1
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("p").alias("payload"), F.lit(1).alias("refers_to"))
+    assert warc.with_revisits(pages, "page_id", "payload").where("record_type = 'revisit'").count() == 1
+    empty = warc.with_revisits(pages.limit(0), "page_id", "payload")
+    warc.write_warc(empty, f"file://{tmp_path}/e", "page_id", "url", "payload")
+    assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
