@@ -1,0 +1 @@
+"""Market-data analytics and corpus operators on Spark."""

@@ -1 +1 @@
-
+"""Operators over messages, orders, books, samples and series."""

@@ -1 +1 @@
-
+"""Sources and adapters."""
