@@ -269,3 +269,19 @@ def test_oracle(spark, data, con, name):
 
 def test_all_types_decode(spark, data):
     assert queries.decode_roundtrip(spark, data).count() == len(ITCH)
+
+
+def test_feed_statistics(spark, tmp_path):
+    from tickframe.operators.statistics import feed_statistics, write_csv
+
+    rows = [("a", k, 1_000 * k, 5) for k in range(10)] + [("b", 10, 9_500, 7)]
+    names = spark.createDataFrame([("a",), ("c",)], "Name string")
+    df = feed_statistics(spark.createDataFrame(rows, "s string, o long, t long, p long"), "s", "t", "o", "p", names)
+    got = {r.Name: r for r in df.collect()}
+    assert {k: r.NSamples for k, r in got.items()} == {"a": 10, "b": 1, "c": 0, "__aggregate__": 11}
+    assert (got["a"].minArrival, got["a"].maxArrival, got["__aggregate__"].minArrival, got["b"].minArrival) == (1000, 1000, 500, None)
+    assert (got["a"].minProcessing, got["__aggregate__"].maxProcessing, got["c"].maxRatePerSec) == (5, 7, None)
+    assert got["a"].maxRatePerMSec == 9 and len(df.columns) == 2 + 27 + 12 + 10
+    write_csv(df, str(tmp_path / "csv"))
+    lines = [x for f in sorted((tmp_path / "csv").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("Name,")]
+    assert [x.split(",")[0] for x in lines] == ["a", "b", "c", "__aggregate__"] and len({x.count(",") for x in lines}) == 1

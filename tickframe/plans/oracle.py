@@ -199,6 +199,9 @@ SQL: dict[str, str] = {
     "depth_stats_by_symbol": BOOK + ", " + quantile_sql(
         f"SELECT stock, d AS v, 1 AS w FROM (SELECT stock, {_DEPTH} AS d FROM book) UNION ALL SELECT NULL, {_DEPTH}, 1 FROM book", "stock", DEPTH, 0, 5000
     ),
+    "depth_statistics": BOOK + ", stats AS (WITH " + quantile_sql(
+        f"SELECT stock::VARCHAR AS stock, {_DEPTH} AS v, 1 AS w FROM book UNION ALL SELECT '__aggregate__', {_DEPTH}, 1 FROM book", "stock", DEPTH, 0, 5000
+    ) + ") SELECT stock AS Name, n AS NSamples, " + ", ".join(f"{c} AS {c}BookDepth" for c in ("min", *DEPTH, "max")) + " FROM stats",
     "interarrival": FEED + """SELECT stock, seq, gap FROM (SELECT stock, seq, ts_us - lag(ts_us) OVER (PARTITION BY stock ORDER BY seq) AS gap FROM feed)
       WHERE gap IS NOT NULL""",
     "rate_steps": FEED + ", " + _steps("stock", 24 * HOUR, HOUR) + " SELECT stock, tick, rate, weight FROM steps",

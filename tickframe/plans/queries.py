@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions.prices import level_to_price, penny_price, price_levels, price_text, time_text
-from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates
+from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates, statistics
 from tickframe.plans.oracle import HOUR, MINUTE
 from tickframe.sources.adapters import feed
 
@@ -197,6 +197,16 @@ def feed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(rate_steps(spark, sf_dir), ["stock"], "rate", histogram.IntegerRange(0, 100), histogram.DEPTH, "weight")
 
 
+def feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics row of each security and of everything; the tests hold it against a plain count."""
+    rows = feed(spark, sf_dir).withColumn("ns", F.col("ts_us") * 1000)
+    return statistics.feed_statistics(rows, "stock", "ns", "seq")
+
+
+def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.depth_statistics(book_depth(spark, sf_dir), "stock", "depth", 5000)
+
+
 def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("q"))
 
@@ -366,7 +376,7 @@ QUERIES: dict[str, Query] = {
         feed_messages, type_counts, trades, symbols, order_updates, order_fold, skipped_messages, order_remaining, replace_chain, level_quantity,
         level_intervals, bbo, worst_quotes, level_counts, inside_reported, inside_lines, inside_changed, published_inside, top_n_levels,
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
-        interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, hist_integer, hist_cuts, hist_mean,
+        interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
         time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip,
     )
