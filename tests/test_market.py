@@ -285,3 +285,12 @@ def test_feed_statistics(spark, tmp_path):
     write_csv(df, str(tmp_path / "csv"))
     lines = [x for f in sorted((tmp_path / "csv").glob("part-*")) for x in f.read_text().splitlines() if not x.startswith("Name,")]
     assert [x.split(",")[0] for x in lines] == ["a", "b", "c", "__aggregate__"] and len({x.count(",") for x in lines}) == 1
+
+
+def test_subtypes(spark):
+    row = {"stock_locate": 0, "tracking_number": 0, "ts_ns": 0, "stock": "X", "market_category": "G", "financial_status": "N", "round_lot": 100}
+    row |= {"roundlots_only": "N", "classification": "O", "authenticity": "P", "short_sale": "N", "ipo": "N", "luld_tier": "1", "etp": "N"}
+    made = [encode.itch("R", **row, etp_leverage=0, inverse="N", subtype=x) for x in ("C", "WC", "ZZ")]
+    raw = spark.createDataFrame([(k, bytearray(m)) for k, m in enumerate(made)], "k int, payload binary")
+    assert [r.ok for r in flags(raw).orderBy("k").collect()] == [True, True, False]
+    assert [r.subtype for r in view(raw, "R", "PERMISSIVE").orderBy("k").collect()] == ["C", "WC"]

@@ -20,7 +20,7 @@ def value(payload: Column, field: Field, big: bool = True) -> Column:
     if field.kind in ("u", "price4", "price8"):
         return unsigned(payload, field.offset, field.width, big)
     text = F.decode(F.substring(payload, field.offset + 1, field.width), "ISO-8859-1")
-    return F.substring_index(text, " ", 1) if field.kind == "text" else text
+    return F.substring_index(text, " ", 1) if field.kind in ("text", "word") else text
 
 
 def valid(payload: Column, fields: tuple[Field, ...], shortest: int) -> Column:
@@ -28,7 +28,7 @@ def valid(payload: Column, fields: tuple[Field, ...], shortest: int) -> Column:
     tests = F.octet_length(payload) >= max(shortest, size(fields))
     for f in fields:
         if f.codes:
-            tests = tests & value(payload, f).isin(*list(f.codes))
+            tests = tests & value(payload, f).isin(*(f.codes.split() if f.kind == "word" else f.codes))
     return F.coalesce(tests, F.lit(False))
 
 

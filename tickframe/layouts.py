@@ -1,7 +1,7 @@
 """Message layouts: for each protocol and type the fields, as name, offset, width, kind.
 
 Kinds: u (unsigned number), price4 and price8 (raw prices), char (one code of a set), text (cut at the first
-space), fixed (kept whole). Values of this module are fixed by the protocols.
+space), word (text that is one of a set), fixed (kept whole). Values of this module are fixed by the protocols.
 """
 
 from __future__ import annotations
@@ -31,12 +31,18 @@ ITCH_HEADER = _fields("stock_locate 1 2 u; tracking_number 3 2 u; ts_ns 5 6 u")
 ITCH_HEADER_SIZE = 11
 DAY_NS = 86_400_000_000_000
 
+# The issue subtypes of the stock directory.
+SUBTYPES = (
+    "A AI B C CB CF CL CM CO CT CU CW D E EG EI EM EN EU F FI FL G I IR IW IX J L LL M MF ML MT N O P PP PU Q R RC RF RT RU S SC SI T TC TU "
+    "U V W WC X Y Z"
+)
 # Offsets, widths and code sets of the 19 types.
 ITCH = {
     "S": _fields("event_code 11 1 char 'OSQMEC'"),
     "R": _fields(
         "stock 11 8 text; market_category 19 1 char 'QGSNAPZ '; financial_status 20 1 char 'DEQSGHJKCN '; round_lot 21 4 u;"
-        "roundlots_only 25 1 char 'YN'; classification 26 1 char 'ABCFILNOPQRSTUVW'; subtype 27 2 text; authenticity 29 1 char 'PT';"
+        "roundlots_only 25 1 char 'YN'; classification 26 1 char 'ABCFILNOPQRSTUVW'; subtype 27 2 word " + SUBTYPES + ";"
+        " authenticity 29 1 char 'PT';"
         "short_sale 30 1 char 'YN '; ipo 31 1 char 'YN '; luld_tier 32 1 char '12 '; etp 33 1 char 'YN '; etp_leverage 34 4 u;"
         "inverse 38 1 char 'YN'"
     ),
