@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that go to a Python worker at once. Spark's default lets long texts make batches of 64 MB.
+BATCH_BYTES, _DEFAULT_BYTES = "8m", "67108864b"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; Arrow batches get BATCH_BYTES unless the session sets a size of its own."""
+    if spark.conf.get(_BYTES, _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

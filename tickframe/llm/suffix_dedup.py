@@ -12,6 +12,8 @@ bytes is judged at one picked position, with those equal to it. Ranks double in
 3. For what is open, the first position of each pair, the bytes are fetched and every string of 100 gets a
    rank of its own, past the threshold; all but the first of a rank repeat.
 
+In each round what repeats within a task's own block is settled there, so that no rank is hot after the shuffle.
+
 Rows between rounds are blocks of numbers, dealt by hash range or by bucket of documents.
 """
 
@@ -32,10 +34,12 @@ THRESHOLD = 100
 GRAM = 32
 #: Bytes that a task ranks at once; longer texts are ranked in overlapping pieces.
 STEP = 400_000
+#: Positions that a task holds before it hands them on.
+HELD = 200_000
 _BITS = np.uint64(20)
 _MASK = np.uint64((1 << 20) - 1)
-#: Bytes of text per hash range, about 30,000 positions a megabyte.
-RANGE_BYTES = 32 << 20
+#: Bytes of text per hash range, about 30,000 positions a megabyte; small ranges keep blocks and groups small.
+RANGE_BYTES = 8 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -124,11 +128,27 @@ def _blocks(key: np.ndarray, columns: dict[str, np.ndarray], name: str):
     return pa.table(arrays, [name, *columns])
 
 
+def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of rows sorted by what is equal, then by place: those that come later than the first of their group, which new marks."""
+    leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return (doc != doc[leader]) | (start != start[leader])
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of starts, those that follow on one another in a document as one."""
+    order = np.lexsort((start, doc))
+    doc, start, last = doc[order], start[order], last[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > last[:-1] + 1)
+    heads = np.flatnonzero(new)
+    return doc[heads], start[heads], last[np.append(heads[1:], len(doc)) - 1] if len(doc) else last
+
+
 def _joined(group, **kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in kinds.items()]
 
 
-_RANKED = "r int, id binary, start binary, offset binary, more binary, rank binary, covered binary"
+_RANKED = "r int, id binary, start binary, offset binary, more binary, rank binary, covered binary, last binary"
 _MARKS = "b int, id binary, start binary, last binary, offset binary, rank binary"
 
 
@@ -136,14 +156,28 @@ def _ranked(docs: DataFrame, bits: int, threshold: int, gram: int) -> DataFrame:
     """Round 1, before the shuffle: picked positions by range of their rank."""
 
     def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         held: list[tuple] = []
 
         def out():
             i, s, o, m, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            order = np.lexsort((s, i, c, h))
+            i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+            again = _later(new, i, s)
+            # what repeats within this block is settled here, and so are hot ranks
+            doc, start, last = _merged(i[again], s[again], s[again] + m[again])
+            i, s, o, m, h, c = (x[~again] for x in (i, s, o, m, h, c))
             r = (h >> np.uint64(64 - bits)).astype(np.int64)
             columns = {"id": i, "start": s, "offset": o.astype(np.uint8), "more": m.astype(np.uint8), "rank": h, "covered": c}
-            return _blocks(r, columns, "r").to_batches()
+            ranked = _blocks(r, columns, "r")
+            settled = _blocks(_bucket(doc, 1 << bits), {"id": doc, "start": start, "last": last}, "r")
+            none = pa.nulls(len(settled), pa.binary())
+            rows = [settled["r"], settled["id"], settled["start"], *[none] * 4, settled["last"]]
+            ranked = ranked.append_column("last", pa.nulls(len(ranked), pa.binary()))
+            return pa.concat_tables([ranked, pa.table(rows, ranked.column_names)]).to_batches()
 
         for ids, bases, parts in _pieces(batches, threshold):
             lengths = np.array([len(p) for p in parts])
@@ -151,7 +185,7 @@ def _ranked(docs: DataFrame, bits: int, threshold: int, gram: int) -> DataFrame:
             first, offset, more, rank, covered = positions(np.concatenate(parts), starts, lengths, threshold, gram)
             of = np.searchsorted(starts, first, "right") - 1
             held.append((np.array(ids, np.int64)[of], first - starts[of] + np.array(bases)[of], offset, more, rank, covered))
-            if sum(len(x[0]) for x in held) > 400_000:
+            if sum(len(x[0]) for x in held) > HELD:
                 yield from out()
         if held:
             yield from out()
@@ -165,112 +199,101 @@ def _pair_round(buckets: int):
     def rerank(group):
         import pyarrow as pa
 
-        i, s, o, m, h, c = _joined(group, id="<i8", start="<i8", offset="u1", more="u1", rank="<u8", covered="<u8")
+        import pyarrow.compute as pc
+
+        ranked = group.filter(pc.is_valid(group.column("rank")))
+        early = _merged(*_joined(group.filter(pc.is_null(group.column("rank"))), id="<i8", start="<i8", last="<i8"))
+        i, s, o, m, h, c = _joined(ranked, id="<i8", start="<i8", offset="u1", more="u1", rank="<u8", covered="<u8")
         order = np.lexsort((s, i, c, h))
         i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
-        new_rank = np.concatenate([[True], h[1:] != h[:-1]])
-        new_pair = new_rank | np.concatenate([[True], c[1:] != c[:-1]])
-        heads = np.flatnonzero(new_pair)
-        leader = heads[np.cumsum(new_pair) - 1]
-        repeated = (i != i[leader]) | (s != s[leader])
+        new_rank, new_pair = np.ones(len(h), bool), np.ones(len(h), bool)
+        new_rank[1:] = h[1:] != h[:-1]
+        new_pair[1:] = new_rank[1:] | (c[1:] != c[:-1])
+        repeated = _later(new_pair, i, s)
         tops = np.flatnonzero(new_rank)
-        pairs = np.add.reduceat(new_pair.astype(np.int64), tops)
+        pairs = np.add.reduceat(new_pair.astype(np.int64), tops) if len(tops) else tops
         several = np.repeat(pairs, np.diff(np.append(tops, len(h)))) > 1
         open_ = new_pair & several
-        out = []
-        for chosen, ranked in ((repeated, False), (open_, True)):
-            if not chosen.any():
-                continue
-            columns = {"id": i[chosen], "start": s[chosen], "last": s[chosen] + m[chosen]}
-            found = _blocks(_bucket(i[chosen], buckets), columns | {"offset": o[chosen], "rank": h[chosen]}, "b")
-            if not ranked:
-                none = pa.nulls(len(found), pa.binary())
-                found = found.set_column(4, "offset", none).set_column(5, "rank", none)
-            out.append(found)
-        kinds = pa.schema([("b", pa.int32()), *((n, pa.binary()) for n in ("id", "start", "last", "offset", "rank"))])
-        return pa.concat_tables(out) if out else kinds.empty_table()
+        doc, start, last = (np.concatenate(x) for x in zip(early, (i[repeated], s[repeated], (s + m)[repeated]), strict=True))
+        settled = _blocks(_bucket(doc, buckets), {"id": doc, "start": start, "last": last}, "b")
+        none = pa.nulls(len(settled), pa.binary())
+        settled = settled.append_column("offset", none).append_column("rank", none)
+        columns = {"id": i[open_], "start": s[open_], "last": (s + m)[open_], "offset": o[open_], "rank": h[open_]}
+        return pa.concat_tables([settled, _blocks(_bucket(i[open_], buckets), columns, "b")])
 
     return rerank
 
 
+_LATE = "r int, id binary, start binary, rank binary, last binary"
+
+
 def _fetch(bits: int, threshold: int):
-    """Round 3: the bytes of open positions, by range of rank."""
+    """Round 3, before the shuffle: a rank for every string of an open position, by range of that rank."""
 
     def fetch(marks, texts):
         import pyarrow as pa
 
         i, s, e, o, h = _joined(marks, id="<i8", start="<i8", last="<i8", offset="u1", rank="<u8")
-        order = np.argsort(i, kind="stable")
+        order = np.lexsort((s, i))
         i, s, e, o, h = (x[order] for x in (i, s, e, o, h))
         cut: list[bytes] = [b""] * len(i)
-        done = set()
         for key, value in zip(texts.column("doc").to_pylist(), texts.column("text"), strict=True):
             a, b = np.searchsorted(i, [key, key + 1]) if key is not None else (0, 0)
-            if a == b or key in done:
-                continue
-            done.add(key)
-            raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            for k in range(a, b):
-                cut[k] = raw[s[k] : e[k] + threshold]
-        r = (h >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(r, kind="stable")
-        i, s, e, o, h, r = (x[order] for x in (i, s, e, o, h, r))
-        edges = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(r))
-        rows = [
-            {"r": int(r[a]), "id": i[a:b].tobytes(), "start": s[a:b].tobytes(), "last": e[a:b].tobytes(), "offset": o[a:b].tobytes(),
-             "rank": h[a:b].tobytes(), "bytes": b"".join(cut[k] for k in order[a:b])}
-            for a, b in zip(edges, ends, strict=False)
-        ]
-        names = ("id", "start", "last", "offset", "rank", "bytes")
-        return pa.Table.from_pylist(rows, pa.schema([("r", pa.int32()), *((n, pa.binary()) for n in names)]))
+            if a < b and not cut[a]:
+                raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                for k in range(a, b):
+                    cut[k] = raw[s[k] : e[k] + threshold]
+        ranks, rows, steps = [], [], []
+        each = STEP // (3 * threshold)
+        for k in range(0, len(i), each):
+            part = slice(k, min(len(i), k + each))
+            sizes = e[part] - s[part] + threshold
+            prefix = _prefix(np.frombuffer(b"".join(cut[part]), np.uint8))
+            counts = sizes - threshold + 1
+            of = np.repeat(np.arange(len(sizes)), counts)
+            j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = (np.cumsum(sizes) - sizes)[of] + j
+            # equal strings have equal picks at equal offsets
+            pick = h[part][of] + mix((o[part][of] - j).astype(np.uint64))
+            ranks.append(mix(_span(prefix, at, at + threshold, at) ^ mix(pick)))
+            rows.append((k + of).astype(np.int32))
+            steps.append(j.astype(np.uint8))
+        row, step = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(steps or [np.zeros(0, np.uint8)])
+        rank = np.concatenate(ranks or [np.zeros(0, np.uint64)])
+        order = np.argsort(rank, kind="stable")  # rows are in order of place, and so stay equal ranks
+        rank, row, step = rank[order], row[order], step[order]
+        new = np.ones(len(rank), bool)
+        new[1:] = rank[1:] != rank[:-1]
+        doc, start = i[row], s[row] + step
+        again = _later(new, doc, start)
+        settled = _merged(doc[again], start[again], start[again])
+        rank, doc, start = rank[~again], doc[~again], start[~again]
+        order = np.lexsort((start, doc))
+        ranked = _blocks((rank[order] >> np.uint64(64 - bits)).astype(np.int64), {"id": doc[order], "start": start[order], "rank": rank[order]}, "r")
+        ranked = ranked.append_column("last", pa.nulls(len(ranked), pa.binary()))
+        early = _blocks(_bucket(settled[0], 1 << bits), dict(zip(("id", "start", "last"), settled, strict=True)), "r")
+        early = pa.table([early["r"], early["id"], early["start"], pa.nulls(len(early), pa.binary()), early["last"]], ranked.column_names)
+        return pa.concat_tables([ranked, early])
 
     return fetch
 
 
-def _past_threshold(buckets: int, threshold: int):
-    """Round 3: every string of open positions gets a rank of its own; all but the first of a rank repeat."""
+def _past_threshold(buckets: int):
+    """Round 3: of strings of one rank all but the first repeat."""
 
     def rerank(group):
-        import pyarrow as pa
-
-        i, s, e, o, h = _joined(group, id="<i8", start="<i8", last="<i8", offset="u1", rank="<u8")
-        (data,) = _joined(group, bytes="u1")
-        sizes = e - s + threshold
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        row, step, rank = [], [], []
-        k = 0
-        while k < len(i):
-            end = max(k + 1, int(np.searchsorted(begin, begin[k] + STEP, "right")) - 1)
-            prefix = _prefix(data[begin[k] : begin[end]])
-            counts = e[k:end] - s[k:end] + 1
-            of = np.repeat(np.arange(k, end), counts)
-            j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = begin[of] - begin[k] + j
-            row.append(of)
-            step.append(j)
-            rank.append(_span(prefix, at, at + threshold, at))
-            k = end
-        empty = pa.schema([("b", pa.int32()), *((n, pa.binary()) for n in ("id", "start", "last"))]).empty_table()
-        if not row:
-            return empty
-        row, step, rank = np.concatenate(row), np.concatenate(step), np.concatenate(rank)
-        doc, start = i[row], s[row] + step
-        place = mix(h[row] + mix((o[row] - step).astype(np.uint64)))
-        order = np.lexsort((start, doc, rank, place))
-        doc, start, rank, place = doc[order], start[order], rank[order], place[order]
-        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (place[1:] != place[:-1])])
-        leader = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = (doc != doc[leader]) | (start != start[leader])
+        import pyarrow.compute as pc
+
+        early = _joined(group.filter(pc.is_null(group.column("rank"))), id="<i8", start="<i8", last="<i8")
+        doc, start, rank = _joined(group.filter(pc.is_valid(group.column("rank"))), id="<i8", start="<i8", rank="<u8")
+        order = np.lexsort((start, doc, rank))
+        doc, start, rank = doc[order], start[order], rank[order]
+        new = np.ones(len(rank), bool)
+        new[1:] = rank[1:] != rank[:-1]
+        again = _later(new, doc, start)
         doc, start = doc[again], start[again]
-        if not len(doc):
-            return empty
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (np.diff(start) > 1)])
-        heads = np.flatnonzero(new)
-        last = start[np.append(heads[1:], len(doc)) - 1]
-        return _blocks(_bucket(doc[heads], buckets), {"id": doc[heads], "start": start[heads], "last": last}, "b")
+        doc, start, last = _merged(*(np.concatenate(x) for x in zip(early, (doc, start, start), strict=True)))
+        return _blocks(_bucket(doc, buckets), {"id": doc, "start": start, "last": last}, "b")
 
     return rerank
 
@@ -323,7 +346,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    buckets = 2 * n  # blocks between two rounds are ranges times buckets, about twice as many as a shuffle of n partitions has
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(1, min(24, (max(total // RANGE_BYTES, n) - 1).bit_length()))
@@ -332,8 +355,8 @@ def remove_repeats(
     # the same shuffle of texts serves round 3 and the end
     texts = _with_bucket(docs, buckets)
     open_ = marks.where("rank is not null").groupBy("b").cogroup(texts.groupBy("b"))
-    fetched = open_.applyInArrow(_fetch(bits, threshold), "r int, id binary, start binary, last binary, offset binary, rank binary, bytes binary")
-    late = fetched.groupBy("r").applyInArrow(_past_threshold(buckets, threshold), "b int, id binary, start binary, last binary")
+    fetched = open_.applyInArrow(_fetch(bits, threshold), _LATE)
+    late = fetched.groupBy("r").applyInArrow(_past_threshold(buckets), "b int, id binary, start binary, last binary")
     settled = marks.where("rank is null").select("b", "id", "start", "last").unionByName(late)
     schema = "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
     out = settled.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_finish(threshold, keep_text), schema)
