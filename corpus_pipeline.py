@@ -15,7 +15,8 @@ from tickframe.llm.common import small, table, word_count, written
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps. It is fitted on the labelled ones among docs."""
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels))
     return scored.where("keep").select(*docs.columns)
 
 

@@ -20,6 +20,8 @@ from tickframe.llm.common import small, table, written
 WINDOW = 10
 #: Benchmark text that travels to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Training text in a shard, about; a longer text is a shard of its own.
+SHARD_BYTES = 8 << 20
 #: Up to this many ids of affected documents are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Words of ASCII letters and digits and all other non-ASCII bytes; A-Z becomes lower case, the rest a space.
@@ -95,16 +97,15 @@ def search(text: np.ndarray, array: np.ndarray, keys: np.ndarray) -> tuple[np.nd
 def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text, and its matches: rows of (text, item, start in the text, start in the item, words)."""
     none = np.zeros((0, 5), np.int64)
-    split = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
+    get = probe.vocabulary.get
+    # words become numbers text by text, so that only one text's words are in memory; a 0 ends each text
+    parts = [np.array([*(get(w, 0) for w in words(t)), 0], np.int32) for t in texts]
+    sizes = np.array([len(p) - 1 for p in parts], np.int64)
     if not probe.windows or not sizes.sum():
         return sizes, none
-    get = probe.vocabulary.get
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    ids = np.zeros(starts[-1], np.int32)
-    for start, own in zip(starts, split, strict=False):
-        ids[start : start + len(own)] = [get(w, 0) for w in own]
-    del split
+    ids = np.concatenate(parts)
+    del parts
     edges = np.diff(np.concatenate([[0], (ids > 0).astype(np.int8), [0]]))
     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     long = last - first >= probe.shortest
@@ -140,6 +141,19 @@ def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, np
     return sizes, np.stack([doc[heads], item[heads], place[heads] - starts[doc[heads]], start[heads], length], 1)
 
 
+def shards(batch) -> Iterator:
+    """Parts of an Arrow batch of about SHARD_BYTES of text each."""
+    import pyarrow.compute as pc
+
+    ends = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SHARD_BYTES)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def search_documents(docs: DataFrame, items: list[tuple[str, str | None]], key: str, text: str, window: int = WINDOW) -> DataFrame:
     """key, n_words and matches (item_id, doc_start, item_start, n_words: longest verbatim matches, in words) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(Probe(items, window))
@@ -149,7 +163,7 @@ def search_documents(docs: DataFrame, items: list[tuple[str, str | None]], key:
 
         kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())]))
         probe = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in shards(whole)):
             sizes, found = shard_matches(probe, batch.column(1).to_pylist())
             lists: list[list[dict]] = [[] for _ in sizes]
             for d, i, a, b, n in found.tolist():

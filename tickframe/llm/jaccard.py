@@ -37,8 +37,10 @@ STARS = 3
 FEW = 2
 #: Ids up to this many (8 bytes each) are broadcast.
 BROADCAST_IDS = 500_000
+#: Tokens that a task holds before it hands them on.
+HELD = 1_500_000
 #: Distinct words whose hashes a task keeps.
-MEMO = 1 << 20
+MEMO = 1 << 18
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53],
@@ -142,7 +144,7 @@ def _blocks(docs: DataFrame, size: int, bits: int) -> DataFrame:
                     ids.append(k)
                     sets.append(found)
                     held += len(found)
-                if held > 3_000_000:
+                if held > HELD:
                     yield block(ids, sets)
                     ids, sets, held = [], [], 0
         if ids:
