@@ -234,6 +234,19 @@ def test_quality(spark):
     assert again == {r.doc_id: r.score for r in quality.score(docs, model).collect()}
 
 
+
+def test_quality_of_all(spark):
+    """Documents teach the other view wherever the hash of their id puts them."""
+    ids = [r.id for r in spark.range(2900).orderBy(F.xxhash64("id", F.lit("quality"))).collect()]
+    late = set(ids[2600:])
+    rows = [(i, f"{'calm river' if i % 2 else 'cheap pills'} {'zebra' if i in late and i % 2 else 'stone'}", "en", f"s{i % 2}") for i in ids]
+    rows += [(i, "calm river" if i % 2 else "cheap pills", "en", f"s{i % 2}") for i in range(5000, 5100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5000, 5100)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert model.text[quality._slot("w:zebra", quality.TEXT_SIZE)] > 0
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -3,31 +3,42 @@ r"""A quality classifier by co-training.
 Two logistic classifiers see different views of a document. The text view has its distinct words: the word
 itself, its first four letters and its shape (case, marks behind it, whether it has letters), and how often
 words repeat. The metadata view has source and language and the page's layout: size, lines, shares of
-capitals, of other marks and of blanks. Both learn from labelled documents; then, over rounds, each gives
-the unlabelled documents that it is surest of, with its labels, to the other. At the end both are
-calibrated on held-out labels and combined, and all documents are scored.
-
-A document counts as good if its quality is 1 and it isn't toxic. Fitting takes bounded samples, chosen by
-a hash of the id; everything else, and the scores, cover all documents.
+capitals, of other marks and of blanks. Both learn from labelled documents; then, over rounds, both score
+all unlabelled documents, and each gives those that it is surest of, by quantiles of its scores over the
+whole corpus, with its labels to the other. At the end both are calibrated on held-out labels and combined,
+and all documents are scored.
+
+A document counts as good if its quality is 1 and it isn't toxic. The labelled documents of fitting are a
+bounded sample, chosen by a hash of the id; everything else, and the scores, cover all documents. Their
+features are written once, in blocks; tasks sum gradients over blocks, in whole multiples of 2^-24, so
+that sums don't depend on how blocks are dealt.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import table
+from tickframe.llm.common import partitions, table, written
 
-#: Labelled and unlabelled documents that are fetched for fitting, at most.
-LABELLED, POOL = 5_000, 2_500
+#: Labelled documents that are fetched for fitting, at most.
+LABELLED = 5_000
 ROUNDS = 3
-#: Share of the pool that each view hands to the other in a round.
+#: Gradient steps after each round.
+STEPS = 10
+#: Share of the unlabelled documents that each view hands to the other in a round.
 HANDED = 0.1
+#: Documents whose features make a block.
+BLOCK = 2_000
+#: Logits are counted in bins of 1 / BINS, up to 40 either way, and gradients in 1 / UNIT.
+BINS, UNIT = 100, 1 << 24
 #: Hash buckets of the two views' weights.
 TEXT_SIZE, META_SIZE = 1 << 19, 1 << 12
 THRESHOLD = 0.5
@@ -80,26 +91,33 @@ class View:
         self.starts, self.slots, self.values, self.size = starts, slots, values, size
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self.places(chosen)
+        return np.repeat(np.arange(len(chosen)), self.starts[chosen + 1] - self.starts[chosen]), self.slots[at], self.values[at]
+
+    def places(self, chosen: np.ndarray) -> np.ndarray:
+        """Where the slots of some rows are."""
         counts = self.starts[chosen + 1] - self.starts[chosen]
-        at = np.repeat(self.starts[chosen] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        return np.repeat(np.arange(len(chosen)), counts), self.slots[at], self.values[at]
+        return np.repeat(self.starts[chosen] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
-    def fit(self, chosen: np.ndarray, labels: np.ndarray, steps: int = 150, decay: float = 1e-5) -> np.ndarray:
-        """Logistic regression by full gradients with adaptive steps; the last weight is the bias."""
+    def gradient(self, chosen: np.ndarray, labels: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """The gradient of the log likelihood as a function of the weights; the last weight is the bias."""
         row, slot, value = self.take(chosen)
-        weights, squares = np.zeros(self.size + 1), np.full(self.size + 1, 1e-8)
-        for _ in range(steps):
+
+        def at(weights: np.ndarray) -> np.ndarray:
             z = np.bincount(row, weights[slot] * value, len(chosen)) + weights[-1]
             miss = labels - _sigmoid(z)
-            gradient = np.append(np.bincount(slot, miss[row] * value, self.size), miss.sum()) - decay * len(chosen) * weights
-            squares += gradient**2
-            weights += 1.0 * gradient / np.sqrt(squares)
-        return weights
+            return np.append(np.bincount(slot, miss[row] * value, self.size), miss.sum())
+
+        return at
 
     def logits(self, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
         row, slot, value = self.take(chosen)
         return np.bincount(row, weights[slot] * value, len(chosen)) + weights[-1]
 
+    def all_logits(self, weights: np.ndarray) -> np.ndarray:
+        rows = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        return np.bincount(rows, weights[self.slots] * self.values, len(self.starts) - 1) + weights[-1]
+
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -136,33 +154,50 @@ class Classifier:
         return _sigmoid(t), _sigmoid(m), _sigmoid(x * t + y * m + z)
 
 
-def cotrain(text: View, meta: View, labels: np.ndarray, pool: int, rounds: int = ROUNDS, handed: float = HANDED) -> Classifier:
-    """labels are of the first rows, pool rows without a label follow. Every fifth labelled row is held out for calibration."""
+def _step(weights: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
+    """One adaptive gradient step, in place."""
+    squares += gradient**2
+    weights += gradient / np.sqrt(squares)
+
+
+def cotrain(
+    text: View, meta: View, labels: np.ndarray, blocks: DataFrame, rounds: int = ROUNDS, handed: float = HANDED, decay: float = 1e-5
+) -> Classifier:
+    """labels are of the rows of text and meta; the unlabelled documents are in blocks. Every fifth labelled row is held out for calibration.
+
+    The documents that a view was handed weigh as much as its labelled ones together, at most.
+    """
     n = len(labels)
     held = np.arange(n)[np.arange(n) % 5 == 4]
     own = np.setdiff1d(np.arange(n), held)
     views = (text, meta)
-    taught = [(own, labels[own]), (own, labels[own])]
-    rest = np.arange(n, n + pool)
-    weights = [v.fit(*t) for v, t in zip(views, taught, strict=True)]
+    local = [v.gradient(own, labels[own]) for v in views]
+    weights = [np.zeros(v.size + 1) for v in views]
+    squares = [np.full(v.size + 1, 1e-8) for v in views]
+    for k in (0, 1):
+        for _ in range(150):
+            _step(weights[k], squares[k], local[k](weights[k]) - decay * len(own) * weights[k])
     good = labels[own].mean() if len(own) else 0.5
-    for _ in range(rounds):
-        most = int(handed * pool)
-        if len(rest) < 2 * most or not most:
+    rules, given, most = [], [], 0
+    for r in range(rounds):
+        counts = _histograms(blocks, rules, weights)
+        rest = int(counts[0].sum())
+        most = most if r else int(handed * rest)
+        if rest < 2 * most or not most:
             break
-        given = []
-        for view, weight in zip(views, weights, strict=True):
-            z = view.logits(rest, weight)
-            order = np.argsort(z, kind="stable")
-            low, high = order[: max(1, round(most * (1 - good)))], order[len(order) - max(1, round(most * good)) :]
-            # only what the view is sure of
-            low, high = low[_sigmoid(z[low]) < 0.05], high[_sigmoid(z[high]) > 0.95]
-            given.append((np.concatenate([rest[low], rest[high]]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
-        for k in (0, 1):
-            rows, names = given[1 - k]
-            taught[k] = (np.concatenate([taught[k][0], rows]), np.concatenate([taught[k][1], names]))
-        rest = np.setdiff1d(rest, np.concatenate([g[0] for g in given]))
-        weights = [v.fit(*t) for v, t in zip(views, taught, strict=True)]
+        limits = [_limits(c, max(1, round(most * (1 - good))), max(1, round(most * good))) for c in counts]
+        given.append(_choose(blocks, rules, ([w.copy() for w in weights], limits)))
+        rules.append(([w.copy() for w in weights], limits))
+        taught = reduce(DataFrame.unionByName, given)
+        total = taught.agg(F.sum("n_text"), F.sum("n_meta")).first()
+        if not any(total):
+            continue
+        share = [min(1.0, len(own) / t) if t else 0.0 for t in total]
+        for _ in range(STEPS):
+            far = _gradients(taught, weights)
+            for k in (0, 1):
+                size = len(own) + share[k] * (total[k] or 0)
+                _step(weights[k], squares[k], local[k](weights[k]) + share[k] * far[k] - decay * size * weights[k])
     held = held if len(held) else own
     logits = [v.logits(held, w) for v, w in zip(views, weights, strict=True)]
     calibration = [_platt(z, labels[held]) for z in logits]
@@ -170,6 +205,98 @@ def cotrain(text: View, meta: View, labels: np.ndarray, pool: int, rounds: int =
     return Classifier(*weights, calibration, _shares(*calibrated, labels[held]))
 
 
+def _limits(counts: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """Bins up to and from which documents are handed over: those of the given numbers, equals included, if the view is sure of them."""
+    sure = int(np.log(0.95 / 0.05) * BINS) + 1
+    up, down = np.cumsum(counts), np.cumsum(counts[::-1])
+    lowest = min(int(np.searchsorted(up, low)), 40 * BINS - sure)
+    return lowest, max(len(counts) - 1 - int(np.searchsorted(down, high)), 40 * BINS + sure)
+
+
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(z, -40, 40) + 40) * BINS).astype(np.int64)
+
+
+def _said(views: list[View], rule: tuple[list[np.ndarray], list[tuple[int, int]]]) -> np.ndarray:
+    """What the views say of each row: a column each of 0, 1 or, where the view isn't sure, NaN."""
+    out = []
+    for view, weights, (low, high) in zip(views, *rule, strict=True):
+        at = _bins(view.all_logits(weights))
+        out.append(np.where(at <= low, 0.0, np.where(at >= high, 1.0, np.nan)))
+    return np.stack(out, 1).astype(np.float32)
+
+
+def _open(block: dict, views: list[View], rules: list) -> np.ndarray:
+    """Which rows have no label and were not handed over by earlier rules."""
+    free = np.isnan(block["target"])
+    for rule in rules:
+        free &= np.isnan(_said(views, rule)).all(1)
+    return free
+
+
+def _histograms(blocks: DataFrame, rules: list, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """For both views, how many open rows have their logit in which bin."""
+    shared = blocks.sparkSession.sparkContext.broadcast((rules, weights))
+    size = 80 * BINS + 1
+
+    def scan(batches: Iterator) -> Iterator:
+        rules, weights = shared.value
+        out = np.zeros((2, size), np.int64)
+        for block in _read(batches):
+            views = _views(block)
+            free = _open(block, views, rules)
+            for k in (0, 1):
+                out[k] += np.bincount(_bins(views[k].all_logits(weights[k])[free]), minlength=size)
+        yield _binary(out)
+
+    found = sum(_arrays(_few(blocks).mapInArrow(scan, "x binary"), np.int64))
+    shared.unpersist()
+    return list((found + np.zeros(2 * size, np.int64)).reshape(2, size))
+
+
+def _choose(blocks: DataFrame, rules: list, rule: tuple) -> DataFrame:
+    """Blocks of the open rows that one of the views hands over, with what the other view is taught."""
+    shared = blocks.sparkSession.sparkContext.broadcast((rules, rule))
+
+    def scan(batches: Iterator) -> Iterator:
+        rules, rule = shared.value
+        for block in _read(batches):
+            views = _views(block)
+            said = _said(views, rule)
+            chosen = np.flatnonzero(_open(block, views, rules) & ~np.isnan(said).all(1))
+            if len(chosen):
+                yield _batch(_take(block, views[0], chosen), said[chosen][:, ::-1])
+
+    out = written(blocks.mapInArrow(scan, f"{_BLOCK}, taught binary, n_text long, n_meta long"), "quality")
+    shared.unpersist()
+    return out
+
+
+def _gradients(taught: DataFrame, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Gradients of both views, summed over all rows that they were taught."""
+    shared = taught.sparkSession.sparkContext.broadcast(weights)
+
+    def scan(batches: Iterator) -> Iterator:
+        weights = shared.value
+        out = np.zeros(sum(map(len, weights)), np.int64)
+        for block in _read(batches):
+            labels, parts = block["taught"].reshape(-1, 2), []
+            for k, view in enumerate(_views(block)):
+                rows = np.flatnonzero(~np.isnan(labels[:, k]))
+                parts.append(view.gradient(rows, labels[rows, k].astype(np.float64))(weights[k]))
+            out += np.rint(np.concatenate(parts) * UNIT).astype(np.int64)
+        yield _binary(out)
+
+    found = sum(_arrays(_few(taught).mapInArrow(scan, "x binary"), np.int64)) / UNIT
+    shared.unpersist()
+    return np.split(found, [len(weights[0])])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores: each makes one large sum."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _shares(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic weights of the two calibrated views and an offset, none of the views negative."""
     x, y_, z = 1.0, 0.5, 0.0
@@ -182,68 +309,193 @@ def _shares(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> tuple[float, float,
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """part, target and the slots and weights of both views, of sampled documents."""
+    """part and the packed features of both views, of each document."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        memo = Memo(lambda word: tuple(word_features(word)))
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out = []
             for text, source, lang in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
-                slots, weights = text_features(text or "")
-                for column, x in zip(out, (slots, weights, meta_features(source, lang, text or "")), strict=True):
-                    column.append(x)
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32()))
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("target"), *arrays], ["part", "target", "slots", "weights", "meta"])
+                slots, counts, scale = text_features(text or "", memo)
+                facts = np.array(meta_features(source, lang, text or ""), np.int16)
+                pieces = (np.array([scale]), facts, _planes(np.diff(slots, prepend=np.int32(0))), _planes(counts))
+                out.append(zlib.compress(b"".join(x if isinstance(x, bytes) else x.tobytes() for x in pieces), 1))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "raw"])
+
+    return docs.mapInArrow(scan, "part long, raw binary")
+
+
+#: Slots of the metadata view per document.
+FACTS = 9
+#: Arrays of a block, and the types of what they hold. Slots and counts of all rows follow each other.
+_TYPES = {"part": np.int64, "target": np.float32, "size": np.int32, "scale": np.float64, "facts": np.int16, "slots": np.int32, "counts": np.int32}
+_BLOCK = ", ".join(f"{n} binary" for n in _TYPES)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """An array of int32, all lowest bytes first: this compresses well."""
+    return np.ascontiguousarray(a.astype(np.int32, copy=False).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+
+
+def _unpacked(raw: bytes) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    at = 8 + 2 * FACTS
+    middle = at + (len(raw) - at) // 2
+    slots = np.cumsum(_unplaned(raw[at:middle]), dtype=np.int32)
+    return np.frombuffer(raw, np.float64, 1)[0], np.frombuffer(raw, np.int16, FACTS, 8), slots, _unplaned(raw[middle:])
+
+
+def _batch(block: dict, taught: np.ndarray | None = None):
+    """A record batch of one row. The slots are differences, which wrap around at a row's end."""
+    import pyarrow as pa
+
+    made = {}
+    for n, kind in _TYPES.items():
+        x = np.asarray(block[n]).astype(kind, copy=False)
+        x = np.diff(x, prepend=np.int32(0)) if n == "slots" else x
+        made[n] = pa.array([zlib.compress(_planes(x) if n in ("slots", "counts") else x.tobytes(), 1)], pa.binary())
+    if taught is not None:
+        made["taught"] = pa.array([zlib.compress(np.ascontiguousarray(taught, np.float32).tobytes(), 1)], pa.binary())
+        for k, n in enumerate(("n_text", "n_meta")):
+            made[n] = pa.array([int((~np.isnan(taught[:, k])).sum())], pa.int64())
+    return pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+
+def _read(batches: Iterator) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = {}
+            for n in (*_TYPES, "taught"):
+                if n in batch.schema.names:
+                    raw = zlib.decompress(batch.column(n)[i].as_py())
+                    block[n] = _unplaned(raw) if n in ("slots", "counts") else np.frombuffer(raw, _TYPES.get(n, np.float32))
+            block["slots"] = np.cumsum(block["slots"], dtype=np.int32)
+            yield block
+
 
-    return docs.mapInArrow(scan, "part long, target double, slots array<int>, weights array<float>, meta array<int>")
+def _views(block: dict) -> list[View]:
+    """The last slot of each row's text view weighs 1."""
+    starts = np.concatenate([[0], np.cumsum(block["size"], dtype=np.int64)])
+    values = block["counts"] * np.repeat(block["scale"], block["size"])
+    values[starts[1:] - 1] = 1.0
+    facts = block["facts"].astype(np.int32)
+    return [View(starts, block["slots"], values, TEXT_SIZE), View(np.arange(len(starts)) * FACTS, facts, np.ones(len(facts)), META_SIZE)]
 
 
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights of the text view: each distinct word counts once, all together have length about 1."""
+def _take(block: dict, text: View, chosen: np.ndarray) -> dict:
+    """Some rows of a block; text is its text view."""
+    at = text.places(chosen)
+    out = {n: block[n][chosen] for n in ("part", "target", "size", "scale")}
+    return out | {"facts": block["facts"].reshape(-1, FACTS)[chosen].reshape(-1), "slots": block["slots"][at], "counts": block["counts"][at]}
+
+
+def _binary(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
+
+
+def _arrays(df: DataFrame, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(r["x"], kind) for r in df.collect()]
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows of part, target and raw. A label's row has no raw and comes before the documents' rows of its part; a repeated id counts once."""
+
+    def scan(batches: Iterator) -> Iterator:
+        found, last, target, done = [], None, np.nan, False
+
+        def made():
+            scale, facts, slots, counts = zip(*(_unpacked(x[2]) for x in found), strict=True)
+            return _batch({
+                "part": np.array([x[0] for x in found], np.int64), "target": np.array([x[1] for x in found], np.float32), "size": np.array([len(x) for x in slots]),
+                "scale": np.array(scale), "facts": np.concatenate(facts), "slots": np.concatenate(slots), "counts": np.concatenate(counts),
+            })
+
+        for batch in batches:
+            for part, label, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "target", "raw")), strict=True):
+                if part != last:
+                    last, target, done = part, np.nan, False
+                if raw is None:
+                    target = label
+                elif not done:
+                    done = True
+                    found.append((part, target, raw))
+                    if len(found) == BLOCK:
+                        yield made()
+                        found.clear()
+        if found:
+            yield made()
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part", "raw")
+    return dealt.mapInArrow(scan, _BLOCK)
+
+
+class Memo(dict):
+    """What a function says of words; cleared when it has MEMO words."""
+
+    def __init__(self, of: Callable):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = got = self.of(word)
+        return got
+
+
+def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots of the text view, their counts and what a count weighs: each distinct word counts once, all together have length about 1.
+
+    The last slot, for repeats, weighs 1.
+    """
     words = text.split()
-    distinct = sorted(set(words))
+    distinct = set(words)
     if not distinct:
-        return np.array([_slot("empty", TEXT_SIZE)]), np.ones(1)
-    slots = np.array([s for w in distinct for s in word_features(w)], np.int64)
-    slots, counts = np.unique(slots, return_counts=True)
-    slots = np.append(slots, repeat_feature(len(words), len(distinct)))
-    return slots, np.append(counts / len(distinct) ** 0.5, 1.0)
+        return np.array([_slot("empty", TEXT_SIZE)], np.int32), np.ones(1, np.int32), 1.0
+    slots = np.sort(np.fromiter(chain.from_iterable(map(memo.__getitem__, distinct)), np.int32))
+    first = np.flatnonzero(np.diff(slots, prepend=np.int32(-1)))
+    counts = np.diff(first, append=len(slots))
+    slots = np.append(slots[first], np.int32(repeat_feature(len(words), len(distinct))))
+    return slots, np.append(counts, 1), len(distinct) ** -0.5
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> Classifier | None:
-    """A classifier from a sample of the labelled documents and a pool of others; None without any labelled document.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS) -> Classifier | None:
+    """A classifier from a sample of the labelled documents and all unlabelled ones; None without any labelled document.
 
-    Of a document with several labels the worst counts; null labels don't. The samples are the documents of
+    Of a document with several labels the worst counts; null labels don't. The sample is the documents of
     smallest id hash, the same in every run.
     """
-    spark = docs.sparkSession
     target = (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(target.cast("double").alias("target"))
-    part = F.xxhash64(F.col(key), F.lit("quality"))
-    ids = docs.select(key).where(F.col(key).isNotNull()).join(known, key, "left").select(key, "target", part.alias("part")).distinct()
-    some = ids.where("target is not null").orderBy("part").limit(labelled).unionByName(ids.where("target is null").orderBy("part").limit(pool))
-    rows = [tuple(r) for r in some.collect()]
-    if not any(r[1] is not None for r in rows):
+    part = F.xxhash64(F.col(key), F.lit("quality")).alias("part")
+    named = docs.where(F.col(key).isNotNull())
+    labels_ = named.select(key).join(known, key).select(part, "target").distinct()
+    first = [r["part"] for r in labels_.select("part").orderBy("part").limit(labelled).collect()]
+    if not first:
         return None
-    kind = next(t for n, t in docs.dtypes if n == key)
-    chosen = F.broadcast(spark.createDataFrame(rows, f"`{key}` {kind}, target double, part long"))
-    found = _features(docs.select(key, "text", "source", "lang").join(chosen, key)).toArrow()
-    # labelled ones first, then by hash; rows that repeat an id once
-    target, part = found.column("target").to_numpy(), found.column("part").to_numpy()
-    order = np.lexsort((part, np.isnan(target)))
-    order = order[np.concatenate([[True], np.diff(part[order]) != 0])]
-    found, target = found.take(order), target[order]
-    lists = lambda c: found.column(c).combine_chunks()
-    starts = lists("slots").offsets.to_numpy()
-    text = View(starts - starts[0], lists("slots").flatten().to_numpy(), lists("weights").flatten().to_numpy(), TEXT_SIZE)
-    slots = lists("meta").flatten().to_numpy()
-    starts = lists("meta").offsets.to_numpy()
-    meta = View(starts - starts[0], slots, np.ones(len(slots), np.float32), META_SIZE)
-    del found
-    labels_ = target[~np.isnan(target)]
-    return cotrain(text, meta, labels_, len(target) - len(labels_))
+    features = _features(named.select(part, "text", "source", "lang"))
+    rows = features.withColumn("target", F.lit(None).cast("double")).unionByName(labels_.withColumn("raw", F.lit(None).cast("binary")))
+    blocks = written(_blocks(rows), "quality")
+    bound = first[-1]
+
+    def sample(batches: Iterator) -> Iterator:
+        for block in _read(batches):
+            chosen = np.flatnonzero(~np.isnan(block["target"]) & (block["part"] <= bound))
+            if len(chosen):
+                yield _batch(_take(block, _views(block)[0], chosen))
+
+    found = list(_read(blocks.mapInArrow(sample, _BLOCK).toArrow().to_batches()))
+    whole = {n: np.concatenate([b[n] for b in found]) for n in _TYPES}
+    whole = _take(whole, _views(whole)[0], np.argsort(whole["part"]))
+    return cotrain(*_views(whole), whole["target"].astype(np.float64), blocks, rounds)
 
 
 def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -265,14 +517,7 @@ def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THR
         weights, bias = own.text.tolist(), float(own.text[-1])
         meta = own.meta.tolist()
 
-        class Memo(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= MEMO:
-                    self.clear()
-                self[word] = got = sum(weights[s] for s in word_features(word))
-                return got
-
-        memo = Memo()
+        memo = Memo(lambda word: sum(weights[s] for s in word_features(word)))
         empty = weights[_slot("empty", TEXT_SIZE)] + bias
         for batch in batches:
             t, m = [], []
