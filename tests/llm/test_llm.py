@@ -247,6 +247,12 @@ def test_quality_of_all(spark):
     assert model.text[quality._slot("w:zebra", quality.TEXT_SIZE)] > 0
 
 
+def test_joined_words():
+    slots = lambda w: set(quality.word_features(w))
+    for joined in ("fine/toxicword", "a_b_Toxicword", "fine-toxicword,", "7toxicword"):
+        assert quality._slot("w:toxicword", quality.TEXT_SIZE) in slots(joined) and quality._slot("p:toxi", quality.TEXT_SIZE) in slots(joined)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -1,8 +1,8 @@
 r"""A quality classifier by co-training.
 
-Two logistic classifiers see different views of a document. The text view has its distinct words: the word
-itself, its first four letters and its shape (case, marks behind it, whether it has letters), and how often
-words repeat. The metadata view has source and language and the page's layout: size, lines, shares of
+Two logistic classifiers see different views of a document. The text view has its distinct words: each
+run of letters and its first four letters, the word's shape (case, marks behind it, whether it has letters),
+and how often words repeat. The metadata view has source and language and the page's layout: size, lines, shares of
 capitals, of other marks and of blanks. Both learn from labelled documents; then, over rounds, both score
 all unlabelled documents, and each gives those that it is surest of, by quantiles of its scores over the
 whole corpus, with its labels to the other. At the end both are calibrated on held-out labels and combined,
@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +52,22 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
+#: Checksums of the names' beginnings, carried on by the rest.
+_RUN, _PREFIX, _SHAPE = (zlib.crc32(x) for x in (b"w:", b"p:", b"s:"))
+
+
 def word_features(word: str) -> list[int]:
-    """Slots of a word: itself, its first four letters, and its shape."""
-    found = _LETTERS.search(word)
-    core = found.group().lower() if found else ""
-    tail = word[found.end() :] if found else word
-    case = "A" if found and len(core) > 1 and found.group().isupper() else "a"
-    return [
-        _slot(f"w:{core or word[:40]}", TEXT_SIZE),
-        _slot(f"p:{core[:4]}", TEXT_SIZE),
-        _slot(f"s:{case if core else '-'}:{tail[:4]}", TEXT_SIZE),
-    ]
+    """Slots of a word: its shape; and for each of its distinct runs of letters the run and its first four letters."""
+    slot = lambda start, name: zlib.crc32(name.encode("utf-8", "surrogatepass"), start) % TEXT_SIZE
+    found = _LETTERS.findall(word)
+    if not found:
+        return [slot(_SHAPE, f"-:{word[:4]}"), slot(_RUN, word[:40]), slot(_PREFIX, "")]
+    first = found[0]
+    at = word.index(first) + len(first)
+    out = [slot(_SHAPE, f"{'A' if len(first) > 1 and first.isupper() else 'a'}:{word[at : at + 4]}")]
+    for core in dict.fromkeys([x.lower() for x in found]):
+        out += (slot(_RUN, core), slot(_PREFIX, core[:4]))
+    return out
 
 
 def repeat_feature(words: int, distinct: int) -> int:
@@ -92,7 +97,7 @@ class View:
 
     def take(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = self.places(chosen)
-        return np.repeat(np.arange(len(chosen)), self.starts[chosen + 1] - self.starts[chosen]), self.slots[at], self.values[at]
+        return np.repeat(np.arange(len(chosen), dtype=np.int32), self.starts[chosen + 1] - self.starts[chosen]), self.slots[at], self.values[at]
 
     def places(self, chosen: np.ndarray) -> np.ndarray:
         """Where the slots of some rows are."""
@@ -179,22 +184,24 @@ def cotrain(
             _step(weights[k], squares[k], local[k](weights[k]) - decay * len(own) * weights[k])
     good = labels[own].mean() if len(own) else 0.5
     rules, given, most = [], [], 0
+    short = lambda: [w.astype(np.float32) for w in weights]
     for r in range(rounds):
-        counts = _histograms(blocks, rules, weights)
+        rule = short()
+        counts = _histograms(blocks, rules, rule)
         rest = int(counts[0].sum())
         most = most if r else int(handed * rest)
         if rest < 2 * most or not most:
             break
         limits = [_limits(c, max(1, round(most * (1 - good))), max(1, round(most * good))) for c in counts]
-        given.append(_choose(blocks, rules, ([w.copy() for w in weights], limits)))
-        rules.append(([w.copy() for w in weights], limits))
+        given.append(_choose(blocks, rules, (rule, limits)))
+        rules.append((rule, limits))
         taught = reduce(DataFrame.unionByName, given)
         total = taught.agg(F.sum("n_text"), F.sum("n_meta")).first()
         if not any(total):
             continue
         share = [min(1.0, len(own) / t) if t else 0.0 for t in total]
         for _ in range(STEPS):
-            far = _gradients(taught, weights)
+            far = _gradients(taught, short())
             for k in (0, 1):
                 size = len(own) + share[k] * (total[k] or 0)
                 _step(weights[k], squares[k], local[k](weights[k]) + share[k] * far[k] - decay * size * weights[k])
@@ -249,9 +256,9 @@ def _histograms(blocks: DataFrame, rules: list, weights: list[np.ndarray]) -> li
                 out[k] += np.bincount(_bins(views[k].all_logits(weights[k])[free]), minlength=size)
         yield _binary(out)
 
-    found = sum(_arrays(_few(blocks).mapInArrow(scan, "x binary"), np.int64))
-    shared.unpersist()
-    return list((found + np.zeros(2 * size, np.int64)).reshape(2, size))
+    found = _summed(_few(blocks).mapInArrow(scan, "x binary"), 2 * size)
+    shared.destroy()
+    return list(found.reshape(2, size))
 
 
 def _choose(blocks: DataFrame, rules: list, rule: tuple) -> DataFrame:
@@ -268,7 +275,7 @@ def _choose(blocks: DataFrame, rules: list, rule: tuple) -> DataFrame:
                 yield _batch(_take(block, views[0], chosen), said[chosen][:, ::-1])
 
     out = written(blocks.mapInArrow(scan, f"{_BLOCK}, taught binary, n_text long, n_meta long"), "quality")
-    shared.unpersist()
+    shared.destroy()
     return out
 
 
@@ -287,8 +294,8 @@ def _gradients(taught: DataFrame, weights: list[np.ndarray]) -> list[np.ndarray]
             out += np.rint(np.concatenate(parts) * UNIT).astype(np.int64)
         yield _binary(out)
 
-    found = sum(_arrays(_few(taught).mapInArrow(scan, "x binary"), np.int64)) / UNIT
-    shared.unpersist()
+    found = _summed(_few(taught).mapInArrow(scan, "x binary"), sum(map(len, weights))) / UNIT
+    shared.destroy()
     return np.split(found, [len(weights[0])])
 
 
@@ -314,7 +321,7 @@ def _features(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        memo = Memo(lambda word: tuple(word_features(word)))
+        memo = Memo(lambda word: array("i", word_features(word)).tobytes())
         for batch in batches:
             out = []
             for text, source, lang in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
@@ -382,10 +389,11 @@ def _read(batches: Iterator) -> Iterator[dict]:
 def _views(block: dict) -> list[View]:
     """The last slot of each row's text view weighs 1."""
     starts = np.concatenate([[0], np.cumsum(block["size"], dtype=np.int64)])
-    values = block["counts"] * np.repeat(block["scale"], block["size"])
+    values = np.repeat(block["scale"].astype(np.float32), block["size"])
+    values *= block["counts"]
     values[starts[1:] - 1] = 1.0
     facts = block["facts"].astype(np.int32)
-    return [View(starts, block["slots"], values, TEXT_SIZE), View(np.arange(len(starts)) * FACTS, facts, np.ones(len(facts)), META_SIZE)]
+    return [View(starts, block["slots"], values, TEXT_SIZE), View(np.arange(len(starts)) * FACTS, facts, np.ones(len(facts), np.float32), META_SIZE)]
 
 
 def _take(block: dict, text: View, chosen: np.ndarray) -> dict:
@@ -398,11 +406,14 @@ def _take(block: dict, text: View, chosen: np.ndarray) -> dict:
 def _binary(x: np.ndarray):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["x"])
 
 
-def _arrays(df: DataFrame, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(r["x"], kind) for r in df.collect()]
+def _summed(df: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in df.collect():
+        out += np.frombuffer(zlib.decompress(r["x"]), np.int64)
+    return out
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -438,7 +449,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """What a function says of words; cleared when it has MEMO words."""
+    """What a function says of words, as bytes; cleared when it has MEMO words."""
 
     def __init__(self, of: Callable):
         super().__init__()
@@ -454,17 +465,18 @@ class Memo(dict):
 def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots of the text view, their counts and what a count weighs: each distinct word counts once, all together have length about 1.
 
-    The last slot, for repeats, weighs 1.
+    A word weighs as much as it has runs of letters. The last slot, for repeats, weighs 1.
     """
     words = text.split()
     distinct = set(words)
     if not distinct:
         return np.array([_slot("empty", TEXT_SIZE)], np.int32), np.ones(1, np.int32), 1.0
-    slots = np.sort(np.fromiter(chain.from_iterable(map(memo.__getitem__, distinct)), np.int32))
+    slots = np.sort(np.frombuffer(b"".join(map(memo.__getitem__, distinct)), np.int32))
+    runs = (len(slots) - len(distinct)) // 2
     first = np.flatnonzero(np.diff(slots, prepend=np.int32(-1)))
     counts = np.diff(first, append=len(slots))
     slots = np.append(slots[first], np.int32(repeat_feature(len(words), len(distinct))))
-    return slots, np.append(counts, 1), len(distinct) ** -0.5
+    return slots, np.append(counts, 1), runs**-0.5
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS) -> Classifier | None:
@@ -493,7 +505,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labelled: int =
                 yield _batch(_take(block, _views(block)[0], chosen))
 
     found = list(_read(blocks.mapInArrow(sample, _BLOCK).toArrow().to_batches()))
-    whole = {n: np.concatenate([b[n] for b in found]) for n in _TYPES}
+    whole = {n: np.concatenate([b.pop(n) for b in found]) for n in _TYPES}
     whole = _take(whole, _views(whole)[0], np.argsort(whole["part"]))
     return cotrain(*_views(whole), whole["target"].astype(np.float64), blocks, rounds)
 
@@ -517,7 +529,11 @@ def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THR
         weights, bias = own.text.tolist(), float(own.text[-1])
         meta = own.meta.tolist()
 
-        memo = Memo(lambda word: sum(weights[s] for s in word_features(word)))
+        def weighed(word: str) -> bytes:
+            slots = word_features(word)
+            return array("d", [sum([weights[s] for s in slots]), len(slots) // 2]).tobytes()
+
+        memo = Memo(weighed)
         empty = weights[_slot("empty", TEXT_SIZE)] + bias
         for batch in batches:
             t, m = [], []
@@ -525,7 +541,8 @@ def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THR
                 words = (text or "").split()
                 distinct = set(words)
                 if distinct:
-                    own_words = sum(sorted(map(memo.__getitem__, distinct))) / len(distinct) ** 0.5
+                    found = np.frombuffer(b"".join(map(memo.__getitem__, distinct)), np.float64)
+                    own_words = float(np.sort(found[::2]).sum() / found[1::2].sum() ** 0.5)
                     t.append(own_words + weights[repeat_feature(len(words), len(distinct))] + bias)
                 else:
                     t.append(empty)
