@@ -444,3 +444,11 @@ def test_clashing_columns(spark, tmp_path):
     empty = warc.with_revisits(pages.limit(0), "page_id", "payload")
     warc.write_warc(empty, f"file://{tmp_path}/e", "page_id", "url", "payload")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_field_long_island():
+    """A span across the 64th word of an island is proposed like any other."""
+    field = pii.Field({"card|card=True": 20.0, "|bias": 1.0})
+    text = "7x " * 62 + "4111 1111 1111 1111" + " 7x" * 20
+    (island,) = pii.islands(text)
+    assert field.spans(text, island) == [(186, 205, "card")]

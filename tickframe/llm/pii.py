@@ -210,9 +210,7 @@ class Field:
         return out[::-1]
 
     def spans(self, text: str, island: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        """Sure and plausible spans of the best segmentation. Long islands are cut into parts of 64 words."""
-        if len(island) > 64:
-            return [s for k in range(0, len(island), 64) for s in self.spans(text, island[k : k + 64])]
+        """Sure and plausible spans of the best segmentation of the whole island."""
         candidates = self.segments(text, island)
         scores = self.scores(candidates)
         chosen = [s for s in self.best(scores, len(island)) if s[2]]
