@@ -448,7 +448,16 @@ def test_clashing_columns(spark, tmp_path):
 
 def test_field_long_island():
     """A span across the 64th word of an island is proposed like any other."""
-    field = pii.Field({"card|card=True": 20.0, "|bias": 1.0})
+    field = pii.Field({"card|card=True": 20.0, "card|mixed=True": -40.0, "|bias": 1.0})
     text = "7x " * 62 + "4111 1111 1111 1111" + " 7x" * 20
     (island,) = pii.islands(text)
     assert field.spans(text, island) == [(186, 205, "card")]
+
+
+def test_field_many_words():
+    """A phone of six words before a card, both base matches of which run too far."""
+    text = "+49 30 12 34 56 78 4111111111111111"
+    (island,) = pii.islands(text)
+    assert {(0, 6), (6, 7)} <= pii.Field().segments(text, island).keys()
+    (_, words, gold), = pii.examples("+49 30 12 34 56 78")
+    assert gold == [(0, len(words), "phone")]
