@@ -35,29 +35,35 @@ GRAM = 32
 #: Bytes that a task ranks at once; longer texts are ranked in overlapping pieces.
 STEP = 400_000
 #: Positions that a task holds before it hands them on.
-HELD = 200_000
+HELD = 400_000
 _BITS = np.uint64(20)
 _MASK = np.uint64((1 << 20) - 1)
-#: Bytes of text per hash range, about 30,000 positions a megabyte; small ranges keep blocks and groups small.
-RANGE_BYTES = 8 << 20
-_FACTOR = 0x9E3779B97F4A7C15
+#: Bytes of text per hash range, about 30,000 positions a megabyte, and per bucket of documents; they bound what a group holds.
+RANGE_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+#: Odd factors of two hashes of bytes.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _powers(n: int, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A number for each byte, and powers of an odd factor and of its inverse, mod 2^64."""
     fill = lambda f: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, f, np.uint64)), dtype=np.uint64)
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR)), fill(_FACTOR), fill(pow(_FACTOR, -1, 1 << 64))
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor)), fill(factor), fill(pow(factor, -1, 1 << 64))
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    codes, power, _ = _powers(2 * STEP)
+def _prefix(data: np.ndarray, factor: int = _FACTORS[0]) -> np.ndarray:
+    codes, power, _ = _powers(2 * STEP, factor)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[data] * power[: len(data)], dtype=np.uint64)])
 
 
-def _span(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, at: np.ndarray | slice) -> np.ndarray:
+def _span(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, at: np.ndarray | slice, factor: int = _FACTORS[0]) -> np.ndarray:
     """Hashes of the bytes from start to end, by content alone."""
-    return mix((prefix[end] - prefix[start]) * _powers(2 * STEP)[2][at])
+    return mix((prefix[end] - prefix[start]) * _powers(2 * STEP, factor)[2][at])
+
+
+def _range(rank: np.ndarray, bits: int) -> np.ndarray:
+    """The range of a rank. Picked ranks are the least of many, so they are mixed again to fill all ranges alike."""
+    return (mix(rank, 7) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def positions(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, threshold: int, gram: int):
@@ -134,6 +140,13 @@ def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (doc != doc[leader]) | (start != start[leader])
 
 
+def _unlike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where the pair differs from the one before."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return new
+
+
 def _merged(doc: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of starts, those that follow on one another in a document as one."""
     order = np.lexsort((start, doc))
@@ -165,12 +178,11 @@ def _ranked(docs: DataFrame, bits: int, threshold: int, gram: int) -> DataFrame:
             held.clear()
             order = np.lexsort((s, i, c, h))
             i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            again = _later(new, i, s)
+            again = _later(_unlike(h, c), i, s)
             # what repeats within this block is settled here, and so are hot ranks
             doc, start, last = _merged(i[again], s[again], s[again] + m[again])
             i, s, o, m, h, c = (x[~again] for x in (i, s, o, m, h, c))
-            r = (h >> np.uint64(64 - bits)).astype(np.int64)
+            r = _range(h, bits)
             columns = {"id": i, "start": s, "offset": o.astype(np.uint8), "more": m.astype(np.uint8), "rank": h, "covered": c}
             ranked = _blocks(r, columns, "r")
             settled = _blocks(_bucket(doc, 1 << bits), {"id": doc, "start": start, "last": last}, "r")
@@ -206,9 +218,7 @@ def _pair_round(buckets: int):
         i, s, o, m, h, c = _joined(ranked, id="<i8", start="<i8", offset="u1", more="u1", rank="<u8", covered="<u8")
         order = np.lexsort((s, i, c, h))
         i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
-        new_rank, new_pair = np.ones(len(h), bool), np.ones(len(h), bool)
-        new_rank[1:] = h[1:] != h[:-1]
-        new_pair[1:] = new_rank[1:] | (c[1:] != c[:-1])
+        new_rank, new_pair = _unlike(h, h), _unlike(h, c)
         repeated = _later(new_pair, i, s)
         tops = np.flatnonzero(new_rank)
         pairs = np.add.reduceat(new_pair.astype(np.int64), tops) if len(tops) else tops
@@ -224,7 +234,7 @@ def _pair_round(buckets: int):
     return rerank
 
 
-_LATE = "r int, id binary, start binary, rank binary, last binary"
+_LATE = "r int, id binary, start binary, rank binary, second binary, last binary"
 
 
 def _fetch(bits: int, threshold: int):
@@ -243,36 +253,37 @@ def _fetch(bits: int, threshold: int):
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
                 for k in range(a, b):
                     cut[k] = raw[s[k] : e[k] + threshold]
-        ranks, rows, steps = [], [], []
+        ranks, seconds, rows, steps = [], [], [], []
         each = STEP // (3 * threshold)
         for k in range(0, len(i), each):
             part = slice(k, min(len(i), k + each))
             sizes = e[part] - s[part] + threshold
-            prefix = _prefix(np.frombuffer(b"".join(cut[part]), np.uint8))
+            data = np.frombuffer(b"".join(cut[part]), np.uint8)
             counts = sizes - threshold + 1
             of = np.repeat(np.arange(len(sizes)), counts)
             j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             at = (np.cumsum(sizes) - sizes)[of] + j
             # equal strings have equal picks at equal offsets
             pick = h[part][of] + mix((o[part][of] - j).astype(np.uint64))
-            ranks.append(mix(_span(prefix, at, at + threshold, at) ^ mix(pick)))
+            ranks.append(mix(_span(_prefix(data), at, at + threshold, at) ^ mix(pick)))
+            seconds.append(_span(_prefix(data, _FACTORS[1]), at, at + threshold, at, _FACTORS[1]))
             rows.append((k + of).astype(np.int32))
             steps.append(j.astype(np.uint8))
         row, step = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(steps or [np.zeros(0, np.uint8)])
-        rank = np.concatenate(ranks or [np.zeros(0, np.uint64)])
-        order = np.argsort(rank, kind="stable")  # rows are in order of place, and so stay equal ranks
-        rank, row, step = rank[order], row[order], step[order]
-        new = np.ones(len(rank), bool)
-        new[1:] = rank[1:] != rank[:-1]
+        rank, second = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (ranks, seconds))
+        order = np.lexsort((second, rank))  # rows are in order of place, and so stay equal ranks
+        rank, second, row, step = rank[order], second[order], row[order], step[order]
         doc, start = i[row], s[row] + step
-        again = _later(new, doc, start)
+        again = _later(_unlike(rank, second), doc, start)
         settled = _merged(doc[again], start[again], start[again])
-        rank, doc, start = rank[~again], doc[~again], start[~again]
+        rank, second, doc, start = rank[~again], second[~again], doc[~again], start[~again]
         order = np.lexsort((start, doc))
-        ranked = _blocks((rank[order] >> np.uint64(64 - bits)).astype(np.int64), {"id": doc[order], "start": start[order], "rank": rank[order]}, "r")
+        columns = {"id": doc[order], "start": start[order], "rank": rank[order], "second": second[order]}
+        ranked = _blocks(_range(rank[order], bits), columns, "r")
         ranked = ranked.append_column("last", pa.nulls(len(ranked), pa.binary()))
         early = _blocks(_bucket(settled[0], 1 << bits), dict(zip(("id", "start", "last"), settled, strict=True)), "r")
-        early = pa.table([early["r"], early["id"], early["start"], pa.nulls(len(early), pa.binary()), early["last"]], ranked.column_names)
+        none = pa.nulls(len(early), pa.binary())
+        early = pa.table([early["r"], early["id"], early["start"], none, none, early["last"]], ranked.column_names)
         return pa.concat_tables([ranked, early])
 
     return fetch
@@ -285,12 +296,11 @@ def _past_threshold(buckets: int):
         import pyarrow.compute as pc
 
         early = _joined(group.filter(pc.is_null(group.column("rank"))), id="<i8", start="<i8", last="<i8")
-        doc, start, rank = _joined(group.filter(pc.is_valid(group.column("rank"))), id="<i8", start="<i8", rank="<u8")
-        order = np.lexsort((start, doc, rank))
-        doc, start, rank = doc[order], start[order], rank[order]
-        new = np.ones(len(rank), bool)
-        new[1:] = rank[1:] != rank[:-1]
-        again = _later(new, doc, start)
+        late = group.filter(pc.is_valid(group.column("rank")))
+        doc, start, rank, second = _joined(late, id="<i8", start="<i8", rank="<u8", second="<u8")
+        order = np.lexsort((start, doc, second, rank))
+        doc, start, rank, second = doc[order], start[order], rank[order], second[order]
+        again = _later(_unlike(rank, second), doc, start)
         doc, start = doc[again], start[again]
         doc, start, last = _merged(*(np.concatenate(x) for x in zip(early, (doc, start, start), strict=True)))
         return _blocks(_bucket(doc, buckets), {"id": doc, "start": start, "last": last}, "b")
@@ -341,15 +351,17 @@ def remove_repeats(
 
     A byte goes if a string of threshold bytes covers it that also starts earlier: in a document of smaller
     key, or further ahead in the same one. Strings overlap freely and are judged on the input. Null texts are
-    empty. A row whose key is null keeps its bytes and repeats nothing. A key stands for one text; rows that
-    repeat it with the same text get the same result. threshold is at most 255 bytes more than gram.
+    empty. A row whose key is null keeps its bytes and repeats nothing. A key stands for one text: rows that
+    repeat it with the same text get the same result, and rows that repeat it with another are judged by
+    the places of all of its texts together. threshold is at most 255 bytes more than gram.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 2 * n  # blocks between two rounds are ranges times buckets, about twice as many as a shuffle of n partitions has
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(1, min(24, (max(total // RANGE_BYTES, n) - 1).bit_length()))
+    # both follow the text; a setting only makes them finer
+    bits = max(1, min(30, (max(total // RANGE_BYTES, n) - 1).bit_length()))
+    buckets = min(1 << 30, max(total // BUCKET_BYTES, 2 * n))
     ranked = _ranked(docs, bits, threshold, gram)
     marks = written(ranked.groupBy("r").applyInArrow(_pair_round(buckets), _MARKS), "marks")
     # the same shuffle of texts serves round 3 and the end
