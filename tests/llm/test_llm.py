@@ -154,12 +154,43 @@ def test_decontamination(spark, monkeypatch, block):
         want[i] = (len(w), len(hit), sorted(names))
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     docs = docs_of(spark, rows)
+    found = decontam.matches(docs, benchmark).collect()
+    for r in found:  # the longest match is verbatim, and no item has one word more of it
+        w = ITEM_WORD.findall(lower(dict(rows)[r.doc_id] or ""))
+        if r.longest is None:
+            assert not r.spans
+            continue
+        n, at, item, there = r.longest
+        assert any(ITEM_WORD.findall(lower(t or ""))[there : there + n] == w[at : at + n] for name, t in items if (name or "") == item)
+        longer = {tuple(x[k : k + n + 1]) for _, t in items for x in [ITEM_WORD.findall(lower(t or ""))] for k in range(len(x) - n)}
+        assert n < 10 or not longer & {tuple(w[k : k + n + 1]) for k in range(len(w) - n)}
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontam.contamination(docs, benchmark).collect()}
     assert got == want
     assert {r.doc_id for r in decontam.decontaminate(docs, benchmark).collect()} == {i for i, x in want.items() if not x[1]}
     assert decontam.contamination(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_of_repetitive_texts(spark, monkeypatch):
+    """Memory stays with the text where a document and an item repeat one word; rows with equal keys and texts stay apart over several blocks."""
+    import tracemalloc
+
+    probe = decontam.Probe([("x", "a " * 2000)])
+    tracemalloc.start()
+    sizes, found = decontam.shard_matches(probe, ["a " * 20_000])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert sizes.tolist() == [20_000] and found[0][0] == [(0, 20_000)] and found[0][2] == (2000, 18_000, 0, 0)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
+    a, b = (" ".join(f"{x}{k}" for k in range(12)) for x in "ab")
+    benchmark = spark.createDataFrame([("one", a), ("two", b), ("three", "c1 c2")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, a), (1, a), (1, b), (2, a + " " + b), (2, a + " " + b), (None, None), (3, "c2 c1")], "doc_id long, text string")
+    got = decontam.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "items", "longest").collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, [
+        (1, 12, 12, ["one"], 12), (1, 12, 12, ["one"], 12), (1, 12, 12, ["two"], 12), (2, 24, 24, ["one", "two"], 12),
+        (2, 24, 24, ["one", "two"], 12), (None, 0, 0, [], 0), (3, 2, 0, [], 0),
+    ]))
+
+
 def brute_repeats(rows, size=100):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -2,14 +2,17 @@ r"""Benchmark decontamination with suffix arrays over shards of the training tex
 
 A shard is a batch of documents. Words that no benchmark item has end every match, so a shard's suffix
 array covers the runs of benchmark words that are long enough; it is sorted by prefix doubling up to the
-window's length. Every suffix of every test item is binary-searched in it, which gives all places of its
-first ten words; places on one diagonal join into the longest verbatim matches. Nothing is shuffled while
-the benchmark fits one block; larger ones are searched block by block and the spans of a document merged.
+window's length. Every suffix of every test item is binary-searched in it, equal beginnings once, which gives
+all places of its first ten words. Places that follow on one another make the spans, and along them the
+matches of all items are grown word by word to the longest verbatim one. Nothing is shuffled while the
+benchmark fits one block; larger ones are searched block by block, and what the blocks found of a row is
+merged by the row's number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,9 @@ from tickframe.llm.common import small, table, written
 
 WINDOW = 10
 #: Benchmark text that travels to the tasks at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Distinct beginnings of test suffixes that are searched at once.
+SEARCHED = 1 << 16
 #: Training text in a shard, about; a longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Up to this many ids of affected documents are broadcast; more are joined by shuffle.
@@ -34,26 +39,42 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else []
 
 
+class Windows:
+    """The distinct beginnings, of one length, of the suffixes of a block's items, and where each occurs."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, item: np.ndarray, size: int):
+        self.keys, of = np.unique(words[places[:, None] + np.arange(size)], axis=0, return_inverse=True)
+        order = np.argsort(of.reshape(-1), kind="stable")
+        self.places = places[order]
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(of.reshape(-1), minlength=len(self.keys)))])
+        self.items = item[self.places]
+
+    def owners(self, window: int) -> np.ndarray:
+        """Places in the items, in rising order."""
+        return self.places[self.edges[window] : self.edges[window + 1]]
+
+
 class Probe:
-    """A block of test items: their words as numbers from 1, and the distinct windows of each length."""
+    """A block of test items: their words as numbers from 1, one after the other, and their suffixes' beginnings by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.names: list[str] = []
-        self.windows: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
-        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        parts: list[np.ndarray] = []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not ids:
-                continue
-            own = len(self.names)
-            self.names.append(name)
-            size = min(window, len(ids))
-            for start in range(len(ids) - size + 1):
-                found.setdefault(tuple(ids[start : start + size]), []).append((own, start))
-        for size in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == size]
-            self.windows[size] = (np.array(keys, np.int32).reshape(-1, size), [found[k] for k in keys])
+            if ids:
+                self.names.append(name)
+                parts.append(np.array(ids, np.int32))
+        self.window = window
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        joined = np.concatenate(parts or [np.zeros(0, np.int32)])
+        item = np.repeat(np.arange(len(parts)), np.diff(self.starts))
+        sizes = np.minimum(np.diff(self.starts), window)
+        self.windows: dict[int, Windows] = {}
+        for size in np.unique(sizes).tolist():
+            first = np.arange(len(joined)) + size <= self.starts[item + 1]
+            self.windows[size] = Windows(joined, np.flatnonzero(first & (sizes[item] == size)), item, size)
         self.shortest = min(self.windows, default=0)
         self.longest = max(self.windows, default=0)
 
@@ -94,15 +115,48 @@ def search(text: np.ndarray, array: np.ndarray, keys: np.ndarray) -> tuple[np.nd
     return bound(False), bound(True)
 
 
-def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and its matches: rows of (text, item, start in the text, start in the item, words)."""
-    none = np.zeros((0, 5), np.int64)
+def _occurrences(text: np.ndarray, array: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of all keys in text, and which key it is, by place."""
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(keys), SEARCHED):
+        low, high = search(text, array, keys[k : k + SEARCHED])
+        counts = high - low
+        at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        places.append(array[at])
+        which.append(k + np.repeat(np.arange(len(counts)), counts))
+    place, key = np.concatenate(places), np.concatenate(which)
+    order = np.argsort(place, kind="stable")
+    return place[order], key[order]
+
+
+def _longest(places: np.ndarray, keys: np.ndarray, windows: Windows) -> tuple[int, int, int]:
+    """Of one text the longest match: words, place in the text, place in the items; of equals the last.
+
+    For each place, all items that match there are held with the number of places by which they have matched so far.
+    """
+    best, last = (0, 0, 0), -2
+    owners = held = np.zeros(0, np.int64)
+    for place, key in zip(places.tolist(), keys.tolist(), strict=True):
+        now = windows.owners(key)
+        count = np.ones(len(now), np.int64)
+        if place == last + 1:
+            at = np.minimum(np.searchsorted(owners, now - 1), len(owners) - 1)
+            count += np.where(owners[at] == now - 1, held[at], 0)
+        k = len(count) - 1 - int(count[::-1].argmax())
+        most = int(count[k])
+        best = max(best, (most + windows.keys.shape[1] - 1, place - most + 1, int(now[k]) - most + 1))
+        owners, held, last = now, count, place
+    return best
+
+
+def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, dict[int, tuple[list, np.ndarray, tuple]]]:
+    """Words of each text; and for the texts with matches their spans (start, words), items, and longest match (words, start, item, start in it)."""
     get = probe.vocabulary.get
     # words become numbers text by text, so that only one text's words are in memory; a 0 ends each text
     parts = [np.array([*(get(w, 0) for w in words(t)), 0], np.int32) for t in texts]
     sizes = np.array([len(p) - 1 for p in parts], np.int64)
     if not probe.windows or not sizes.sum():
-        return sizes, none
+        return sizes, {}
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     ids = np.concatenate(parts)
     del parts
@@ -111,7 +165,7 @@ def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, np
     long = last - first >= probe.shortest
     first, last = first[long], last[long]
     if not len(first):
-        return sizes, none
+        return sizes, {}
     # the runs, each followed by a 0; origin: where a position of theirs is in ids
     lengths = last - first + 1
     begins = np.concatenate([[0], np.cumsum(lengths)])
@@ -120,32 +174,41 @@ def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, np
     text[begins[1:] - 1] = 0
     array = suffix_array(text, probe.longest)
     array = array[text[array] > 0]
-    hits: list[np.ndarray] = []
-    for size, (keys, owners) in probe.windows.items():
-        low, high = search(text, array, keys)
-        for k in np.flatnonzero(high > low):
-            places = origin[array[low[k] : high[k]]]
-            for item, start in owners[k]:
-                hits.append(np.stack([np.full(len(places), item), places, np.full(len(places), start), np.full(len(places), size)], 1))
-    if not hits:
-        return sizes, none
-    item, place, start, size = np.concatenate(hits).T
-    doc = np.searchsorted(starts, place, "right") - 1
-    order = np.lexsort((place, place - start, item, doc))
-    item, place, start, size, doc = item[order], place[order], start[order], size[order], doc[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) != 1) | (np.diff(start) != 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(doc)) - 1
-    length = place[tails] - place[heads] + size[heads]
-    return sizes, np.stack([doc[heads], item[heads], place[heads] - starts[doc[heads]], start[heads], length], 1)
+    found = {}
+    for size, windows in probe.windows.items():
+        place, key = _occurrences(text, array, windows.keys)
+        found[size] = (origin[place], key)
+    out: dict[int, tuple[list, np.ndarray, tuple]] = {}
+    step = np.zeros(len(ids) + 1, np.int32)
+    for size, (place, _) in found.items():
+        np.add.at(step, place, 1)
+        np.add.at(step, place + size, -1)
+    covered = np.diff(np.concatenate([[0], (np.cumsum(step)[:-1] > 0).astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+    of = np.searchsorted(starts, begin, "right") - 1
+    for doc in np.unique(of).tolist():
+        low, high = starts[doc], starts[doc + 1]
+        items, best = [], (0, 0, 0, 0)
+        for size, (place, key) in found.items():
+            a, b = np.searchsorted(place, [low, high])
+            if a == b:
+                continue
+            windows = probe.windows[size]
+            items += [windows.items[windows.edges[w] : windows.edges[w + 1]] for w in np.unique(key[a:b])]
+            words_, at, there = _longest(place[a:b], key[a:b], windows)
+            item = int(np.searchsorted(probe.starts, there, "right")) - 1
+            best = max(best, (words_, int(at - low), item, int(there - probe.starts[item])))
+        mine = of == doc
+        spans = list(zip((begin[mine] - low).tolist(), (end[mine] - begin[mine]).tolist(), strict=True))
+        out[doc] = (spans, np.unique(np.concatenate(items)), best)
+    return sizes, out
 
 
 def shards(batch) -> Iterator:
-    """Parts of an Arrow batch of about SHARD_BYTES of text each."""
+    """Parts of an Arrow batch with a column text, of about SHARD_BYTES of it each."""
     import pyarrow.compute as pc
 
-    ends = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    ends = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
@@ -154,61 +217,69 @@ def shards(batch) -> Iterator:
         at = end
 
 
-def search_documents(docs: DataFrame, items: list[tuple[str, str | None]], key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """key, n_words and matches (item_id, doc_start, item_start, n_words: longest verbatim matches, in words) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Probe(items, window))
+_LONGEST = "struct<n_words:long,doc_start:long,item_id:string,item_start:long>"
+_FOUND = f"row long, key long, n_words long, spans array<struct<doc_start:long,n_words:long>>, items array<string>, longest {_LONGEST}"
+
+
+def _searched(rows: DataFrame, items: list[tuple[str, str | None]], window: int, hits_only: bool) -> DataFrame:
+    """What one block of items has in common with rows (row, key, text); for hits_only without rows that have nothing."""
+    shared = rows.sparkSession.sparkContext.broadcast(Probe(items, window))
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_words", pa.int64())]))
+        number = pa.int64()
+        span = pa.list_(pa.struct([("doc_start", number), ("n_words", number)]))
+        longest = pa.struct([("n_words", number), ("doc_start", number), ("item_id", pa.string()), ("item_start", number)])
         probe = shared.value
         for batch in (part for whole in batches for part in shards(whole)):
-            sizes, found = shard_matches(probe, batch.column(1).to_pylist())
-            lists: list[list[dict]] = [[] for _ in sizes]
-            for d, i, a, b, n in found.tolist():
-                lists[d].append({"item_id": probe.names[i], "doc_start": a, "item_start": b, "n_words": n})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(lists, kind)], ["key", "n_words", "matches"]
-            )
-
-    schema = "key long, n_words long, matches array<struct<item_id:string,doc_start:long,item_start:long,n_words:long>>"
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(scan, schema)
+            sizes, found = shard_matches(probe, batch.column("text").to_pylist())
+            chosen = sorted(found) if hits_only else range(batch.num_rows)
+            spans, items, best = [], [], []
+            for k in chosen:
+                own, names, (n, at, item, there) = found.get(k, ([], (), (0, 0, 0, 0)))
+                spans.append([{"doc_start": a, "n_words": m} for a, m in own])
+                items.append([probe.names[i] for i in names])
+                best.append({"n_words": n, "doc_start": at, "item_id": probe.names[item], "item_start": there} if n else None)
+            taken = batch.take(pa.array(chosen, pa.int64())) if hits_only else batch
+            columns = [taken.column(0), taken.column(1), pa.array(sizes[list(chosen)], number)]
+            arrays = [pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(best, longest)]
+            yield pa.RecordBatch.from_arrays(columns + arrays, ["row", "key", "n_words", "spans", "items", "longest"])
+
+    return rows.mapInArrow(scan, _FOUND)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, matches per document row; all blocks of the benchmark together.
+    """key, n_words, spans (doc_start, n_words: runs of words inside matches), items (distinct ids), longest (the longest match) per row.
 
-    Items without words match nothing; an item of fewer words than the window is one window. Null and empty
-    texts have no words. A null item id counts as the empty string, repeated ids as one item. Rows that
-    repeat a key keep a row each while the benchmark fits one block, else rows of equal key and text merge.
+    longest is n_words, doc_start, item_id, item_start, of equals the last; null without a match. Items
+    without words match nothing; an item of fewer words than the window is one window. Null and empty texts
+    have no words. A null item id counts as the empty string, repeated ids as one item. Every row of docs
+    gives one row, also where keys or texts repeat. An item travels whole to the tasks.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     in_block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     load = lambda b: [tuple(r) for r in items.where(in_block == b).orderBy("item_id", "text").collect()]
-    if blocks == 1:
-        return search_documents(docs, load(0), key, text, window).withColumnRenamed("key", key)
-    # the key of a row across blocks: its id and its text
-    print_ = F.xxhash64(F.col(text))
-    rows = docs.select(F.col(key), F.col(text))
-    parts = []
-    for b in range(blocks):
-        one = search_documents(rows.select(print_.alias("print"), F.col(text)), load(b), "print", text, window)
-        parts.append(one.dropDuplicates(["key"]))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy(F.col("key").alias("print")).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")
-    )
-    return rows.select(key, print_.alias("print")).join(merged, "print").drop("print")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if blocks > 1:
+        rows = written(rows, "numbered")  # the numbers of all searches must agree
+        # each search is written before the next begins, so that one block is in memory at a time
+        found = reduce(DataFrame.unionByName, [written(_searched(rows, load(b), window, b > 0), "found") for b in range(blocks)])
+    else:
+        found = _searched(rows, load(0), window, False)
+    if blocks > 1:
+        found = found.groupBy("row").agg(
+            F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+            F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"),
+        )
+    return found.select(F.col("key").alias(key), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"), "longest")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """key, n_words, n_hit (words inside any match), items (sorted distinct ids), longest (words of the longest match)."""
-    spans = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b"))))
+    spans = F.array_sort(F.transform("spans", lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b"))))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     grown = lambda s, x: F.struct(
         (s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0).cast("long"))).alias("n"),
@@ -218,8 +289,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         key,
         "n_words",
         F.aggregate(spans, none, grown)["n"].alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0).cast("long")).alias("longest"),
+        "items",
+        F.coalesce("longest.n_words", F.lit(0).cast("long")).alias("longest"),
     )
 
 
@@ -238,5 +309,31 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"),
     )
+
+
+SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS words
+  FROM (SELECT *, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT row, s, size, array_to_string(w[s : s + size - 1], ' ') AS words
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM split, (SELECT DISTINCT size FROM windows))
+), hits AS (SELECT row, s, p.size, item_id FROM places p JOIN windows USING (size, words)),
+words AS (SELECT row, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT row, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY row),
+names AS (
+  SELECT row, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM split LEFT JOIN words USING (row) LEFT JOIN names USING (row)
+"""

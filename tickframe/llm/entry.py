@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_warc": warc.SQL,
+    "op4_decontaminate": decontam.SQL,
     "op10_chat_format": chat.SQL,
 }
