@@ -1,7 +1,9 @@
 """The corpus operators against brute force, on small fixtures with nulls, empty and repeated rows, and against DuckDB."""
 
 import collections
+import gzip
 import hashlib
+import io
 import random
 import re
 
@@ -170,6 +172,54 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontam.contamination(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def archive(blocks):
+    """Uncompressed records, one for each block."""
+    heads = (f"WARC/1.1\r\nWARC-Type: {'response' if k % 2 else 'metadata'}\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {len(b)}\r\n\r\n" for k, b in enumerate(blocks))
+    return [h.encode() + b + b"\r\n\r\n" for h, b in zip(heads, blocks, strict=True)]
+
+
+@pytest.mark.parametrize("kind", ["x.warc", "x.warc.gz", "members.warc.gz"])
+def test_warc_files(spark, tmp_path, kind):
+    """Uncompressed, compressed as a whole and record by record; a long payload; cut off inside a block, wanted or not."""
+    blocks = [b"a" * 10, b"\xff\r\n" * 700_000, b"", b"b" * 200_000]
+    made = archive(blocks)
+    pack = {"x.warc": lambda r: b"".join(r), "x.warc.gz": lambda r: gzip.compress(b"".join(r)), "members.warc.gz": lambda r: b"".join(map(gzip.compress, r))}[kind]
+    (tmp_path / kind).write_bytes(pack(made))
+    read = lambda *a, **o: warc.read_warc(spark, f"file://{tmp_path}", *a, **o)
+    assert [bytes(r.payload) for r in read().orderBy("record_id").collect()] == blocks
+    assert read("record_id string").where("record_id is not null").count() == 4
+    assert read("record_type string, payload binary").where("record_type = 'metadata'").count() == 2
+    (tmp_path / kind).write_bytes(pack([*made[:3], made[3][:-100_000]]))
+    for columns, filter_ in (("payload binary", "true"), ("record_id string", "true"), ("record_type string", "record_type = 'metadata'")):
+        left = read(columns, mode="PERMISSIVE").where(filter_).count()
+        assert left == (2 if "metadata" in filter_ else 3)
+        with pytest.raises(Exception, match="cut off"):
+            read(columns).where(filter_).collect()
+
+
+def test_warc_passes_over_blocks():
+    """Blocks that a filter or the schema doesn't want are not read."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+    from pyspark.sql.types import StructType
+
+    class Raw(io.BytesIO):
+        taken = 0
+
+        def readinto(self, into):
+            got = super().readinto(into)
+            self.taken += got
+            return got
+
+    data = b"".join(archive([b"x" * 1_000_000] * 6))
+    for columns, kind, rows in (("record_id string", None, 6), ("record_type string, payload binary", "nothing", 0), ("payload binary", None, 6)):
+        reader = warc.WarcReader(StructType.fromDDL(columns), {"path": "file:///none"})
+        left = list(reader.pushFilters([*([EqualTo(("record_type",), kind)] if kind else []), GreaterThan(("content_length",), 3)]))
+        assert len(left) == 1
+        raw = Raw(data)
+        assert len(list(reader.records(io.BufferedReader(raw, 1 << 12)))) == rows
+        assert (raw.taken < 100_000) == ("payload" not in columns or kind is not None)
+
+
 def test_decontamination_of_repetitive_texts(spark, monkeypatch):
     """Memory stays with the text where a document and an item repeat one word; rows with equal keys and texts stay apart over several blocks."""
     import tracemalloc

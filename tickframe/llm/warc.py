@@ -34,6 +34,8 @@ SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
     "content_type string, content_length long, payload_length long, payload binary"
 )
+#: Bytes of small files that one task reads at least, where there are so many.
+PACKED = 1 << 20
 #: Columns that come from a header of the record, by the header's lower-case name.
 _HEADERS = {
     "record_type": "warc-type",
@@ -55,13 +57,17 @@ class FilePart(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Options: path (a file or folder, any URI that pyarrow opens), maxPartitionBytes, mode (FAILFAST or PERMISSIVE)."""
+    """Options: path (a file or folder, any URI that pyarrow opens), maxPartitionBytes, parallelism, mode (FAILFAST or PERMISSIVE).
+
+    A record that is cut off is an error or, in PERMISSIVE mode, ends its file, whether its block is wanted or passed over.
+    """
 
     def __init__(self, schema: StructType, options: dict):
         self.columns = schema.fieldNames()
         self.schema = schema
         self.path = options["path"]
         self.most = int(options.get("maxpartitionbytes", options.get("maxPartitionBytes", 128 << 20)))
+        self.tasks = max(1, int(options.get("parallelism", 1)))
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.tests: list[tuple[str, str, object]] = []
 
@@ -76,7 +82,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Whole files, largest first, packed up to maxPartitionBytes; a record never spans two tasks."""
+        """Whole files, largest first, packed up to a share of all bytes, PACKED at least and maxPartitionBytes at most; a record never spans two tasks."""
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.path)
@@ -86,9 +92,10 @@ class WarcReader(DataSourceReader):
             (x for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))),
             key=lambda x: (-x.size, x.path),
         )
+        most = min(self.most, max(PACKED, sum(x.size for x in files) // self.tasks))
         parts, held, size = [], [], 0
         for x in files:
-            if held and size + x.size > self.most:
+            if held and size + x.size > most:
                 parts.append(FilePart(held))
                 held, size = [], 0
             held.append(x.path)
@@ -119,13 +126,18 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.files:
             with system.open_input_file(path) as opened:
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=opened), 1 << 20) if path.endswith(".gz") else opened
-                for row in self.records(stream):
-                    rows.append(row)
-                    size += len(row.get("payload") or b"") + 200
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, target)
-                        rows, size = [], 0
+                raw = gzip.GzipFile(fileobj=opened) if path.endswith(".gz") else opened
+                stream = io.BufferedReader(raw, 1 << 20)
+                try:
+                    for row in self.records(stream):
+                        rows.append(row)
+                        size += len(row.get("payload") or b"") + 200
+                        if size > 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, target)
+                            rows, size = [], 0
+                except EOFError:
+                    if not self.permissive:
+                        raise ValueError(f"the archive {path} is cut off") from None
         if rows:
             yield pa.RecordBatch.from_pylist(rows, target)
 
@@ -138,19 +150,18 @@ class WarcReader(DataSourceReader):
                 raise ValueError(f"no WARC record starts with {line[:40]!r}")
             headers = _headers(stream)
             length = int(headers.get("content-length", 0))
-            if not self.wanted(headers):
-                _skip(stream, length)
+            wanted = self.wanted(headers)
+            block = stream.read(length) if wanted and body_wanted else b""
+            if len(block) < length and (block or not _skip(stream, length)):
+                if self.permissive:
+                    return
+                raise ValueError(f"the record {headers.get('warc-record-id')} is cut off")
+            if not wanted:
                 continue
             row = {c: headers.get(h) for c, h in _HEADERS.items() if c in self.columns} | {"content_length": length}
             if not body_wanted:
-                _skip(stream, length)
                 yield {c: row[c] for c in self.columns}
                 continue
-            block = stream.read(length)
-            if len(block) < length:
-                if self.permissive:
-                    return
-                raise ValueError(f"the record {headers.get('warc-record-id')} is cut off")
             payload, said = block, length
             if headers.get("content-type", "").startswith("application/http"):
                 inner = io.BytesIO(block)
@@ -169,16 +180,14 @@ def _headers(stream) -> dict[str, str]:
     return found
 
 
-def _skip(stream, length: int) -> None:
-    """Passes over a block without keeping it; a seek where the stream isn't compressed."""
-    if not isinstance(stream, io.BufferedReader):
-        stream.seek(length, 1)
-        return
-    while length > 0:
-        got = len(stream.read(min(length, 1 << 20)))
-        if not got:
-            return
+def _skip(stream: io.BufferedReader, length: int) -> bool:
+    """Passes over a block without keeping it, by a seek where the file isn't compressed; whether it was there in full."""
+    if length > 1 << 16 and not isinstance(stream.raw, gzip.GzipFile):
+        stream.seek(length - 1, io.SEEK_CUR)
+        return len(stream.read(1)) == 1
+    while length > 0 and (got := len(stream.read(min(length, 1 << 20)))):
         length -= got
+    return length == 0
 
 
 class WarcSource(DataSource):
@@ -197,6 +206,7 @@ def read_warc(spark: SparkSession, path: str, schema: str = SCHEMA, **options: s
     """The records below path. A schema without payload reads no blocks; filters on headers are pushed down."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
+    options = {"parallelism": str(2 * spark.sparkContext.defaultParallelism)} | options
     return spark.read.format("warc").schema(schema).options(path=path, **options).load()
 
 
@@ -274,17 +284,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(with_revisits(pages, "page_id", "payload"), path, "page_id", "url", "payload")
-    read = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
     page = lambda c: F.when(number(c) != "", number(c)).cast("long")
-    response = F.col("record_type") == "response"
-    return read.select(
-        page(F.col("record_id")).alias("page_id"),
-        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(response, base32_sha1(F.col("payload"))).otherwise(F.substring("payload_digest", 6, 32)).alias("payload_digest"),
-        "record_type",
-        page(F.col("refers_to")).alias("refers_to"),
-    )
+    head = "record_type string, record_id string, refers_to string"
+
+    def shown(kind: str, columns: str, size: Column, digest: Column) -> DataFrame:
+        read = read_warc(spark, path, f"{head}, {columns}").where(F.col("record_type") == kind)
+        ids = (page(F.col(c)).alias(name) for c, name in (("record_id", "page_id"), ("refers_to", "refers_to")))
+        return read.select(*ids, size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type")
+
+    # each scan passes over the other kind's blocks: responses are judged by their payload, revisits by their headers
+    responses = shown("response", "payload binary", F.octet_length("payload"), base32_sha1(F.col("payload")))
+    said = F.substring("payload_digest", 6, 32)
+    return responses.unionByName(shown("revisit", "payload_digest string, payload_length long", F.col("payload_length"), said))
 
 
 SQL = r"""
