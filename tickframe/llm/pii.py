@@ -1,9 +1,9 @@
 r"""Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The patterns give the base spans of four kinds. The random field works on islands, runs of neighbouring
-words that hold a digit or an at sign. It scores whole candidate segments of up to MOST_WORDS words by
-features of the span (shape, digits, checks, the word before it), and a dynamic programme over segment
-ends chooses boundaries and kinds together. It is trained on base spans of a bounded sample of documents;
+words that hold a digit or an at sign. It scores whole candidate segments, single words and all runs of
+words that could be one number, by features of the span (shape, digits, checks, the word before it), and a
+dynamic programme over segment ends chooses boundaries and kinds together. It is trained on base spans of a bounded sample of documents;
 islands where a pattern ran too far, such as a phone number that runs into a card number, are left out of
 training and are what the field then resolves. Segments that it is sure of, and that pass their kind's
 plain checks, are added; base spans stay.
@@ -25,8 +25,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: About this many documents, chosen by a hash of their id, and at most this many islands train the field.
 TRAIN_DOCS = 20_000
 TRAIN_ISLANDS = 3_000
-#: No kind has more digits, but for single words; every word of an island holds a digit or an at sign.
-MOST_DIGITS = MOST_WORDS = 19
+#: A span of several words is a card or a phone number, so it has no more digits than this and only these marks.
+MOST_DIGITS = 19
+_NUMBER = re.compile(r"[0-9 ().+-]*")
 #: Posterior probability from which a segment is added.
 SURE = 0.9
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -55,6 +56,8 @@ def plausible(kind: str, span: str) -> bool:
     if kind == "ip":
         parts = span.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) < 4 and int(p) < 256 for p in parts)
+    if not _NUMBER.fullmatch(span):
+        return False
     digits = "".join(_DIGITS.findall(span))
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -127,35 +130,47 @@ class Field:
     LABELS = ("", *KINDS)
 
     def __init__(self, weights: dict[str, float] | None = None):
-        self.weights = weights or {}
+        """weights: kind|feature and kind>kind with their weights; at the beginning the kind before is ^."""
+        #: weights by feature, in the order of LABELS; and by pair of kinds
+        self.table: dict[str, list[float]] = {}
+        self.moves: dict[tuple[str, str], float] = {}
+        for name, weight in (weights or {}).items():
+            label, bar, feature = name.partition("|")
+            if bar:
+                self.table.setdefault(feature, [0.0] * len(self.LABELS))[self.LABELS.index(label)] = weight
+            else:
+                self.moves[tuple(name.split(">"))] = weight
 
     def segments(self, text: str, island: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[tuple[int, int], list[str]]]:
-        """Candidate segments (first word, past the last): their ends in the text and features."""
+        """Candidate segments (first word, past the last): their ends in the text and features. A span of several words is at most as long as its marks let it be."""
         head = text[max(0, island[0][0] - 24) : island[0][0]].split()
+        counts = [len(_DIGITS.findall(text, *w)) for w in island]
+        plain = [bool(_NUMBER.fullmatch(text, *w)) for w in island]
         out = {}
         for i in range(len(island)):
             before = text[slice(*island[i - 1])] if i else head[-1] if head else ""
             digits = 0
-            for j in range(i + 1, min(len(island), i + MOST_WORDS) + 1):
-                digits += len(_DIGITS.findall(text, *island[j - 1]))
-                if j > i + 1 and (digits > MOST_DIGITS or island[j - 1][1] - island[i][0] > 96):
+            for j in range(i + 1, len(island) + 1):
+                digits += counts[j - 1]
+                # marks at the ends are cut off, so only words in between must be plain
+                if j > i + 1 and (digits > MOST_DIGITS or j > i + 2 and not plain[j - 2]):
                     break
                 a, b = trimmed(text, island[i][0], island[j - 1][1])
-                if b - a <= 80:
+                if j == i + 1 or _NUMBER.fullmatch(text, a, b):
                     out[i, j] = ((a, b), features(text[a:b], j - i, before))
-                elif j == i + 1:
-                    out[i, j] = ((a, b), ["bias", "long"])
         return out
 
     def scores(self, candidates: dict) -> dict[tuple[int, int], dict[str, float]]:
-        get = self.weights.get
-        return {
-            (i, j): {k: sum(get(f"{k}|{f}", 0.0) for f in known) for k in self.LABELS if k or j == i + 1}
-            for (i, j), (_, known) in candidates.items()
-        }
+        """Of each candidate the score as each kind; only single words can be outside."""
+        get, none = self.table.get, [0.0] * len(self.LABELS)
+        out = {}
+        for (i, j), (_, known) in candidates.items():
+            sums = map(sum, zip(none, *(w for f in known if (w := get(f))), strict=True))
+            out[i, j] = {k: v for k, v in zip(self.LABELS, sums, strict=True) if k or j == i + 1}
+        return out
 
     def pair(self, one: str, two: str) -> float:
-        return self.weights.get(f"{one}>{two}", 0.0)
+        return self.moves.get((one, two), 0.0)
 
     def posteriors(self, scores: dict, n: int) -> tuple[dict[tuple[int, int, str], float], dict[tuple[str, str], float]]:
         """Probability of every labelled segment, and expected numbers of pairs of neighbours."""
@@ -243,7 +258,7 @@ def examples(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[tuple
         for s, e, kind in own:
             i = next((k for k, w in enumerate(island) if w[0] <= s < w[1]), None)
             j = next((k for k, w in enumerate(island) if w[0] < e <= w[1]), None)
-            if i is None or j is None or j - i >= MOST_WORDS or used & set(range(i, j + 1)):
+            if i is None or j is None or used & set(range(i, j + 1)):
                 continue
             if trimmed(text, island[i][0], island[j][1]) == (s, e):
                 gold.append((i, j + 1, kind))
@@ -255,30 +270,40 @@ def examples(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[tuple
 
 def fit(training: list[tuple[str, list, list]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Maximum likelihood by adaptive gradient steps, one island at a time in the given order."""
-    field, squares = Field(), defaultdict(float)
+    field, at = Field(), {k: n for n, k in enumerate(Field.LABELS)}
+    squares: dict[str, list[float]] = {}
+    pair_squares: dict[tuple[str, str], float] = defaultdict(float)
     known = [(field.segments(text, island), len(island), gold) for text, island, gold in training]
+    known = [x for x in known if all((i, j) in x[0] for i, j, _ in x[2])]
+
+    def moved(weight: float, square: float, g: float) -> tuple[float, float]:
+        g -= decay * weight
+        square += g * g
+        return (weight + rate * g / math.sqrt(square), square) if square > 1e-12 else (weight, square)
+
     for _ in range(rounds):
         for candidates, n, gold in known:
-            if any((i, j) not in candidates for i, j, _ in gold):
-                continue
             segments, pairs = field.posteriors(field.scores(candidates), n)
-            step = defaultdict(float)
+            miss = {s: [0.0] * len(at) for s in candidates}
             for (i, j, k), p in segments.items():
-                for f in candidates[i, j][1]:
-                    step[f"{k}|{f}"] -= p
-            for (a, b), p in pairs.items():
-                step[f"{a}>{b}"] -= p
+                miss[i, j][at[k]] -= p
+            turns = {s: -p for s, p in pairs.items()}
             last = "^"
             for i, j, k in gold:
-                for f in candidates[i, j][1]:
-                    step[f"{k}|{f}"] += 1.0
-                step[f"{last}>{k}"] += 1.0
+                miss[i, j][at[k]] += 1.0
+                turns[last, k] = turns.get((last, k), 0.0) + 1.0
                 last = k
-            for name, g in step.items():
-                g -= decay * field.weights.get(name, 0.0)
-                squares[name] += g * g
-                if squares[name] > 1e-12:
-                    field.weights[name] = field.weights.get(name, 0.0) + rate * g / math.sqrt(squares[name])
+            step: dict[str, list[float]] = {}
+            for s, by_kind in miss.items():
+                if max(map(abs, by_kind)) > 1e-4:  # what is settled teaches nothing
+                    for f in candidates[s][1]:
+                        step[f] = [x + y for x, y in zip(step[f], by_kind, strict=True)] if f in step else by_kind
+            for f, by_kind in step.items():
+                w, q = field.table.setdefault(f, [0.0] * len(at)), squares.setdefault(f, [0.0] * len(at))
+                for k, g in enumerate(by_kind):
+                    w[k], q[k] = moved(w[k], q[k], g)
+            for s, g in turns.items():
+                field.moves[s], pair_squares[s] = moved(field.moves.get(s, 0.0), pair_squares[s], g)
     return field
 
 
@@ -313,12 +338,13 @@ def find(docs: DataFrame, field: Field, text: str = "text", base: str = "base",
     Columns of docs stay, but for such as have the names of the new ones; rows may repeat.
     """
     docs = docs.drop(base, spans)
-    weights = docs.sparkSession.sparkContext.broadcast(field.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((field.table, field.moves))
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = Field(weights.value)
+        own = Field()
+        own.table, own.moves = shared.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             patterns, all_ = [], []
@@ -379,5 +405,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(said("base"), 256).alias("base_sha256"),
         said("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )
