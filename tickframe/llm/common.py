@@ -17,12 +17,21 @@ _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts; Arrow batches get BATCH_BYTES unless the session sets a size of its own."""
+    """A table of texts. For the whole session, Arrow batches get BATCH_BYTES unless it sets a size of its own."""
     if spark.conf.get(_BYTES, _DEFAULT_BYTES) == _DEFAULT_BYTES:
         spark.conf.set(_BYTES, BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was just read, dealt out to all cores if it has fewer files than there are cores.
+
+    A file of one row group is one task, however long its texts take. Large tables have more files and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

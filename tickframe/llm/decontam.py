@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import small, table, written
+from tickframe.llm.common import small, spread, table, written
 
 WINDOW = 10
 #: Benchmark text that travels to the tasks at once.
@@ -301,7 +301,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",

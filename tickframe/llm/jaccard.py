@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import fitted, partitions, small, table, written
+from tickframe.llm.common import fitted, partitions, small, spread, table, written
 from tickframe.llm.graph import components
 
 SHINGLE = 5
@@ -374,4 +374,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import partitions, table, written
+from tickframe.llm.common import partitions, spread, table, written
 
 #: Labelled documents that are fetched for fitting, at most.
 LABELLED = 5_000
@@ -558,6 +558,6 @@ def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THR
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and decision for every document. Rows need text, source and lang; ids without labels are the rule."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_text", "p_meta", "score")], "keep")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import partitions, table, written
+from tickframe.llm.common import partitions, spread, table, written
 from tickframe.llm.jaccard import mix
 
 THRESHOLD = 100
@@ -382,5 +382,5 @@ def _with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

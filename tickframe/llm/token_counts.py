@@ -19,7 +19,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import table, written
+from tickframe.llm.common import spread, table, written
 
 #: Entries of the dictionary of frequent pre-tokens, each of at most FREQUENT_BYTES bytes: under 10 MB.
 FREQUENT = 1 << 17
@@ -198,5 +198,5 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    counts = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
