@@ -101,8 +101,10 @@ def brute_components(rows):
     return {i: (len(s), top(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed):
+@pytest.mark.parametrize("seed, hot, heavy", [(1, 250_000, 1_000), (2, 20, 3), (3, 2, 40)])
+def test_jaccard(spark, monkeypatch, seed, hot, heavy):
+    for name, value in {"HOT_SETS": hot, "HOT_LOCAL": 2, "HEAVY": heavy, "FEW": 2 if seed < 3 else 0, "SALTS": 3}.items():
+        monkeypatch.setattr(jaccard, name, value)
     pick = random.Random(seed)
     base = [pick.choice("abcdefgh") for _ in range(60)]
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A \x0b b"), (4, " \n")]

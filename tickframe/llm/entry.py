@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.SQL,
     "op2_warc": warc.SQL,
+    "op3_ngram_jaccard": jaccard.SQL,
     "op4_decontaminate": decontam.SQL,
     "op10_chat_format": chat.SQL,
 }
