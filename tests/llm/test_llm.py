@@ -174,6 +174,44 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontam.contamination(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def plain_fold(events):
+    """The log event by event."""
+    out = {}
+    key = lambda e: tuple((x is not None, x) for x in (e[1], e[3], e[4], e[5]))
+    for conv, _, turn, kind, role, text in sorted(events, key=lambda e: key(e)):
+        turns = out.setdefault(conv, {})
+        if kind == "regenerate" and turn is not None:
+            for t in [t for t in turns if t is not None and t >= turn]:
+                del turns[t]
+        own = turns.setdefault(turn, [None, ""])
+        own[0] = role if own[0] is None else own[0]
+        own[1] = (text or "") if kind == "edit" else own[1] + (text or "")
+    return {(c, t, *x) for c, turns in out.items() for t, x in turns.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_equals_loop(spark, seed):
+    """Random logs with nulls in every column, equal sequence numbers, repeated events, a long text and clashing columns."""
+    pick = random.Random(seed)
+    some = lambda *x: pick.choice([*x, *x, None])
+    events = [
+        (some(1, 2, 3), pick.randrange(60), some(0, 1, 2, 3), pick.choice(["delta"] * 4 + ["edit", "regenerate"]), some("user", "assistant"), some("a", "b", "ü"))
+        for _ in range(300)
+    ]
+    events += events[:20] + [(9, 1, 0, "delta", "user", "x" * 1_000_000), (9, 2, 0, "delta", None, None)]
+    df = spark.createDataFrame(events, "conv_id long, seq long, turn long, kind string, role string, text string")
+    df = df.withColumns({c: F.lit(1) for c in ("cut", "edited", "parts", "place", "said")})
+    assert {tuple(r) for r in chat.fold(df).collect()} == plain_fold(events)
+    assert chat.render(chat.fold(df.limit(0))).count() == 0
+
+
+def test_streamed_logs_fold_back(spark):
+    messages = [(c, t, pick, "x y ü" * (t % 4)) for c in (1, 2, 3) for t in range(1, 12) for pick in [("user", "assistant")[t % 2]]]
+    log = chat.streamed(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    assert {tuple(r) for r in chat.fold(log).collect()} == set(messages)
+
+
 def archive(blocks):
     """Uncompressed records, one for each block."""
     heads = (f"WARC/1.1\r\nWARC-Type: {'response' if k % 2 else 'metadata'}\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {len(b)}\r\n\r\n" for k, b in enumerate(blocks))

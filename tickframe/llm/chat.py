@@ -43,22 +43,22 @@ def fold(events: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Final messages (conv, turn, role, text) from events (conv, seq, turn, kind, role, text).
 
     kind is delta (adds text to the turn), edit (the turn's text so far is replaced) or regenerate (the
-    turn's content and all later turns so far are void; the text, if any, starts the turn anew). seq must
-    be unique in a conversation; null texts are empty; the role is the first of the turn's live events
-    that isn't null. Null conversations and turns are groups of their own.
+    turn's content and all later turns so far are void; the text, if any, starts the turn anew). Events of
+    equal seq go by kind, role and text. Null texts are empty; the role is the first of the turn's live events
+    that isn't null. Null conversations and turns are groups of their own, and no regeneration reaches a null
+    turn. Other columns are dropped, whatever their names; an empty log gives no messages. The live text of
+    a conversation has to fit one row, as its rendering does.
     """
+    events = events.select(conv, "seq", "turn", "kind", "role", "text")
     # newest first, so that what follows an event is a frame that only grows
-    later = Window.partitionBy(conv).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later_in_turn = (
-        Window.partitionBy(conv, "turn").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    newest = [F.col(c).desc() for c in ("seq", "kind", "role", "text")]
+    later = Window.partitionBy(conv).orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
+    later_in_turn = Window.partitionBy(conv, "turn").orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)
     edited = F.max(F.when(F.col("kind") == "edit", F.lit(1))).over(later_in_turn)
-    marked = events.withColumn("cut", cut).withColumn("edited", edited)
-    live = marked.where(F.coalesce(F.col("turn") < F.col("cut"), F.lit(True))).withColumn(
-        "text", F.when(F.col("edited").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
-    )
-    parts = F.sort_array(F.collect_list(F.struct("seq", "role", "text")))
+    live = events.withColumn("cut", cut).where(F.coalesce(F.col("turn") < F.col("cut"), F.lit(True))).withColumn("edited", edited)
+    said = F.when(F.col("edited").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
+    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", "role", F.col("text").alias("place"), said.alias("said"))))
     roles = F.filter(F.transform("parts", lambda p: p["role"]), lambda r: r.isNotNull())
     return (
         live.groupBy(conv, "turn")
@@ -67,11 +67,35 @@ def fold(events: DataFrame, conv: str = "conv_id") -> DataFrame:
             conv,
             "turn",
             F.get(roles, F.lit(0)).alias("role"),
-            F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
+            F.array_join(F.transform("parts", lambda p: p["said"]), "").alias("text"),
         )
     )
 
 
+def streamed(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """A log of events, as a chat service writes it, that fold() turns into the given messages (conv, turn, role, text) again.
+
+    turn has numbers from 1. By turn: the text comes in two deltas; or as a draft of which an edit keeps the
+    first half and a delta adds the second; or as a draft and an abandoned next turn, both voided by a
+    regeneration, after which the text is streamed anew.
+    """
+    half = (F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    draft = F.concat(second, F.lit(" ..."))
+
+    def event(at: int, kind: str, text: Column, turn: Column | None = None) -> Column:
+        turn = F.col("turn") if turn is None else turn
+        return F.struct((F.col("turn") * 8 + at).alias("seq"), turn.alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    plain = F.array(event(0, "delta", first), event(1, "delta", second))
+    edited = F.array(event(0, "delta", draft), event(1, "edit", first), event(2, "delta", second))
+    abandoned = event(1, "delta", F.lit("..."), F.col("turn") + 1)
+    again = F.array(event(0, "delta", draft), abandoned, event(2, "regenerate", first), event(3, "delta", second))
+    way = F.pmod(F.col("turn") + F.coalesce(F.col(conv).cast("long"), F.lit(0)), F.lit(3))
+    events = F.when(way == 0, plain).when(way == 1, edited).otherwise(again)
+    return messages.select(conv, "role", F.explode(events).alias("e")).select(conv, "e.seq", "e.turn", "e.kind", "role", "e.text")
+
+
 def render(messages: DataFrame, conv: str = "conv_id", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv, formatted, segments (array of text and loss; joined they are formatted).
 
@@ -115,7 +139,10 @@ def parse(formatted: Column) -> Column:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1; every row is a turn, rows with equal turns go by role and text."""
+    """All conversations and conversation -1; every row is a turn, rows with equal turns go by role and text.
+
+    The turns are first written out as a log with deltas, edits and regenerations, which fold() resolves.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     probe = f"{EOS}[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -125,12 +152,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(probe).alias("text"),
     )
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = (
-        rows.unionByName(extra)
-        .withColumn("seq", F.row_number().over(in_order))
-        .select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("delta").alias("kind"), "role", "text")
-    )
-    read = render(fold(events)).withColumn("turns", parse(F.col("formatted")))
+    messages = rows.unionByName(extra).withColumn("turn", F.row_number().over(in_order).cast("long"))
+    read = render(fold(streamed(messages))).withColumn("turns", parse(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     trained = F.filter("segments", lambda s: s["loss"])
     loss = F.array_join(F.transform(trained, lambda s: unescape(s["text"])), "")
