@@ -6,15 +6,17 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tickframe.functions.decode import common, flags, pitch_view, view
+from tickframe.functions.decode import common, flags, invalid, pitch_view, view
+from tickframe.functions.numbers import close_enough, first_differences, next_power_of_two, to_double, to_long
 from tickframe.functions.prices import elapsed_text, level_to_price, penny_price, price_levels, price_text, time_text
 from tickframe.layouts import ITCH, PITCH
 from tickframe.operators import book, fold, histogram, inside, packets, rates
-from tickframe.operators.delay import delayed, delays, square
+from tickframe.operators.delay import COMPLEX, backward_fft, delayed, delays, forward_fft, random_series, square
 from tickframe.plans import oracle, queries
+from tickframe.plans.samples import MESSAGES
 from tickframe.sources import encode
 from tickframe.sources.itch import blocks, read_itch
-from tickframe.streaming.live import live_quotes, run_available
+from tickframe.streaming.live import feed_outputs, live_quotes, packet_messages, publish, run_available
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
@@ -68,6 +70,58 @@ def test_decoding(spark):
         view(bad, "S").collect()
 
 
+def test_samples_are_of_struct_formats(spark):
+    """The literal messages against bytes packed by other means, for types of every field width."""
+    import struct
+
+    head = struct.pack(">HH", 0, 1) + (41_551_123_456_789).to_bytes(6, "big")
+    stock = b"HSART   "
+    made = {
+        "A": struct.pack(">QcI8sI", 42, b"B", 100, stock, 1230500), "C": struct.pack(">QIQcI", 42, 300, 317, b"Y", 1230500),
+        "X": struct.pack(">QI", 42, 300), "V": struct.pack(">QQQ", 500001000000, 400001020000, 300001020300),
+        "I": struct.pack(">QQc8sIIIcc", 42000000, 424200, b"B", stock, 2340600, 1230500, 890100, b"O", b"A"),
+        "H": struct.pack(">8scB4s", stock, b"T", 0, b"MWC1"), "K": struct.pack(">8sIcI", stock, 49405, b"A", 1230500),
+    }
+    assert {k: bytes.fromhex(MESSAGES[k]) for k in made} == {k: k.encode() + head + v for k, v in made.items()}
+    short = spark.createDataFrame([(k, bytearray.fromhex(x)[:-1]) for k, x in MESSAGES.items()], "k string, payload binary")
+    assert {r.k: r.reason for r in invalid(short).collect()} == dict.fromkeys(MESSAGES, "too short")
+    bad = {"Y": -1, "L": -1, "W": -1, "H": 19, "Q": -1, "I": -1, "C": 31, "S": -1, "R": 27}
+    spoilt = []
+    for k, at in bad.items():
+        raw = bytearray.fromhex(MESSAGES[k])
+        raw[at] = ord("?")
+        spoilt.append((k, raw))
+    df = spark.createDataFrame(spoilt, "k string, payload binary")
+    assert {r.k: r.reason for r in invalid(df).collect()} == dict.fromkeys(bad, "unknown code")
+    assert view(df.where("k = 'S'"), "S", "UNCHECKED").first().event_code == "?"
+
+
+#: Little-endian messages as bytes, and their fields.
+PITCH_BYTES = {
+    0x20: ("0620 9885 0000", {"seconds": 34200}),
+    0x21: ("1A21 18D20600 05409B5B99010000 42 204E 5A5A5A202020 D204 01", {"time_offset": 447000, "order_id": 1758178525189, "side": "B", "shares": 20000, "stock": "ZZZ", "px": 1234, "flags": 1}),
+    0x29: ("0E29 18D20600 05409B5B99010000", {"time_offset": 447000, "order_id": 1758178525189}),
+    0x97: ("0697 18D20600", {"time_offset": 447000}),
+    0x25: ("1225 18D20600 05409B5B99010000 64000000", {"time_offset": 447000, "order_id": 1758178525189, "canceled": 100}),
+    0x26: ("1026 18D20600 05409B5B99010000 6400", {"time_offset": 447000, "order_id": 1758178525189, "canceled": 100}),
+    0x28: ("1328 18D20600 05409B5B99010000 4B00 E803 03", {"time_offset": 447000, "order_id": 1758178525189, "shares": 75, "px": 1000, "flags": 3}),
+    0x27: ("1B27 18D20600 05409B5B99010000 F8240100 08E2010000000000 03", {"time_offset": 447000, "order_id": 1758178525189, "shares": 75000, "px": 123400, "flags": 3}),
+    0x23: ("1A23 18D20600 05409B5B99010000 64000000 2A00000000000000", {"time_offset": 447000, "order_id": 1758178525189, "shares": 100, "execution_id": 42}),
+    0x24: ("2624 18D20600 05409B5B99010000 64000000 C8000000 2A00000000000000 08E2010000000000", {"time_offset": 447000, "order_id": 1758178525189, "shares": 100, "remaining": 200, "execution_id": 42, "px": 123400}),
+    0x22: ("2222 18D20600 05409B5B99010000 53 F8240100 5A5A5A202020 08E2010000000000 01", {"time_offset": 447000, "order_id": 1758178525189, "side": "S", "shares": 75000, "stock": "ZZZ", "px": 123400, "flags": 1}),
+    0x2F: ("282F 18D20600 05409B5B99010000 53 F8240100 5A5A5A2020202020 08E2010000000000 01 4D504944", {"time_offset": 447000, "order_id": 1758178525189, "side": "S", "shares": 75000, "stock": "ZZZ", "px": 123400, "flags": 1, "participant": "MPID"}),
+    0x95: ("2F95 18D20600 5A5A5A2020202020 43 08E2010000000000 64000000 C8000000 18E2010000000000 28E2010000000000", {"time_offset": 447000, "stock": "ZZZ", "auction_type": "C", "reference": 123400, "buy": 100, "sell": 200, "indicative": 123416, "auction_only": 123432}),
+}
+
+
+def test_pitch_bytes(spark):
+    assert PITCH_BYTES.keys() == PITCH.keys()
+    for kind, (text, want) in PITCH_BYTES.items():
+        raw = bytearray.fromhex(text)
+        assert raw[0] == len(raw)
+        assert pitch_view(spark.createDataFrame([(raw,)], "payload binary"), kind).first().asDict() == want
+
+
 def test_pitch(spark):
     sample = {"u": 7, "char": "B", "text": "ABC"}
     for kind, fields in PITCH.items():
@@ -144,6 +198,25 @@ def test_book_and_inside(spark):
     assert sorted(r.seq for r in inside.inside_reported(state).collect()) == [0, 1, 2, 3]
 
 
+def test_order_types(spark):
+    """Adds with a participant and executions at a price are adds and executions."""
+    log = rows_of(("F", 1, None, "B", 500, 10), ("C", 1, None, None, 200, 99), ("X", 1, None, None, 100, None), ("C", 1, None, None, 200, 7))
+    got = fold.fold(spark.createDataFrame(log, SCHEMA)).orderBy("seq").collect()
+    assert [(r.px, r.qty) for r in got] == [(10, 500), (10, -200), (10, -100), (10, -200)]
+
+
+def test_feed_errors(spark):
+    rows = [(k, "s", side, px, qty, False, 0, 0) for k, (side, px, qty) in enumerate([("B", 10, 5), ("B", 11, -5), ("B", 10, -9), ("S", 2_000_000_000, 1), ("S", 7, 0)])]
+    rows.append((5, "s", "B", 12, 3, True, 10, 4))
+    df = spark.createDataFrame(rows, "seq long, stock string, side string, px long, qty long, is_replace boolean, old_px long, old_qty long")
+    got = [(r.feed_error, r.bid_px, r.bid_qty) for r in book.states(df).orderBy("seq").collect()]
+    assert got == [
+        (None, 10, 5), ("no such level", 10, 5), ("more than the level has", 0, 0), ("price out of range", 0, 0), ("no quantity", 0, 0), ("no such level", 12, 3),
+    ]
+    with pytest.raises(Exception, match="no such level"):
+        book.states(df, mode="FAILFAST").collect()
+
+
 def random_log(seed, n=400):
     pick, live, out = random.Random(seed), [], []
     for k in range(n):
@@ -186,6 +259,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out")).select(*names)) == key(batch)
 
 
+def test_feed_handler(spark, tmp_path):
+    """Packets in files, over two micro-batches, to several outputs."""
+    log = [(k, 1, *m) for k, m in enumerate([("A", 1, "B", 500, 100000), ("A", 2, "B", 100, 110000), ("F", 3, "S", 50, 120000), ("A", 4, "B", 5, 90000)])]
+    head = {"stock_locate": 1, "tracking_number": 0, "ts_ns": 5}
+    made = [encode.itch(t, **head, order_id=i, side=s, shares=q, stock="X", px=p, **({"mpid": "M"} if t == "F" else {})) for _, _, t, i, s, q, p in log]
+    made.append(encode.itch("X", **head, order_id=2, shares=100))
+    for k, part in enumerate((made[:2], made[2:])):
+        packet = encode.packet("S", 2 * k, part)
+        spark.createDataFrame([(bytearray(packet),)], "data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("data binary").parquet(str(tmp_path / "in"))
+        publish(live_quotes(packet_messages(stream)), feed_outputs(), str(tmp_path / "out"), str(tmp_path / "state"))
+    read = lambda name: [(r.seq, r.bid_px, r.offer_px) for r in spark.read.parquet(str(tmp_path / "out" / name)).orderBy("seq").collect()]
+    assert read("updates") == [(0, 100000, 2_000_000_000), (1, 110000, 2_000_000_000), (2, 110000, 120000), (3, 110000, 120000), (4, 100000, 120000)]
+    assert [r[0] for r in read("inside")] == [0, 1, 2] and read("errors") == []
+
+
+def test_fft(spark):
+    df = spark.createDataFrame([([{"re": 1.0, "im": 2.0}, {"re": 0.0, "im": -1.0}],), ([],), (None,)], f"z {COMPLEX.simpleString()}")
+    got = [r.x for r in df.select(backward_fft(forward_fft("z")).alias("x")).collect()]
+    assert [(round(v.re, 9), round(v.im, 9)) for v in got[0]] == [(2, 4), (0, -2)] and got[1:] == [[], None]
+    assert values(spark, F.array_max(random_series(50, 1)) <= 1, random_series(5, 1) == random_series(5, 1), random_series(5, 1) == random_series(5, 2)) == (True, True, False)
+
+
+def test_number_helpers(spark):
+    texts = spark.createDataFrame([(x,) for x in ("12", "-3", "1x", " 1", "", None, "1.5", "1e3", "99999999999999999999")], "t string")
+    assert [tuple(r) for r in texts.select(to_long(F.col("t")), to_double(F.col("t"))).collect()] == [
+        (12, 12.0), (-3, -3.0), (None, None), (None, None), (None, None), (None, None), (None, 1.5), (None, 1000.0), (None, 1e20),
+    ]
+    assert values(spark, *[next_power_of_two(lit(x)) for x in (0, 1, 2, 3, 64, 65, 2**40 + 1)]) == (1, 1, 2, 4, 64, 128, 2**41)
+    a, b = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.array(F.lit(1.0 + 2e-16), F.lit(2.5))
+    assert values(spark, close_enough(lit(3), lit(4)), close_enough(lit(3), lit(5))) == (True, False)
+    assert [tuple(x) for x in values(spark, first_differences(a, b))[0]] == [(1, 2.0, 2.5), (2, 3.0, None)]
+
+
 def quantiles(spark, samples, binning, shares):
     df = spark.createDataFrame([(float(x),) for x in samples], "v double")
     row = histogram.histogram(df, [], "v", binning).select(*[histogram.quantile(q, binning) for q in shares]).first()
@@ -222,6 +329,18 @@ def plain_rate(times, n):
     return [sum(x - n < t <= x for t in ticks) for x in range(ticks[0], ticks[-1])]
 
 
+def test_rates_over_many_ranges(spark, monkeypatch):
+    """Without keys, more ranges than one, and late events."""
+    monkeypatch.setattr(rates, "RANGE_ROWS", 7)
+    pick = random.Random(5)
+    times = [k // 2 + pick.randint(0, 9) for k in range(200)]
+    want = {}
+    for rate in plain_rate(times, 4):
+        want[rate] = want.get(rate, 0) + 1
+    df = spark.createDataFrame(list(enumerate(times)), "o long, t long")
+    assert dict(map(tuple, rates.rate_steps(df, [], "t", "o", 4, 1).groupBy("rate").agg(F.sum("weight")).collect())) == want
+
+
 @pytest.mark.parametrize("times", [[10, 11, 12, 1012, 5012], [3, 1, 7, 7, 2, 30, 29, 31]])
 def test_rates(spark, times):
     n = 1000 if times[-1] > 1000 else 5

@@ -39,14 +39,15 @@ def itch_type(payload: Column) -> Column:
 def view(raw: DataFrame, kind: str, mode: str = "FAILFAST", payload: str = "payload") -> DataFrame:
     """Messages of one type with header and fields as columns; other columns of raw stay, the payload goes.
 
-    FAILFAST raises on an invalid message, PERMISSIVE leaves it out (invalid() has them).
+    FAILFAST raises on an invalid message, PERMISSIVE leaves it out (invalid() has them), UNCHECKED decodes
+    whatever is there, for feeds that were checked before.
     """
     p, fields = F.col(payload), ITCH[kind]
     rows = raw.where(itch_type(p) == kind)
     good = valid(p, fields, 11) & (unsigned(p, 5, 6) < DAY_NS)
     if mode.upper() == "PERMISSIVE":
         rows = rows.where(good)
-    else:
+    elif mode.upper() != "UNCHECKED":
         rows = rows.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"invalid message {kind}: "), F.hex(p))).cast("boolean")))
     columns = [value(p, f).alias(f.name) for f in (*ITCH_HEADER, *fields)]
     return rows.select(*[c for c in raw.columns if c != payload], F.lit(kind).alias("type"), *columns)
@@ -62,6 +63,17 @@ def flags(raw: DataFrame, payload: str = "payload") -> DataFrame:
     return raw.withColumns({"type": kind, "known": kind.isin(*ITCH), "ok": F.coalesce(ok, F.lit(False))})
 
 
+def invalid(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """Messages that no view takes, with type and reason: unknown type, too short, time of another day, or unknown code. Null payloads are too short."""
+    p = F.col(payload)
+    kind = itch_type(p)
+    least = F.element_at(F.create_map(*[F.lit(x) for k, fields in ITCH.items() for x in (k, max(11, size(fields)))]), kind)
+    short = F.coalesce(F.octet_length(p) < F.coalesce(least, F.lit(1)), F.lit(True))
+    reason = F.when(short, "too short").when(~kind.isin(*ITCH), "unknown type").when(unsigned(p, 5, 6) >= DAY_NS, "time of another day")
+    found = flags(raw, payload)
+    return found.where(~F.col("ok")).withColumn("reason", reason.otherwise("unknown code")).drop("known", "ok")
+
+
 def pitch_view(raw: DataFrame, kind: int, payload: str = "payload") -> DataFrame:
     """Messages of one type of the little-endian protocol; prices stay raw numbers."""
     p, fields = F.col(payload), PITCH[kind]

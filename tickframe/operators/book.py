@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.functions.prices import EMPTY_BID, EMPTY_OFFER
+from tickframe.functions.prices import EMPTY_BID, EMPTY_OFFER, MOST
 
 
 def level_quantity(changes: DataFrame) -> DataFrame:
@@ -42,7 +42,17 @@ class Side:
         self.prices: list[int] = []
         self.quantity: dict[int, int] = {}
 
-    def change(self, px: int, delta: int) -> None:
+    def change(self, px: int, delta: int) -> str | None:
+        """Adds to a level or takes from it, at most what it has; says what is wrong with a change that doesn't fit the book."""
+        wrong = None
+        if not 0 <= px < MOST:
+            wrong = "price out of range"
+        elif delta < 0 and px not in self.quantity:
+            wrong = "no such level"
+        elif self.quantity.get(px, 0) + delta < 0:
+            wrong = "more than the level has"
+        elif delta == 0:
+            wrong = "no quantity"
         now = self.quantity.get(px, 0) + delta
         if now > 0:
             if px not in self.quantity:
@@ -51,23 +61,27 @@ class Side:
         elif px in self.quantity:
             del self.quantity[px]
             del self.prices[bisect_left(self.prices, px)]
+        return wrong
 
 
 _STATE = (
     "bid_px long, bid_qty long, offer_px long, offer_qty long, worst_bid_px long, worst_bid_qty long, worst_offer_px long, "
-    "worst_offer_qty long, buy_levels long, sell_levels long, bids array<struct<px:long,qty:long>>, offers array<struct<px:long,qty:long>>"
+    "worst_offer_qty long, buy_levels long, sell_levels long, bids array<struct<px:long,qty:long>>, offers array<struct<px:long,qty:long>>, feed_error string"
 )
 
 
-def states(accepted: DataFrame, levels: int = 0, stock: str = "stock", seq: str = "seq") -> DataFrame:
+def states(accepted: DataFrame, levels: int = 0, stock: str = "stock", seq: str = "seq", mode: str = "PERMISSIVE") -> DataFrame:
     """accepted updates with the book after each: best and worst quotes, numbers of levels, and the best levels of each side.
 
-    An empty side quotes the fixed empty quote. All columns of accepted stay.
+    An empty side quotes the fixed empty quote. All columns of accepted stay. An update that doesn't fit its
+    book (a level that isn't there or has less, no quantity, a price out of range) is named in feed_error and
+    changes what it can, or, in mode FAILFAST, is an error.
     """
     import pyarrow as pa
 
     pairs = pa.list_(pa.struct([("px", pa.int64()), ("qty", pa.int64())]))
-    kinds = [pa.int64()] * 10 + [pairs, pairs]
+    kinds = [pa.int64()] * 10 + [pairs, pairs, pa.string()]
+    failfast = mode.upper() == "FAILFAST"
     names = [f.split()[0] for f in _STATE.split(", ")]
 
     def fold(batches: Iterator) -> Iterator:
@@ -79,16 +93,17 @@ def states(accepted: DataFrame, levels: int = 0, stock: str = "stock", seq: str
                 if own is None or key != own[0]:
                     own, sides = (key,), {"B": Side(), "S": Side()}
                 book = sides["B" if side == "B" else "S"]
-                if replace:
-                    book.change(old_px, -old_qty)
-                book.change(px, qty)
+                wrong = [book.change(old_px, -old_qty)] if replace else []
+                wrong = next(filter(None, [*wrong, book.change(px, qty)]), None)
+                if wrong and failfast:
+                    raise ValueError(f"security {key}, side {side}, price {px}, quantity {qty}: {wrong}")
                 bids, offers = sides["B"], sides["S"]
                 quote = lambda s, k, empty: (s.prices[k], s.quantity[s.prices[k]]) if s.prices else empty
                 best = lambda s, chosen: [{"px": p, "qty": s.quantity[p]} for p in chosen]
                 row = (
                     *quote(bids, -1, EMPTY_BID), *quote(offers, 0, EMPTY_OFFER),
                     *quote(bids, 0, EMPTY_BID), *quote(offers, -1, EMPTY_OFFER), len(bids.prices), len(offers.prices),
-                    best(bids, bids.prices[: -levels - 1 : -1]) if levels else [], best(offers, offers.prices[:levels]),
+                    best(bids, bids.prices[: -levels - 1 : -1]) if levels else [], best(offers, offers.prices[:levels]), wrong,
                 )
                 for column, x in zip(out, row, strict=True):
                     column.append(x)

@@ -51,6 +51,44 @@ def triangle(size: int, period: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(at(i) < 0.5, 4 * at(i) - 1).otherwise(3 - 4 * at(i)))
 
 
+COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
+
+
+def _complex(series: pd.Series) -> list[np.ndarray | None]:
+    """Series of numbers, or of structs re and im, as complex arrays."""
+    read = lambda x: np.array([complex(v["re"], v["im"]) for v in x], complex) if len(x) and isinstance(x[0], dict) else np.asarray(x, complex)
+    return [None if x is None else read(x) for x in series]
+
+
+def _transformed(series: pd.Series, how) -> pd.Series:
+    """Series of one length are transformed together; null stays null and empty stays empty."""
+    rows, out = _complex(series), [None] * len(series)
+    sizes = np.array([-1 if x is None else len(x) for x in rows])
+    for n in np.unique(sizes[sizes >= 0]):
+        own = np.flatnonzero(sizes == n)
+        made = how(np.stack([rows[k] for k in own])) if n else np.zeros((len(own), 0), complex)
+        for k, x in zip(own, made, strict=True):
+            out[k] = [{"re": float(v.real), "im": float(v.imag)} for v in x]
+    return pd.Series(out, index=series.index, dtype=object)
+
+
+@F.pandas_udf(COMPLEX)
+def forward_fft(series: pd.Series) -> pd.Series:
+    """The discrete Fourier transform of a series of numbers or of structs re and im."""
+    return _transformed(series, lambda x: np.fft.fft(x, axis=1))
+
+
+@F.pandas_udf(COMPLEX)
+def backward_fft(series: pd.Series) -> pd.Series:
+    """The inverse transform without its factor: forward and backward together give the series times its length."""
+    return _transformed(series, lambda x: np.fft.ifft(x, axis=1) * x.shape[1])
+
+
+def random_series(size: int, seed: int = 0) -> Column:
+    """A test signal of samples in [-1, 1), the same for a seed."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(1 << 52)) / F.lit(2.0**51) - 1.0)
+
+
 _ESTIMATE = T.StructType(
     [T.StructField("found", T.BooleanType()), T.StructField("delay", T.LongType()), T.StructField("confidence", T.DoubleType())]
 )

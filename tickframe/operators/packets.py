@@ -12,7 +12,7 @@ MTU, DELAY_NS = 508, 100_000
 
 
 def packetize(messages: DataFrame, session: str, seq: str, time: str, size: str, mtu: int = MTU, delay: int = DELAY_NS) -> DataFrame:
-    """session, seq, first_seq: the packet of each message, named by its first message.
+    """session, seq, size, first_seq: the packet of each message, named by its first message.
 
     A packet closes before a message that would fill it to the mtu, and before one that comes delay or more
     after the last packet was sent. Packets follow one another within a session, the unit of parallel work;
@@ -39,18 +39,16 @@ def packetize(messages: DataFrame, session: str, seq: str, time: str, size: str,
                 blocks += 1
                 held += n + BLOCK_HEADER
                 packet.append(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packet, pa.int64())], ["session", "seq", "first_seq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(packet, pa.int64())], ["session", "seq", "size", "first_seq"])
 
     kind = dict(messages.dtypes)[session]
     rows = messages.select(F.col(session).alias("session"), F.col(seq).cast("long").alias("seq"), F.col(time).cast("long"), F.col(size).cast("long"))
-    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(fold, f"session {kind}, seq long, first_seq long")
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(fold, f"session {kind}, seq long, size long, first_seq long")
 
 
 def packet_table(messages: DataFrame, session: str, seq: str, time: str, size: str, mtu: int = MTU, delay: int = DELAY_NS) -> DataFrame:
     """session, first_seq, block_count, bytes; the last, partial packet of a session is there too, marked is_final_partial."""
-    placed = packetize(messages, session, seq, time, size, mtu, delay)
-    sized = placed.join(messages.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(size).alias("size")), ["session", "seq"])
-    packets = sized.groupBy("session", "first_seq").agg(
+    packets = packetize(messages, session, seq, time, size, mtu, delay).groupBy("session", "first_seq").agg(
         F.count(F.lit(1)).alias("block_count"), (F.sum(F.col("size") + BLOCK_HEADER) + HEADER).cast("long").alias("bytes")
     )
     return packets.withColumn("is_final_partial", F.lead("first_seq").over(Window.partitionBy("session").orderBy("first_seq")).isNull())

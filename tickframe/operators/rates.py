@@ -23,8 +23,8 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
     """keys, tick, rate, weight: the rate that holds for weight ticks from tick on.
 
     The first event only starts the clock, and the last, open tick gives no rate: weights sum to the last
-    tick less the first. Windows are by key; without keys the current tick is found in two steps, within
-    ranges of the order and then over the ranges, so that no task sees all events.
+    tick less the first. Windows are by key; without keys current ticks and rates are found in two steps,
+    within ranges of about RANGE_ROWS rows and then over the ranges, so that no task sees all events.
     """
     n = window_ticks(measurement, sampling)
     tick = F.floor(F.col(time) / sampling).cast("long")
@@ -39,20 +39,42 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
     both = F.explode(F.array(change(F.col("tick"), F.col("events")), change(F.col("tick") + n, -F.col("events"))))
     ends = counts.select(*keys, both.alias("x")).groupBy(*keys, "x.tick").agg(F.sum("x.change").alias("change"))
     last = counts.groupBy(*keys).agg(F.max("tick").alias("last")) if keys else counts.agg(F.max("tick").alias("last"))
-    by = Window.partitionBy(*keys).orderBy("tick")
-    joined = ends.join(last, list(keys)) if keys else ends.crossJoin(F.broadcast(last))  # one row
-    steps = joined.withColumn("rate", F.sum("change").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
-        "until", F.least(F.coalesce(F.lead("tick").over(by), F.col("last")), F.col("last"))
+    joined = ends.join(last, list(keys)) if keys else _over_ranges(ends).crossJoin(F.broadcast(last))  # one row
+    if not keys:
+        by, base, next_ = Window.partitionBy("part").orderBy("tick"), F.col("base"), F.col("next_tick")
+    else:
+        by, base, next_ = Window.partitionBy(*keys).orderBy("tick"), F.lit(0), F.col("last")
+    steps = joined.withColumn("rate", base + F.sum("change").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn(
+        "until", F.least(F.coalesce(F.lead("tick").over(by), next_, F.col("last")), F.col("last"))
     )
     return steps.where("tick < last").select(*keys, "tick", "rate", (F.col("until") - F.col("tick")).alias("weight")).where("weight > 0")
 
 
-def _running_max(rows: DataFrame, ranges: int = 64) -> DataFrame:
+#: Rows of a range that one task takes in order, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 500_000, 2_000
+
+
+def _with_part(rows: DataFrame, by: str) -> DataFrame:
+    """rows with part, the range of the column by; ranges have about as many rows each."""
+    ranges = max(2, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = rows.select(F.percentile_approx(by, shares, F.lit(10 * ranges)).alias("cuts")).first()
+    cuts = F.array(*[F.lit(c) for c in sorted(set(bounds["cuts"] or [0]))])
+    return rows.withColumn("part", F.size(F.filter(cuts, lambda c: F.col(by) > c)))
+
+
+def _over_ranges(ends: DataFrame) -> DataFrame:
+    """ends (tick, change) with part, base (the sum of all changes of earlier parts) and next_tick (the first tick of the next part)."""
+    dealt = _with_part(ends, "tick")
+    sums = dealt.groupBy("part").agg(F.sum("change").alias("sum"), F.min("tick").alias("first"))
+    in_order = Window.orderBy("part")  # one row per range
+    base = F.coalesce(F.sum("sum").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    return dealt.join(F.broadcast(sums.select("part", base, F.lead("first").over(in_order).alias("next_tick"))), "part")
+
+
+def _running_max(rows: DataFrame) -> DataFrame:
     """tick: the largest t so far in the order of o."""
-    bounds = rows.select(F.percentile_approx("o", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)).alias("cuts")).first()
-    cuts = sorted(set(bounds["cuts"] or []))
-    part = sum(((F.col("o") > c).cast("int") for c in cuts), F.lit(0))
-    dealt = rows.withColumn("part", part)
+    dealt = _with_part(rows, "o")
     tops = dealt.groupBy("part").agg(F.max("t").alias("top"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     floors = tops.select("part", F.max("top").over(before).alias("floor"))

@@ -17,6 +17,7 @@ from tickframe.operators.rates import interarrival, rate_steps
 
 AGGREGATE = "__aggregate__"
 SECOND = 1_000_000_000
+# Periods, maxima and percentiles of the format.
 #: Name, measurement and sampling period in ns, largest rate with a bin of its own.
 RATES = (
     ("RatePerSec", SECOND, 1_000_000, 1_000_000),
@@ -51,9 +52,8 @@ def feed_statistics(events: DataFrame, name: str, time: str, order: str, process
         own = rate_steps(rows, ["Name"], "t", "o", measurement, sampling)
         whole = rate_steps(rows, [], "t", "o", measurement, sampling).withColumn("Name", F.lit(AGGREGATE))
         parts.append(_named(own.unionByName(whole), "rate", IntegerRange(0, most), DEPTH, suffix, "weight"))
-    everything = rows.withColumn("part", F.floor(F.col("o") / 1_000_000))
     gaps = interarrival(rows, ["Name"], "t", "o").select("Name", "gap").unionByName(
-        _ordered_gaps(everything).select(F.lit(AGGREGATE).alias("Name"), "gap")
+        ordered_gaps(rows).select(F.lit(AGGREGATE).alias("Name"), "gap")
     )
     parts.append(_named(gaps, "gap", IntegerRange(0, ARRIVAL_MAX), ARRIVAL, "Arrival"))
     if processing:
@@ -64,8 +64,9 @@ def feed_statistics(events: DataFrame, name: str, time: str, order: str, process
     return _with_empty(out, names)
 
 
-def _ordered_gaps(rows: DataFrame) -> DataFrame:
-    """Gaps of the whole feed: within ranges of a million order numbers, and between one range's end and the next one's start."""
+def ordered_gaps(rows: DataFrame) -> DataFrame:
+    """gap: times between events (o, t) of the whole feed: within ranges of a million order numbers, and between one range's end and the next one's start."""
+    rows = rows.withColumn("part", F.floor(F.col("o") / 1_000_000))
     inner = interarrival(rows, ["part"], "t", "o").select("gap")
     ends = rows.groupBy("part").agg(F.min(F.struct("o", "t")).alias("first"), F.max(F.struct("o", "t")).alias("last"))
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tickframe.plans.samples import FIELDS
+
 _FEED = """
 feed AS (
   SELECT event_id AS seq, epoch_us(ts)::BIGINT AS ts_us, ((epoch_us(ts) % 86400000000) * 1000)::BIGINT AS ts_ns, user_id AS stock,
@@ -253,3 +255,58 @@ SQL: dict[str, str] = {
       SELECT stock, arrival, first_seq, block_count, expected::BIGINT AS expected, (first_seq - expected)::BIGINT AS gap FROM e""",
 }
 SQL["order_fold"] = SQL["order_updates"]
+SQL["file_inside"] = SQL["packet_inside"] = BOOK + f"SELECT seq, stock, bid_px, bid_qty, offer_px, offer_qty FROM book WHERE {_REPORTED}"
+SQL["invalid_messages"] = FEED + """, typed AS (
+  SELECT seq, CASE WHEN type = 'A' AND seq % 2 = 1 THEN 'F' WHEN type = 'E' THEN substr('ECX', 1 + (seq % 3)::INT, 1) ELSE type END AS type, seq % 11 AS way FROM feed)
+  SELECT seq, CASE way WHEN 1 THEN 'Z' ELSE type END AS type,
+         CASE way WHEN 1 THEN 'unknown type' WHEN 2 THEN 'too short' WHEN 3 THEN 'time of another day' ELSE 'unknown code' END AS reason
+  FROM typed WHERE way IN (1, 2, 3) OR way = 4 AND type IN ('A', 'F')"""
+SQL["decode_roundtrip"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{text}')" for k, text in FIELDS.items()) + ") AS t(type, fields)"
+SQL["inside_statistics"] = BOOK + f", reported AS (SELECT seq, stock, ts_us FROM book WHERE {_REPORTED}), " + quantile_sql(
+    f"""SELECT stock, (ts_us - lag(ts_us) OVER (PARTITION BY stock ORDER BY seq)) // {MINUTE} AS v, 1 AS w FROM reported QUALIFY v IS NOT NULL
+    UNION ALL SELECT NULL, (ts_us - lag(ts_us) OVER (ORDER BY seq)) // {MINUTE} AS v, 1 FROM reported QUALIFY v IS NOT NULL""", "stock", ARRIVAL, 0, 100000
+)
+SQL["spectrum"] = """SELECT vec_id, k, round(sum(x * cos(2 * pi() * k * i / 64)), 4) + 0.0 AS re, round(sum(-x * sin(2 * pi() * k * i / 64)), 4) + 0.0 AS im,
+    round(64 * sum(CASE WHEN i = k THEN x END), 4) + 0.0 AS back
+    FROM (SELECT vec_id, i, embedding[1 + i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64)) AS i)), (SELECT unnest(range(64)) AS k) GROUP BY vec_id, k"""
+SQL["number_helpers"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN o_orderkey END AS number,
+    (2 ** ceil(log2(greatest(o_orderkey, 1)) - 1e-12))::BIGINT AS power, abs(o_orderkey - o_custkey) <= 100 AS near FROM orders"""
+SQL["packet_table"] = "WITH RECURSIVE " + FEED.removeprefix("WITH ") + """, m AS (
+  SELECT stock, seq, ts_us * 1000 AS ts, shares + 19 AS size, row_number() OVER (PARTITION BY stock ORDER BY seq) AS k FROM feed
+), walk AS (
+  SELECT stock, k, seq AS first_seq, 22 + size AS held, size, ts AS sent FROM m WHERE k = 1
+  UNION ALL
+  SELECT m.stock, m.k, CASE WHEN m.ts - sent >= 21600000000000 OR held + m.size + 2 >= 220 THEN m.seq ELSE first_seq END,
+         CASE WHEN m.ts - sent >= 21600000000000 OR held + m.size + 2 >= 220 THEN 22 + m.size ELSE held + m.size + 2 END, m.size,
+         CASE WHEN m.ts - sent >= 21600000000000 OR held + m.size + 2 >= 220 THEN m.ts ELSE sent END
+  FROM walk JOIN m ON m.stock = walk.stock AND m.k = walk.k + 1
+)
+SELECT stock AS session, first_seq, count(*)::BIGINT AS block_count, (20 + sum(size + 2))::BIGINT AS bytes,
+       first_seq = max(first_seq) OVER (PARTITION BY stock) AS is_final_partial FROM walk GROUP BY stock, first_seq"""
+
+
+def _statistics() -> str:
+    """The feed's statistics: times in ns, a row for each security and one for everything."""
+    own, whole = "SELECT stock::VARCHAR AS Name, seq, ts_us * 1000 AS ts_us FROM base", "SELECT '__aggregate__' AS Name, seq, ts_us * 1000 AS ts_us FROM base"
+    parts, columns = [], []
+    for suffix, measure, sample, most in RATES:
+        rates = " UNION ALL ".join(
+            f"(WITH feed AS ({rows}), {_steps('Name', measure, sample)} SELECT Name, rate AS v, weight AS w FROM steps)" for rows in (own, whole)
+        )
+        parts.append((suffix, "WITH " + quantile_sql(rates, "Name", DEPTH, 0, most), DEPTH))
+    gaps = " UNION ALL ".join(
+        f"(SELECT Name, ts_us - lag(ts_us) OVER (PARTITION BY Name ORDER BY seq) AS v, 1 AS w FROM ({rows}) QUALIFY v IS NOT NULL)" for rows in (own, whole)
+    )
+    parts.append(("Arrival", "WITH " + quantile_sql(gaps, "Name", ARRIVAL, 0, 100_000), ARRIVAL))
+    joins = ""
+    for suffix, sql, shares in parts:
+        joins += f" LEFT JOIN ({sql}) AS t{suffix} USING (Name)"
+        columns += [f"t{suffix}.{c} AS {c}{suffix}" for c in ("min", *shares, "max")]
+    columns += [f"NULL::BIGINT AS {c}Processing" for c in ("min", "p10", "p25", "p50", "p75", "p90", "p99", "p999", "p9999", "max")]
+    names = "SELECT Name, count(*) AS NSamples FROM (SELECT stock::VARCHAR AS Name FROM base UNION ALL SELECT '__aggregate__' FROM base) GROUP BY Name"
+    return FEED.replace("feed AS (", "base AS (", 1).replace("FROM feed", "FROM base") + f"SELECT Name, NSamples, {', '.join(columns)} FROM ({names}) AS n{joins}"
+
+
+#: Name, measurement and sampling period in ns, largest rate with a bin of its own.
+RATES = (("RatePerSec", 1_000_000_000, 1_000_000, 1_000_000), ("RatePerMSec", 1_000_000, 1_000, 100_000), ("RatePerUSec", 1_000, 1, 100_000))
+SQL["feed_statistics"] = _statistics()

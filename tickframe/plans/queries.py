@@ -335,25 +335,118 @@ def mold_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One encoded message of each of the 19 types, decoded by expressions: type, fields as text."""
+    """One message of each of the 19 types, given as bytes, decoded by expressions: type, fields as text."""
     from tickframe.functions.decode import flags, view
-    from tickframe.layouts import ITCH
-    from tickframe.sources.encode import itch
-
-    sample = {"u": 42, "price4": 1_230_500, "price8": 500_001_000_000}
-    rows = []
-    for k, fields in ITCH.items():
-        values = {f.name: sample.get(f.kind, f.codes[0] if f.codes else "AB"[: f.width]) for f in fields}
-        rows.append((bytearray(itch(k, stock_locate=7, tracking_number=1, ts_ns=41_551_123_456_789, **values)),))
-    raw = flags(spark.createDataFrame(rows, "payload binary")).where("ok").select("payload")
+    from tickframe.plans.samples import MESSAGES
+
+    raw = flags(spark.createDataFrame([(bytearray.fromhex(x),) for x in MESSAGES.values()], "payload binary")).where("ok").select("payload")
     out = None
-    for k in ITCH:
+    for k in MESSAGES:
         one = view(raw, k)
-        text = one.select("type", F.to_json(F.struct(*[c for c in one.columns if c != "type"])).alias("fields"))
+        text = one.select("type", F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in one.columns if c != "type"]).alias("fields"))
         out = text if out is None else out.unionByName(text)
     return out
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq and payload: the feed as messages of the types A, F, E, C, X, D and U; a message without a reference names an order that isn't there."""
+    from tickframe.sources.encode import payload
+
+    rows = feed(spark, sf_dir)
+    head = {"stock_locate": F.col("stock") % 65_536, "tracking_number": F.lit(1), "ts_ns": F.col("ts_ns")}
+    ref = F.coalesce("ref", F.lit(1 << 62))
+    own = {"side": F.col("side"), "shares": F.col("shares"), "stock": F.col("stock"), "px": F.col("px")}
+    odd, third = F.col("seq") % 2 == 1, F.col("seq") % 3
+    kinds = {"A": (F.col("type") == "A") & ~odd, "F": F.col("type") == "A", "E": (F.col("type") == "E") & (third == 0)}
+    kinds |= {"C": (F.col("type") == "E") & (third == 1), "X": F.col("type") == "E", "D": F.col("type") == "D", "U": F.col("type") == "U"}
+    fields = {
+        "A": own | {"order_id": F.col("order_id")},
+        "F": own | {"order_id": F.col("order_id"), "mpid": F.lit("TICK")},
+        "E": {"order_id": ref, "shares": F.col("shares"), "match": F.col("seq")},
+        "C": {"order_id": ref, "shares": F.col("shares"), "match": F.col("seq"), "printable": F.lit("Y"), "exec_px": F.col("px")},
+        "X": {"order_id": ref, "shares": F.col("shares")},
+        "D": {"order_id": ref},
+        "U": {"order_id": ref, "new_order_id": F.col("order_id"), "shares": F.col("shares"), "px": F.col("px")},
+    }
+    message = F.coalesce(*[F.when(test, payload(k, **(head | fields[k]))) for k, test in kinds.items()])
+    return rows.select("seq", message.alias("payload"))
+
+
+def _inside_of(messages: DataFrame) -> DataFrame:
+    from tickframe.functions.decode import common
+
+    updates_ = fold.fold(common(messages), "stock_locate", "seq")
+    return inside.inside_reported(book.states(updates_, mode="FAILFAST")).select("seq", "stock", *_QUOTE)
+
+
+def file_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written as length-framed files, one after another, and read back: frames, decoding, orders, books, reported inside quotes."""
+    from pyspark.sql import Window
+
+    from tickframe.sources.encode import write_frames
+    from tickframe.sources.itch import read_itch
+    from tickframe.sources.shared import shared_path
+
+    path = shared_path(spark, "frames")
+    write_frames(_encoded(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), path)
+    raw = read_itch(spark, path, "file string, msgcnt long, type string, payload binary").where(F.col("type").isin(*"AFECXDU")).drop("type")
+    sizes = read_itch(spark, path, "file string, msgcnt long").groupBy("file").agg((F.max("msgcnt") + 1).alias("size"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    first = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    return _inside_of(raw.join(F.broadcast(first), "file").select((F.col("first") + F.col("msgcnt")).alias("seq"), "payload"))
+
+
+def packet_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as packets over two channels that lose different ones, arbitrated by number: blocks, decoding, orders, books, reported inside quotes."""
+    from tickframe.sources.encode import packets as packed
+    from tickframe.sources.itch import blocks
+
+    sent = packed(_encoded(spark, sf_dir).withColumn("packet", F.floor(F.col("seq") / 20)), "packet", "TICK")
+    channel = lambda n: sent.where(F.col("packet") % 5 != n).select("data")
+    received = blocks(channel(1).unionByName(channel(3))).dropDuplicates(["session", "seq"])
+    return _inside_of(received.select("seq", "payload"))
+
+
+def invalid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's messages, some of them spoilt in one of four ways, that no decoder takes, and why."""
+    from tickframe.functions.decode import invalid
+
+    p, way = F.col("payload"), F.col("seq") % 11
+    replaced = lambda at, text: F.concat(F.substring(p, 1, at), F.unhex(F.lit(text)), F.substring(p, at + 1 + len(text) // 2, 1 << 20))
+    spoilt = F.when(way == 1, replaced(0, "5A")).when(way == 2, F.substring(p, 1, 12)).when(way == 3, replaced(5, "FFFFFFFFFFFF")).otherwise(p)
+    spoilt = F.when((way == 4) & F.substring(p, 1, 1).isin(bytearray(b"A"), bytearray(b"F")), replaced(19, "3F")).otherwise(spoilt)
+    return invalid(_encoded(spark, sf_dir).withColumn("payload", spoilt)).select("seq", "type", "reason")
+
+
+def inside_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes between reported inside quotes, of each security and of all in the feed's order."""
+    quotes = inside.inside_reported(books(spark, sf_dir)).select("stock", "seq", "ts_us")
+    own = rates.interarrival(quotes, ["stock"], "ts_us", "seq").select("stock", "gap")
+    whole = statistics.ordered_gaps(quotes.select(F.col("ts_us").alias("t"), F.col("seq").alias("o")))
+    gaps = own.unionByName(whole.select(F.lit(None).cast("long").alias("stock"), "gap"))
+    minutes = gaps.select("stock", F.floor(F.col("gap") / MINUTE).cast("long").alias("gap"))
+    return _stats(minutes, ["stock"], "gap", histogram.IntegerRange(0, 100_000), histogram.ARRIVAL)
+
+
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of each vector, and the transform back of it, which is the vector times its length."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", delay.forward_fft("embedding").alias("z"))
+    both = rows.select("vec_id", F.posexplode(F.arrays_zip("z", delay.backward_fft("z").alias("x"))).alias("k", "y"))
+    part = lambda c: F.round(c, 4) + F.lit(0.0)
+    return both.select("vec_id", F.col("k").cast("long").alias("k"), part(F.col("y.z.re")).alias("re"), part(F.col("y.z.im")).alias("im"), part(F.col("y.x.re")).alias("back"))
+
+
+def number_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers from text that is spoilt in places, powers of two, and comparison with tolerance."""
+    from tickframe.functions.numbers import close_enough, next_power_of_two, to_long
+
+    text = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 5 == 0, "x").otherwise(""))
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", to_long(text).alias("number"), next_power_of_two(F.col("o_orderkey")).alias("power"),
+        close_enough(F.col("o_orderkey"), F.col("o_custkey"), 100).alias("near"),
+    )
+
+
 def order_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_updates through the fold that follows arbitrary references."""
     rows = feed(spark, sf_dir).select(
@@ -378,6 +471,7 @@ QUERIES: dict[str, Query] = {
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
-        time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip,
+        time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, invalid_messages,
+        inside_statistics, spectrum, number_helpers,
     )
 }

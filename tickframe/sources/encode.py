@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import gzip
 import struct
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tickframe.layouts import ITCH, ITCH_HEADER, PITCH, Field, size
 
@@ -25,6 +29,54 @@ def itch(kind: str, **values) -> bytes:
     return bytes(out)
 
 
+def payload(kind: str, **values: Column) -> Column:
+    """The bytes of a message as an expression, from columns for all of its fields; fields lie end to end after the type."""
+
+    def part(f: Field) -> Column:
+        if f.kind in ("u", "price4", "price8"):
+            return F.unhex(F.lpad(F.hex(values[f.name].cast("long")), 2 * f.width, "0"))
+        return F.encode(F.rpad(values[f.name].cast("string"), f.width, " "), "ISO-8859-1")
+
+    fields = sorted((*ITCH_HEADER, *ITCH[kind]), key=lambda f: f.offset)
+    return F.concat(F.encode(F.lit(kind), "ISO-8859-1"), *map(part, fields))
+
+
+def block(message: Column) -> Column:
+    """A message with its length before it, as an expression."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(message)), 4, "0")), message)
+
+
+def packets(messages: DataFrame, by: str, session: str, seq: str = "seq", message: str = "payload") -> DataFrame:
+    """data: a packet for each value of the column by, its messages in order of seq; they must be as many as its numbers, and 65,535 at most."""
+    found = messages.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), block(F.col(message)).alias("block")))).alias("all"))
+    number = lambda c, width: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))
+    head = F.concat(F.encode(F.rpad(F.lit(session), 10, " "), "ISO-8859-1"), number(F.get("all", F.lit(0))["seq"], 8), number(F.size("all"), 2))
+    return found.select(F.col(by), F.aggregate("all", head, lambda s, x: F.concat(s, x["block"])).alias("data"))
+
+
+def write_frames(messages: DataFrame, path: str, message: str = "payload") -> None:
+    """A length-framed file for each partition of messages, named in the partitions' order, in the folder path.
+
+    A task writes under a name of its own and renames at its end, so that one that is lost or runs twice leaves no half file.
+    """
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task, (system, root) = TaskContext.get(), fs.FileSystem.from_uri(path)
+        system.create_dir(root)
+        own = f"{root}/_{task.partitionId()}-{task.taskAttemptId()}"
+        with system.open_output_stream(own) as out:
+            for batch in batches:
+                out.write(framed([m for m in batch.column(0).to_pylist() if m is not None]))
+        system.move(own, f"{root}/part-{task.partitionId():06d}.itch")
+        yield pa.RecordBatch.from_arrays([pa.array([own])], ["file"])
+
+    messages.select(message).mapInArrow(write, "file string").count()
+
+
 def pitch(kind: int, **values) -> bytes:
     out = bytearray(size(PITCH[kind]))
     out[0], out[1] = len(out), kind

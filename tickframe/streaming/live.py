@@ -1,53 +1,119 @@
-"""Live books: order and level state per security in Spark's state store, over a stream of decoded messages."""
+"""Live books: orders and levels per security as maps in Spark's state store, over a stream of decoded messages."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickframe.functions.prices import EMPTY_BID, EMPTY_OFFER
 from tickframe.operators.book import Side
 from tickframe.operators.fold import Orders
-from tickframe.functions.prices import EMPTY_BID, EMPTY_OFFER
 
-QUOTES = "stock long, seq long, side string, px long, qty long, is_replace boolean, old_px long, old_qty long, bid_px long, bid_qty long, offer_px long, offer_qty long"
+QUOTES = (
+    "stock long, seq long, side string, px long, qty long, is_replace boolean, old_px long, old_qty long, "
+    "bid_px long, bid_qty long, offer_px long, offer_qty long, feed_error string"
+)
 _NAMES = [f.split()[0] for f in QUOTES.split(", ")]
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Held(MutableMapping):
+    """Live orders of one security, fetched from the state when a message refers to them; flush() writes back what changed."""
+
+    def __init__(self, state):
+        self.state, self.known, self.changed = state, {}, set()
+
+    def _get(self, key: int):
+        if key not in self.known:
+            self.known[key] = tuple(self.state.getValue((key,))) if self.state.containsKey((key,)) else None
+        return self.known[key]
+
+    def __contains__(self, key) -> bool:
+        return key is not None and self._get(key) is not None
+
+    def __getitem__(self, key: int):
+        if (found := self._get(key)) is None:
+            raise KeyError(key)
+        return found
+
+    def __setitem__(self, key: int, value: tuple) -> None:
+        self.known[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key: int) -> None:
+        self[key] = None
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(k for k, v in self.known.items() if v is not None)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.known[key] is not None:
+                self.state.updateValue((key,), self.known[key])
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
 
 
-def _run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Messages of one security in a micro-batch, in order of seq; live orders are the state, levels follow from them."""
-    held = json.loads(state.get[0]) if state.exists else []
-    orders = Orders({int(k): tuple(v) for k, v in held})
-    sides = {"B": Side(), "S": Side()}
-    for side, px, left in orders.live.values():
-        sides[side].change(px, left)
-    rows = []
-    messages = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    clean = lambda v: None if pd.isna(v) else int(v)
-    for m in messages.itertuples(index=False):
-        side = m.side if isinstance(m.side, str) else None
-        update = orders.apply(int(m.seq), m.type, clean(m.order_id), clean(m.new_order_id), side, clean(m.shares), clean(m.px))
-        if update is None:
-            continue
-        _, side, px, qty, replace, old_px, old_qty = update
-        book = sides[side]
-        if replace:
-            book.change(old_px, -old_qty)
-        book.change(px, qty)
-        bids, offers = sides["B"], sides["S"]
-        bid = (bids.prices[-1], bids.quantity[bids.prices[-1]]) if bids.prices else EMPTY_BID
-        offer = (offers.prices[0], offers.quantity[offers.prices[0]]) if offers.prices else EMPTY_OFFER
-        rows.append((key[0], *update, *bid, *offer))
-    state.update((json.dumps(list(orders.live.items())),))
-    yield pd.DataFrame(rows, columns=_NAMES)
+class LiveBooks(StatefulProcessor):
+    """Messages of one security in a micro-batch, in order of seq. Only orders that they name are read; levels, which are few, are read whole."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.orders = handle.getMapState("orders", "id long", "side string, px long, left long")
+        self.levels = handle.getMapState("levels", "side string, px long", "qty long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = Held(self.orders)
+        orders, sides, touched, out = Orders(), {"B": Side(), "S": Side()}, set(), []
+        orders.live = held
+        for (side, px), (qty,) in self.levels.iterator():
+            sides[side].change(px, qty)
+        messages = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        clean = lambda v: None if pd.isna(v) else int(v)
+        for m in messages.itertuples(index=False):
+            side = m.side if isinstance(m.side, str) else None
+            update = orders.apply(int(m.seq), m.type, clean(m.order_id), clean(m.new_order_id), side, clean(m.shares), clean(m.px))
+            if update is None:
+                continue
+            _, side, px, qty, replace, old_px, old_qty = update
+            wrong = [sides[side].change(p, q) for p, q in ([(old_px, -old_qty)] if replace else []) + [(px, qty)]]
+            touched |= {(side, px), (side, old_px)} if replace else {(side, px)}
+            bids, offers = sides["B"], sides["S"]
+            bid = (bids.prices[-1], bids.quantity[bids.prices[-1]]) if bids.prices else EMPTY_BID
+            offer = (offers.prices[0], offers.quantity[offers.prices[0]]) if offers.prices else EMPTY_OFFER
+            out.append((key[0], *update, *bid, *offer, next(filter(None, wrong), None)))
+        held.flush()
+        for side, px in touched:
+            if px in sides[side].quantity:
+                self.levels.updateValue((side, px), (sides[side].quantity[px],))
+            elif self.levels.containsKey((side, px)):
+                self.levels.removeKey((side, px))
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 def live_quotes(messages: DataFrame) -> DataFrame:
-    """Accepted updates with best bid and offer, of a stream of messages (stock, seq, type, order_id, new_order_id, side, shares, px)."""
-    return messages.groupBy("stock").applyInPandasWithState(_run, QUOTES, "live string", "append", GroupStateTimeout.NoTimeout)
+    """Accepted updates with best bid and offer, of a stream of messages (stock, seq, type, order_id, new_order_id, side, shares, px).
+
+    Orders and levels leave the state when nothing is left of them.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return messages.groupBy("stock").transformWithStateInPandas(LiveBooks(), QUOTES, "append", "None")
+
+
+def packet_messages(packets: DataFrame, data: str = "data") -> DataFrame:
+    """Messages for live_quotes() of a stream of packets; seq is the message's number in its session."""
+    from tickframe.functions.decode import common
+    from tickframe.sources.itch import blocks
+
+    return common(blocks(packets, data)).select(
+        F.col("stock_locate").alias("stock"), "seq", "type", "order_id", "new_order_id", "side", "shares", "px"
+    )
 
 
 def run_available(quotes: DataFrame, path: str, checkpoint: str) -> None:
@@ -55,3 +121,24 @@ def run_available(quotes: DataFrame, path: str, checkpoint: str) -> None:
     query = quotes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
+
+def publish(quotes: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, format: str = "parquet") -> None:
+    """Runs a stream over what is there and gives every micro-batch to several outputs, each below path under its name.
+
+    A batch that runs again overwrites its own folder, so that a restart neither loses nor repeats rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, of in outputs.items():
+            of(batch).write.format(format).mode("overwrite").save(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def feed_outputs() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """What a feed handler sends on: all updates, those at the top of the book, and the errors."""
+    from tickframe.operators.inside import published
+
+    return {"updates": lambda q: q, "inside": published, "errors": lambda q: q.where("feed_error is not null")}
