@@ -20,7 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -56,15 +56,26 @@ def _slot(name: str, size: int) -> int:
 _RUN, _PREFIX, _SHAPE = (zlib.crc32(x) for x in (b"w:", b"p:", b"s:"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _shape(capitals: bool, tail: str) -> int:
+    return zlib.crc32(f"{'A' if capitals else 'a'}:{tail}".encode("utf-8", "surrogatepass"), _SHAPE) % TEXT_SIZE
+
+
 def word_features(word: str) -> list[int]:
     """Slots of a word: its shape; and for each of its distinct runs of letters the run and its first four letters."""
+    core = word[:-1] if word[-1] in ",.;:!?" else word
+    if core.isalpha():  # one run, as of most words
+        core, shape = core.lower(), _shape(len(core) > 1 and core.isupper(), word[len(core) :])
+        name = core.encode("utf-8", "surrogatepass")
+        prefix = name[:4] if core.isascii() else core[:4].encode("utf-8", "surrogatepass")
+        return [shape, zlib.crc32(name, _RUN) % TEXT_SIZE, zlib.crc32(prefix, _PREFIX) % TEXT_SIZE]
     slot = lambda start, name: zlib.crc32(name.encode("utf-8", "surrogatepass"), start) % TEXT_SIZE
     found = _LETTERS.findall(word)
     if not found:
         return [slot(_SHAPE, f"-:{word[:4]}"), slot(_RUN, word[:40]), slot(_PREFIX, "")]
     first = found[0]
     at = word.index(first) + len(first)
-    out = [slot(_SHAPE, f"{'A' if len(first) > 1 and first.isupper() else 'a'}:{word[at : at + 4]}")]
+    out = [_shape(len(first) > 1 and first.isupper(), word[at : at + 4])]
     for core in dict.fromkeys([x.lower() for x in found]):
         out += (slot(_RUN, core), slot(_PREFIX, core[:4]))
     return out
