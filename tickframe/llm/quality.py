@@ -2,10 +2,11 @@ r"""A quality classifier by co-training.
 
 Two logistic classifiers see different views of a document. The text view has its distinct words: each
 run of letters and its first four letters, the word's shape (case, marks behind it, whether it has letters),
-and how often words repeat. The metadata view has source and language and the page's layout: size, lines, shares of
+and how often words repeat, at once or anywhere; a slot weighs as much as the labels' shares with and without it differ. The metadata view has source and language and the page's layout: size, lines, shares of
 capitals, of other marks and of blanks. Both learn from labelled documents; then, over rounds, both score
 all unlabelled documents, and each gives those that it is surest of, by quantiles of its scores over the
-whole corpus, with its labels to the other. At the end both are calibrated on held-out labels and combined,
+whole corpus and calibrated on held-out labels, with its labels to the other; not those that the other
+holds for the opposite. At the end both are calibrated on held-out labels and combined,
 and all documents are scored.
 
 A document counts as good if its quality is 1 and it isn't toxic. The labelled documents of fitting are a
@@ -21,6 +22,8 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from itertools import islice
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,8 @@ ROUNDS = 3
 STEPS = 10
 #: Share of the unlabelled documents that each view hands to the other in a round.
 HANDED = 0.1
+#: Calibrated probability from which a view is sure of a label.
+SURE = 0.99
 #: Documents whose features make a block.
 BLOCK = 2_000
 #: Logits are counted in bins of 1 / BINS, up to 40 either way, and gradients in 1 / UNIT.
@@ -81,9 +86,11 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def repeat_feature(words: int, distinct: int) -> int:
-    """Slot of how often the words of a text repeat, by half powers of two, and the power of its size."""
-    return _slot(f"r:{int(2 * np.log2(words / distinct))}:{min(words.bit_length(), 6)}", TEXT_SIZE)
+def repeat_feature(words: list[str], distinct: int) -> int:
+    """Slot of how often a word is the one before it, by tenths; if that is rare, of how often the text's words repeat, by half powers of two, and the power of its size."""
+    n = len(words)
+    again = 10 * sum(map(eq, words, islice(words, 1, None))) // n
+    return _slot(f"a:{again}" if again else f"r:{int(2 * np.log2(n / distinct))}:{min(n.bit_length(), 6)}", TEXT_SIZE)
 
 
 def meta_features(source: str | None, lang: str | None, text: str) -> list[int]:
@@ -139,10 +146,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn logits into calibrated ones, on labels softened as Platt does."""
+def _platt(z: np.ndarray, y: np.ndarray, soft: bool = True) -> tuple[float, float]:
+    """Slope and offset that turn logits into calibrated ones, on labels softened as Platt does or as they are."""
     good, bad = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2)) if soft else y
     a, b, scale = 1.0, 0.0, max(1.0, float(np.abs(z).max(initial=0)))
     x = z / scale
     for _ in range(400):
@@ -170,6 +177,17 @@ class Classifier:
         return _sigmoid(t), _sigmoid(m), _sigmoid(x * t + y * m + z)
 
 
+def _telling(view: View, chosen: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How far each slot's share of the good rows is from that of the bad ones: the smoothed log ratio's size, and 1 for the bias.
+
+    A tenth is added, so that slots which no labelled row has can be learnt from the other view.
+    """
+    row, slot, _ = view.take(chosen)
+    good, bad = np.bincount(slot, labels[row], view.size), np.bincount(slot, 1 - labels[row], view.size)
+    ratio = np.log((good + 1) / (labels.sum() + 2)) - np.log((bad + 1) / (len(labels) - labels.sum() + 2))
+    return np.append(0.1 + np.where(good + bad, np.abs(ratio), 0.0), 1.0)
+
+
 def _step(weights: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
     """One adaptive gradient step, in place."""
     squares += gradient**2
@@ -188,14 +206,16 @@ def cotrain(
     own = np.setdiff1d(np.arange(n), held)
     views = (text, meta)
     local = [v.gradient(own, labels[own]) for v in views]
+    scales = [_telling(text, own, labels[own]), np.ones(meta.size + 1)]
     weights = [np.zeros(v.size + 1) for v in views]
     squares = [np.full(v.size + 1, 1e-8) for v in views]
     for k in (0, 1):
         for _ in range(150):
-            _step(weights[k], squares[k], local[k](weights[k]) - decay * len(own) * weights[k])
+            _step(weights[k], squares[k], scales[k] * local[k](scales[k] * weights[k]) - decay * len(own) * weights[k])
+    held = held if len(held) else own
     good = labels[own].mean() if len(own) else 0.5
     rules, given, most = [], [], 0
-    short = lambda: [w.astype(np.float32) for w in weights]
+    short = lambda: [(s * w).astype(np.float32) for s, w in zip(scales, weights, strict=True)]
     for r in range(rounds):
         rule = short()
         counts = _histograms(blocks, rules, rule)
@@ -203,7 +223,8 @@ def cotrain(
         most = most if r else int(handed * rest)
         if rest < 2 * most or not most:
             break
-        limits = [_limits(c, max(1, round(most * (1 - good))), max(1, round(most * good))) for c in counts]
+        calibration = [_platt(v.logits(held, w), labels[held], soft=False) for v, w in zip(views, rule, strict=True)]
+        limits = [_limits(c, max(1, round(most * (1 - good))), max(1, round(most * good)), k) for c, k in zip(counts, calibration, strict=True)]
         given.append(_choose(blocks, rules, (rule, limits)))
         rules.append((rule, limits))
         taught = reduce(DataFrame.unionByName, given)
@@ -215,32 +236,40 @@ def cotrain(
             far = _gradients(taught, short())
             for k in (0, 1):
                 size = len(own) + share[k] * (total[k] or 0)
-                _step(weights[k], squares[k], local[k](weights[k]) + share[k] * far[k] - decay * size * weights[k])
-    held = held if len(held) else own
+                near = local[k](scales[k] * weights[k])
+                _step(weights[k], squares[k], scales[k] * (near + share[k] * far[k]) - decay * size * weights[k])
+    weights = [s * w for s, w in zip(scales, weights, strict=True)]
     logits = [v.logits(held, w) for v, w in zip(views, weights, strict=True)]
     calibration = [_platt(z, labels[held]) for z in logits]
     calibrated = [a * z + b for z, (a, b) in zip(logits, calibration, strict=True)]
     return Classifier(*weights, calibration, _shares(*calibrated, labels[held]))
 
 
-def _limits(counts: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Bins up to and from which documents are handed over: those of the given numbers, equals included, if the view is sure of them."""
-    sure = int(np.log(0.95 / 0.05) * BINS) + 1
+def _limits(counts: np.ndarray, low: int, high: int, calibration: tuple[float, float]) -> tuple[float, float, float]:
+    """Bins up to and from which documents are handed over: those of the given numbers, equals included, if the calibrated view is sure of them.
+
+    And the bin of even odds; none if the view's logits say nothing.
+    """
+    slope, offset = calibration
+    if slope <= 0:
+        return -1, len(counts), np.nan
+    sure = np.log(SURE / (1 - SURE))
+    bad, even, good = (np.floor(np.clip((40 + (x - offset) / slope) * BINS, -1, len(counts))) for x in (-sure, 0, sure))
     up, down = np.cumsum(counts), np.cumsum(counts[::-1])
-    lowest = min(int(np.searchsorted(up, low)), 40 * BINS - sure)
-    return lowest, max(len(counts) - 1 - int(np.searchsorted(down, high)), 40 * BINS + sure)
+    return min(np.searchsorted(up, low), bad - 1), max(len(counts) - 1 - np.searchsorted(down, high), good + 1), even
 
 
 def _bins(z: np.ndarray) -> np.ndarray:
     return np.floor((np.clip(z, -40, 40) + 40) * BINS).astype(np.int64)
 
 
-def _said(views: list[View], rule: tuple[list[np.ndarray], list[tuple[int, int]]]) -> np.ndarray:
-    """What the views say of each row: a column each of 0, 1 or, where the view isn't sure, NaN."""
+def _said(views: list[View], rule: tuple[list[np.ndarray], list[tuple[float, float, float]]]) -> np.ndarray:
+    """What the views say of each row: a column each of 0, 1 or, where the view isn't sure or the other holds the opposite, NaN."""
+    weights, limits = rule
+    at = [_bins(v.all_logits(w)) for v, w in zip(views, weights, strict=True)]
     out = []
-    for view, weights, (low, high) in zip(views, *rule, strict=True):
-        at = _bins(view.all_logits(weights))
-        out.append(np.where(at <= low, 0.0, np.where(at >= high, 1.0, np.nan)))
+    for own, other, (low, high, _), (*_, even) in zip(at, at[::-1], limits, limits[::-1], strict=True):
+        out.append(np.where((own <= low) & ~(other > even), 0.0, np.where((own >= high) & ~(other <= even), 1.0, np.nan)))
     return np.stack(out, 1).astype(np.float32)
 
 
@@ -486,7 +515,7 @@ def text_features(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray, float]
     runs = (len(slots) - len(distinct)) // 2
     first = np.flatnonzero(np.diff(slots, prepend=np.int32(-1)))
     counts = np.diff(first, append=len(slots))
-    slots = np.append(slots[first], np.int32(repeat_feature(len(words), len(distinct))))
+    slots = np.append(slots[first], np.int32(repeat_feature(words, len(distinct))))
     return slots, np.append(counts, 1), runs**-0.5
 
 
@@ -554,7 +583,7 @@ def score(docs: DataFrame, classifier: Classifier | None, threshold: float = THR
                 if distinct:
                     found = np.frombuffer(b"".join(map(memo.__getitem__, distinct)), np.float64)
                     own_words = float(np.sort(found[::2]).sum() / found[1::2].sum() ** 0.5)
-                    t.append(own_words + weights[repeat_feature(len(words), len(distinct))] + bias)
+                    t.append(own_words + weights[repeat_feature(words, len(distinct))] + bias)
                 else:
                     t.append(empty)
                 m.append(sum(meta[s] for s in meta_features(source, lang, text or "")) + meta[-1])
