@@ -374,6 +374,26 @@ def test_joined_words():
         assert quality._slot("w:toxicword", quality.TEXT_SIZE) in slots(joined) and quality._slot("p:toxi", quality.TEXT_SIZE) in slots(joined)
 
 
+def test_immediate_repeats():
+    slot = lambda text: quality.repeat_feature(text.split(), len(set(text.split())))
+    assert slot("go go go go stop") == quality._slot("a:6", quality.TEXT_SIZE)
+    assert slot("go stop go stop") == quality._slot("r:2:3", quality.TEXT_SIZE)
+    assert slot("word") == quality._slot("r:0:1", quality.TEXT_SIZE)
+
+
+def test_views_object():
+    """A label is handed over where one view is sure and the other doesn't lean the other way."""
+    import numpy as np
+
+    view = lambda z: quality.View(np.arange(len(z) + 1), np.arange(len(z)), np.ones(len(z)), len(z))
+    z = [np.array([9.0, 9.0, 9.0, -9.0, 0.0]), np.array([9.0, 1.0, -1.0, 1.0, -9.0])]
+    limits = [quality._limits(np.ones(80 * quality.BINS + 1), 10**6, 10**6, (1.0, 0.0))] * 2
+    said = quality._said([view(x) for x in z], ([np.append(x, 0.0) for x in z], limits))
+    np.testing.assert_array_equal(said[:, 0], [1.0, 1.0, np.nan, np.nan, np.nan])
+    np.testing.assert_array_equal(said[:, 1], [1.0, np.nan, np.nan, np.nan, 0.0])
+    assert quality._limits(np.ones(80 * quality.BINS + 1), 10, 10, (0.0, 1.0))[:2] == (-1, 80 * quality.BINS + 1)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
