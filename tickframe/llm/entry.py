@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickframe.llm import chat, decontam, jaccard, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, token_counts, warc
+from tickframe.llm import chat, decontam, importance, jaccard, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3_ngram_jaccard": jaccard.SQL,
     "op4_decontaminate": decontam.SQL,
     "op10_chat_format": chat.SQL,
+    "op11_importance_resampling": importance.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }
