@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickframe.llm import chat, decontam, importance, jaccard, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, token_counts, warc
+from tickframe.llm import chat, debruijn, decontam, importance, jaccard, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_debruijn_dedup": debruijn.op13_debruijn_dedup,
 }
 
 SQL = {
@@ -27,4 +28,5 @@ SQL = {
     "op10_chat_format": chat.SQL,
     "op11_importance_resampling": importance.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_debruijn_dedup": debruijn.SQL,
 }

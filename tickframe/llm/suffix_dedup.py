@@ -51,9 +51,13 @@ def _powers(n: int, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor)), fill(factor), fill(pow(factor, -1, 1 << 64))
 
 
+def prefix_sums(numbers: np.ndarray, factor: int = _FACTORS[0]) -> np.ndarray:
+    """From these sums _span() takes the hash of any span of numbers, 2 * STEP at most."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers * _powers(2 * STEP, factor)[1][: len(numbers)], dtype=np.uint64)])
+
+
 def _prefix(data: np.ndarray, factor: int = _FACTORS[0]) -> np.ndarray:
-    codes, power, _ = _powers(2 * STEP, factor)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[data] * power[: len(data)], dtype=np.uint64)])
+    return prefix_sums(_powers(2 * STEP, factor)[0][data], factor)
 
 
 def _span(prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, at: np.ndarray | slice, factor: int = _FACTORS[0]) -> np.ndarray:
@@ -67,9 +71,13 @@ def _range(rank: np.ndarray, bits: int) -> np.ndarray:
 
 
 def positions(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, threshold: int, gram: int):
+    """picks() of bytes."""
+    return picks(_prefix(data), starts, lengths, threshold, gram)
+
+
+def picks(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, threshold: int, gram: int):
     """Picked positions of concatenated pieces: first string's start, offset of the pick, further strings, rank, covered rank."""
-    prefix = _prefix(data)
-    n = len(data)
+    n = len(prefix) - 1
     rank = _span(prefix, slice(0, n - gram + 1), slice(gram, n + 1), slice(0, n - gram + 1))
     least = (rank & ~_MASK) | np.arange(len(rank), dtype=np.uint64)
     width, span = threshold - gram + 1, 1
