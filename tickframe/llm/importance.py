@@ -230,7 +230,8 @@ def resample(
     smaller weight; rows that are equal in all of these are interchangeable. Without target texts all gains come
     from docs alone; empty docs give an empty result. Other columns are ignored, whatever their names.
     """
-    gain = gains(totals(docs, text, longest, buckets), totals(target, text, longest, buckets), buckets)
+    raw, aimed = (written(totals(df, text, longest, buckets), "totals") for df in (docs, target))  # rows by bucket
+    gain = gains(raw, aimed, buckets)
     scored = weights(docs, gain, key, text, longest, buckets).withColumn("score", F.col("weight") + luck(F.col(key), seed))
     scored = written(scored, "scored")
     able = scored.where(F.col("n_words") >= least)
