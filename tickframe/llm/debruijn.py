@@ -30,10 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.llm.blocks import chosen, made, ordered, read, schema, unlike
 from tickframe.llm.common import partitions, spread, table, written
 from tickframe.llm.graph import components
 from tickframe.llm.jaccard import mix
-from tickframe.llm.suffix_dedup import _FACTORS, _blocks, _joined, _range, _span, _unlike, picks, prefix_sums
+from tickframe.llm.suffix_dedup import _FACTORS, _range, _span, picks, prefix_sums
 
 WINDOW, GRAM = 35, 8
 #: Words that a task ranks at once; longer texts are ranked in overlapping pieces.
@@ -134,40 +135,14 @@ _OPEN = {"id": "<u8", "start": "<i8", "offset": "u1", "more": "u1", "rank": "<u8
 _RUN = {"b": "<i4", "id": "<u8", "start": "<i8", "rank": "<u8", "check": "<u8", "n": "u1"}
 
 
-def _schema(key: str, *kinds: dict) -> str:
-    """The schema of blocks of several kinds; each kind's columns have a prefix, and are null in rows of another."""
-    return ", ".join([f"{key} int", *(f"{'abc'[k]}_{name} binary" for k, kind in enumerate(kinds) for name in kind)])
-
-
-def _made(schema: str, kind: str, key: np.ndarray, columns: dict[str, np.ndarray]):
-    """Blocks of one kind as a table of the schema."""
-    import pyarrow as pa
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    blocks = _blocks(key, {f"{kind}_{name}": column for name, column in columns.items()}, names[0])
-    return pa.table([blocks[c] if c in blocks.column_names else pa.nulls(len(blocks), pa.binary()) for c in names], names)
-
-
-def _read(group, kind: str, types: dict[str, str]) -> dict[str, np.ndarray]:
-    import pyarrow.compute as pc
-
-    names = [f"{kind}_{name}" for name in types]
-    found = group.filter(pc.is_valid(group.column(names[0])))
-    return dict(zip(types, _joined(found, **dict(zip(names, types.values(), strict=True))), strict=True))
-
-
-def _of(columns: dict[str, np.ndarray], rows: np.ndarray, kind: dict) -> dict[str, np.ndarray]:
-    return {name: columns[name][rows].astype(t) for name, t in kind.items()}
-
-
 def _edge(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return mix(one ^ mix(two, 1))
 
 
-_FROM_SCAN = _schema("r", _SETTLED, _BUNDLE, _OPEN)
-_FROM_PICKS = _schema("b", _SETTLED, _OPEN)
-_FROM_FETCH = _schema("r", _SETTLED, _RUN)
-_EDGES = _schema("b", _SETTLED)
+_FROM_SCAN = schema("r", _SETTLED, _BUNDLE, _OPEN)
+_FROM_PICKS = schema("b", _SETTLED, _OPEN)
+_FROM_FETCH = schema("r", _SETTLED, _RUN)
+_EDGES = schema("b", _SETTLED)
 
 
 def _bundles(docs: DataFrame, bits: int, buckets: int, window: int, gram: int) -> DataFrame:
@@ -181,25 +156,24 @@ def _bundles(docs: DataFrame, bits: int, buckets: int, window: int, gram: int) -
         def out():
             x = {name: np.concatenate([h[name] for h in held]) for name in held[0]}
             held.clear()
-            order = np.lexsort((x["whole"], x["rank"]))
-            x = {name: column[order] for name, column in x.items()}
+            x = ordered(x, "rank", "whole")
             x["edge"] = _edge(x["rank"], x["whole"])
-            new = _unlike(x["rank"], x["whole"])
+            new = unlike(x["rank"], x["whole"])
             total, other = _groups(new, np.ones(len(new)))
             own, x["check"], x["n"] = x["check"], x["check"][other], np.minimum(total, 2)
             again = total > 1
-            settled = _made(_FROM_SCAN, "a", x["b"][again], _of(x, again, _SETTLED))
+            settled = made(_FROM_SCAN, "a", x["b"][again], chosen(x, again, _SETTLED))
             x["check"] = own
             # picks with many different bundles
-            top = np.flatnonzero(_unlike(x["rank"], x["rank"]))
+            top = np.flatnonzero(unlike(x["rank"], x["rank"]))
             crowd = np.repeat(np.add.reduceat(new.astype(np.int64), top) > CROWD, np.diff(np.append(top, len(new))))
-            opened = _made(_FROM_SCAN, "c", x["b"][new & crowd], _of(x, new & crowd, _OPEN))
+            opened = made(_FROM_SCAN, "c", x["b"][new & crowd], chosen(x, new & crowd, _OPEN))
             told = np.zeros(len(new), bool)
             told[top] = crowd[top]
             x["n"] = np.where(told, 0, x["n"])
             x["whole"] = np.where(told, mix(x["rank"], 3), x["whole"])
             on = (new & ~crowd) | told
-            dealt = _made(_FROM_SCAN, "b", _range(x["rank"][on], bits), _of(x, on, _BUNDLE))
+            dealt = made(_FROM_SCAN, "b", _range(x["rank"][on], bits), chosen(x, on, _BUNDLE))
             return pa.concat_tables([settled, opened, dealt]).to_batches()
 
         for parts in _pieces(batches, window, buckets):
@@ -225,21 +199,20 @@ def _by_pick(group):
     """Step 1: bundles that others equal are settled, and where a pick has several bundles one of each is opened."""
     import pyarrow as pa
 
-    early, opened, x = _read(group, "a", _SETTLED), _read(group, "c", _OPEN), _read(group, "b", _BUNDLE)
-    order = np.lexsort((x["whole"], x["rank"]))
-    x = {name: column[order] for name, column in x.items()}
-    new, n = _unlike(x["rank"], x["whole"]), x["n"]
+    early, opened, x = read(group, "a", _SETTLED), read(group, "c", _OPEN), read(group, "b", _BUNDLE)
+    x = ordered(x, "rank", "whole")
+    new, n = unlike(x["rank"], x["whole"]), x["n"]
     total, other = _groups(new, n)
     x["edge"], x["check"] = _edge(x["rank"], x["whole"]), x["check"][other]
     settled = (total > 1) & (n == 1)
-    top = np.flatnonzero(_unlike(x["rank"], x["rank"]))
+    top = np.flatnonzero(unlike(x["rank"], x["rank"]))
     several = np.repeat(np.add.reduceat(new.astype(np.int64), top) > 1 if len(top) else top, np.diff(np.append(top, len(new)))).astype(bool)
     x["n"] = np.minimum(total, 2)
     open_ = new & several & (total > 0)
-    parts = [_made(_FROM_PICKS, "a", x["b"][settled], _of(x, settled, _SETTLED)), _made(_FROM_PICKS, "b", x["b"][open_], _of(x, open_, _OPEN))]
+    parts = [made(_FROM_PICKS, "a", x["b"][settled], chosen(x, settled, _SETTLED)), made(_FROM_PICKS, "b", x["b"][open_], chosen(x, open_, _OPEN))]
     for kind, rows in (("a", early), ("b", opened)):
         if len(rows["id"]):  # what scan() dealt by bucket: all of this group
-            parts.append(_made(_FROM_PICKS, kind, np.full(len(rows["id"]), group.column(0)[0].as_py(), np.int32), rows))
+            parts.append(made(_FROM_PICKS, kind, np.full(len(rows["id"]), group.column(0)[0].as_py(), np.int32), rows))
     return pa.concat_tables(parts)
 
 
@@ -249,9 +222,8 @@ def _fetch(bits: int, window: int):
     def fetch(marks, texts):
         import pyarrow as pa
 
-        x = _read(marks, "b", _OPEN)
-        order = np.lexsort((x["start"], x["id"]))
-        x = {name: column[order] for name, column in x.items()}
+        x = read(marks, "b", _OPEN)
+        x = ordered(x, "id", "start")
         bucket = marks.column(0)[0].as_py() if len(marks) else 0
         held: list[dict] = []
         out: list = []
@@ -259,15 +231,14 @@ def _fetch(bits: int, window: int):
         def flush():
             y = {name: np.concatenate([h[name] for h in held]) for name in held[0]}
             held.clear()
-            order = np.lexsort((y["check"], y["rank"]))
-            y = {name: column[order] for name, column in y.items()}
-            new, n = _unlike(y["rank"], y["check"]), y["n"]
+            y = ordered(y, "rank", "check")
+            new, n = unlike(y["rank"], y["check"]), y["n"]
             total, _ = _groups(new, n)
             y["edge"], y["more"], y["b"] = mix(y["rank"]), np.zeros(len(new), "u1"), np.full(len(new), bucket)
             again = (total > 1) & (n == 1)
-            out.append(_made(_FROM_FETCH, "a", y["b"][again], _of(y, again, _SETTLED)))
+            out.append(made(_FROM_FETCH, "a", y["b"][again], chosen(y, again, _SETTLED)))
             y["n"] = np.minimum(total, 2)
-            out.append(_made(_FROM_FETCH, "b", _range(y["rank"][new], bits), _of(y, new, _RUN)))
+            out.append(made(_FROM_FETCH, "b", _range(y["rank"][new], bits), chosen(y, new, _RUN)))
 
         done = set()
         for k, packed in zip(_ids(texts), texts.column("packed"), strict=True):
@@ -296,7 +267,7 @@ def _fetch(bits: int, window: int):
                     flush()
         if held:
             flush()
-        return pa.concat_tables(out) if out else _made(_FROM_FETCH, "a", np.zeros(0, np.int32), {c: np.zeros(0, t) for c, t in _SETTLED.items()})
+        return pa.concat_tables(out) if out else made(_FROM_FETCH, "a", np.zeros(0, np.int32), {c: np.zeros(0, t) for c, t in _SETTLED.items()})
 
     return fetch
 
@@ -305,25 +276,22 @@ def _by_run(group):
     """Step 2: runs that others equal are edges."""
     import pyarrow as pa
 
-    early, y = _read(group, "a", _SETTLED), _read(group, "b", _RUN)
-    order = np.lexsort((y["check"], y["rank"]))
-    y = {name: column[order] for name, column in y.items()}
-    total, _ = _groups(_unlike(y["rank"], y["check"]), y["n"])
+    early, y = read(group, "a", _SETTLED), read(group, "b", _RUN)
+    y = ordered(y, "rank", "check")
+    total, _ = _groups(unlike(y["rank"], y["check"]), y["n"])
     again = (total > 1) & (y["n"] == 1)
     y["edge"], y["more"] = mix(y["rank"]), np.zeros(len(again), "u1")
-    parts = [_made(_EDGES, "a", y["b"][again], _of(y, again, _SETTLED))]
+    parts = [made(_EDGES, "a", y["b"][again], chosen(y, again, _SETTLED))]
     if len(early["id"]):
-        parts.append(_made(_EDGES, "a", np.full(len(early["id"]), group.column(0)[0].as_py(), np.int32), early))
+        parts.append(made(_EDGES, "a", np.full(len(early["id"]), group.column(0)[0].as_py(), np.int32), early))
     return pa.concat_tables(parts)
 
 
-def _ordered(group) -> dict[str, np.ndarray]:
+def _by_place(group) -> dict[str, np.ndarray]:
     """A bucket's edges by row and place, each once."""
-    x = _read(group, "a", _SETTLED)
-    order = np.lexsort((x["start"], x["id"]))
-    x = {name: column[order] for name, column in x.items()}
-    once = np.ones(len(order), bool)
-    once[1:] = (x["id"][1:] != x["id"][:-1]) | (x["start"][1:] != x["start"][:-1])
+    x = read(group, "a", _SETTLED)
+    x = ordered(x, "id", "start")
+    once = unlike(x["id"], x["start"])
     return {name: column[once] for name, column in x.items()}
 
 
@@ -331,7 +299,7 @@ def _links(group):
     """Step 3: pairs of different edges that follow one another in a document."""
     import pyarrow as pa
 
-    x = _ordered(group)
+    x = _by_place(group)
     follows = (x["id"][1:] == x["id"][:-1]) & (x["start"][1:] == x["start"][:-1] + x["more"][:-1] + 1)
     pair = np.stack([x["edge"][:-1][follows], x["edge"][1:][follows]], 1).view(np.int64)
     pair = np.unique(pair, axis=0) if len(pair) else pair.reshape(0, 2)
@@ -339,10 +307,10 @@ def _links(group):
 
 
 def _numbered(group):
-    """Each of a bucket's edges, by its place in _ordered()."""
+    """Each of a bucket's edges, by its place in _by_place()."""
     import pyarrow as pa
 
-    x = _ordered(group)
+    x = _by_place(group)
     n = len(x["id"])
     bucket = group.column(0)[0].as_py() if n else 0
     return pa.table([pa.array(x["edge"].view(np.int64)), pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(n, dtype=np.int32))], ["edge", "b", "at"])
@@ -401,7 +369,7 @@ def _finish(window: int, keep_text: bool):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        x = _ordered(marks)
+        x = _by_place(marks)
         named = marks.filter(pc.is_valid(marks.column("at")))
         path = x["edge"].view(np.int64).copy()
         path[named.column("at").to_numpy()] = named.column("path").to_numpy()
@@ -490,9 +458,9 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     edges = written(settled.unionByName(runs), "edges")
     places = edges.groupBy("b").applyInArrow(_numbered, "edge long, b int, at int")
     named = places.join(paths(edges), "edge").select("b", "at", "path")
-    schema = f"doc long, n_words long, n_removed long, spans {_SPANS}, kept_sha256 string, kept string"
+    kind = f"doc long, n_words long, n_removed long, spans {_SPANS}, kept_sha256 string, kept string"
     both = edges.unionByName(named, allowMissingColumns=True)
-    out = both.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_finish(window, keep_text), schema)
+    out = both.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_finish(window, keep_text), kind)
     return out.withColumnRenamed("doc", key) if keep_text else out.withColumnRenamed("doc", key).drop("kept")
 
 

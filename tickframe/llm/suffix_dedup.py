@@ -12,7 +12,9 @@ bytes is judged at one picked position, with those equal to it. Ranks double in
 3. For what is open, the first position of each pair, the bytes are fetched and every string of 100 gets a
    rank of its own, past the threshold; all but the first of a rank repeat.
 
-In each round what repeats within a task's own block is settled there, so that no rank is hot after the shuffle.
+In each round what repeats within a task's own block is settled there, so that no pair is hot after the shuffle.
+A rank that has many pairs within one block (a short line that many documents share) isn't gathered either: the
+task opens these positions itself and sends one row by which the rank's range knows that others are open.
 
 Rows between rounds are blocks of numbers, dealt by hash range or by bucket of documents.
 """
@@ -27,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.llm.blocks import chosen, made, ordered, read, schema, unlike
 from tickframe.llm.common import partitions, spread, table, written
 from tickframe.llm.jaccard import mix
 
@@ -36,6 +39,8 @@ GRAM = 32
 STEP = 400_000
 #: Positions that a task holds before it hands them on.
 HELD = 400_000
+#: Pairs of one rank, among HELD positions, from which on a task opens them itself.
+CROWD = 16
 _BITS = np.uint64(20)
 _MASK = np.uint64((1 << 20) - 1)
 #: Bytes of text per hash range, about 30,000 positions a megabyte, and per bucket of documents; they bound what a group holds.
@@ -99,150 +104,162 @@ def picks(prefix: np.ndarray, starts: np.ndarray, lengths: np.ndarray, threshold
     return first, at - first, last - first, rank[at], covered
 
 
-def _pieces(batches: Iterator, threshold: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Pieces of texts, together about STEP bytes: ids, where each starts in its text, bytes."""
-    ids, bases, held, size = [], [], [], 0
+def _pieces(batches: Iterator, threshold: int) -> Iterator[tuple[list[int], list[int], list[int], list[np.ndarray]]]:
+    """Pieces of texts, together about STEP bytes: ids, where each starts in its text, prints of the texts, bytes."""
+    ids, bases, prints, held, size = [], [], [], [], 0
     for batch in batches:
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
             if key is None or len(raw) < threshold:
                 continue
-            data = np.frombuffer(raw, np.uint8)
+            data, own = np.frombuffer(raw, np.uint8), _print(raw)
             for base in range(0, len(raw) - threshold + 1, STEP):
                 part = data[base : base + STEP + threshold - 1]
                 if held and size + len(part) > STEP:
-                    yield ids, bases, held
-                    ids, bases, held, size = [], [], [], 0
+                    yield ids, bases, prints, held
+                    ids, bases, prints, held, size = [], [], [], [], 0
                 ids.append(key)
                 bases.append(base)
+                prints.append(own)
                 held.append(part)
                 size += len(part)
     if held:
-        yield ids, bases, held
+        yield ids, bases, prints, held
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each id; _with_bucket() gives the same."""
+    """The bucket of each id; packed() gives the same."""
     ids = ids.astype(np.int64)
     return (ids ^ (ids.view(np.uint64) >> np.uint64(15)).view(np.int64)) % buckets
 
 
-def _blocks(key: np.ndarray, columns: dict[str, np.ndarray], name: str):
-    """A row for each value of key, its columns as bytes."""
-    import pyarrow as pa
+def _print(raw: bytes) -> int:
+    import xxhash
 
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(edges[1:], len(key))
-    arrays = [pa.array(key[edges], pa.int32())]
-    for column in columns.values():
-        column = column[order]
-        arrays.append(pa.array([column[a:b].tobytes() for a, b in zip(edges, ends, strict=False)], pa.binary()))
-    return pa.table(arrays, [name, *columns])
+    return xxhash.xxh32_intdigest(raw)
 
 
-def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Of rows sorted by what is equal, then by place: those that come later than the first of their group, which new marks."""
-    leader = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return (doc != doc[leader]) | (start != start[leader])
+#: A place: document, print of its text, offset. The order of places is that of the documents, of the prints, of the offsets.
+_PLACE = ("id", "print", "start")
+#: What is settled: strings that start from start to last repeat.
+_SETTLED = {"id": "<i8", "print": "<u4", "start": "<i8", "last": "<i8"}
+#: Picked positions; offset of the pick in its first string, further strings, rank of the pick and of all bytes covered.
+_PICK = {"id": "<i8", "print": "<u4", "start": "<i8", "offset": "u1", "more": "u1", "rank": "<u8", "covered": "<u8"}
+#: Positions whose strings get ranks of their own.
+_OPEN = {"id": "<i8", "print": "<u4", "start": "<i8", "offset": "u1", "more": "u1", "rank": "<u8"}
+_STRING = {"id": "<i8", "print": "<u4", "start": "<i8", "rank": "<u8", "second": "<u8"}
+#: Round 1 by range: settled and opened by the task itself, picked positions; crowd: ranks that others have opened.
+_FROM_SCAN = schema("r", _SETTLED, _PICK, _OPEN) + ", crowd binary"
+_MARKS = schema("b", _SETTLED, _OPEN)
+_LATE = schema("r", _SETTLED, _STRING)
+_DONE = schema("b", _SETTLED)
 
 
-def _unlike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Where the pair differs from the one before."""
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    return new
+def _later(new: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
+    """Of rows sorted by what is equal, then by place: those that come later than the first of their group, which new marks."""
+    leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.logical_or.reduce([x[c] != x[c][leader] for c in _PLACE])
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(*parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Intervals of starts, those that follow on one another in a document as one."""
-    order = np.lexsort((start, doc))
-    doc, start, last = doc[order], start[order], last[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > last[:-1] + 1)
+    x = ordered({c: np.concatenate([p[c] for p in parts]) for c in _SETTLED}, *_PLACE)
+    new = unlike(x["id"], x["print"])
+    new[1:] |= x["start"][1:] > x["last"][:-1] + 1
     heads = np.flatnonzero(new)
-    return doc[heads], start[heads], last[np.append(heads[1:], len(doc)) - 1] if len(doc) else last
+    if not len(heads):
+        return x
+    return {c: x[c][heads] for c in _PLACE} | {"last": np.maximum.reduceat(x["last"], heads)}
+
 
+def _grouped(new: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """By row the number of `new` in its group; of marks the first of each group."""
+    tops = np.flatnonzero(of)
+    return np.repeat(np.add.reduceat(new.astype(np.int64), tops), np.diff(np.append(tops, len(new)))) if len(tops) else np.zeros(0, np.int64)
 
-def _joined(group, **kinds: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in kinds.items()]
 
+def _as_crowd(table, ranks: np.ndarray | None = None, bits: int = 1):
+    """A table of another kind with the column crowd, or the rows of the given crowd."""
+    import pyarrow as pa
 
-_RANKED = "r int, id binary, start binary, offset binary, more binary, rank binary, covered binary, last binary"
-_MARKS = "b int, id binary, start binary, last binary, offset binary, rank binary"
+    if ranks is None:
+        return table.append_column("crowd", pa.nulls(len(table), pa.binary()))
+    return made("r int, k_crowd binary", "k", _range(ranks, bits), {"crowd": ranks}).rename_columns(["r", "crowd"])
 
 
-def _ranked(docs: DataFrame, bits: int, threshold: int, gram: int) -> DataFrame:
-    """Round 1, before the shuffle: picked positions by range of their rank."""
+def _ranked(docs: DataFrame, bits: int, buckets: int, threshold: int, gram: int) -> DataFrame:
+    """Round 1, before the shuffle: picked positions by range of their rank; what is settled or opened here, by bucket."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list[tuple] = []
+        held: list[dict] = []
+        plain = schema("r", _SETTLED, _PICK, _OPEN)
 
         def out():
-            i, s, o, m, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            x = ordered({c: np.concatenate([h[c] for h in held]) for c in held[0]}, "rank", "covered", *_PLACE)
             held.clear()
-            order = np.lexsort((s, i, c, h))
-            i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
-            again = _later(_unlike(h, c), i, s)
-            # what repeats within this block is settled here, and so are hot ranks
-            doc, start, last = _merged(i[again], s[again], s[again] + m[again])
-            i, s, o, m, h, c = (x[~again] for x in (i, s, o, m, h, c))
-            r = _range(h, bits)
-            columns = {"id": i, "start": s, "offset": o.astype(np.uint8), "more": m.astype(np.uint8), "rank": h, "covered": c}
-            ranked = _blocks(r, columns, "r")
-            settled = _blocks(_bucket(doc, 1 << bits), {"id": doc, "start": start, "last": last}, "r")
-            none = pa.nulls(len(settled), pa.binary())
-            rows = [settled["r"], settled["id"], settled["start"], *[none] * 4, settled["last"]]
-            ranked = ranked.append_column("last", pa.nulls(len(ranked), pa.binary()))
-            return pa.concat_tables([ranked, pa.table(rows, ranked.column_names)]).to_batches()
-
-        for ids, bases, parts in _pieces(batches, threshold):
+            x["last"] = x["start"] + x["more"]
+            new, tops = unlike(x["rank"], x["covered"]), unlike(x["rank"])
+            # what repeats within this block is settled here, and so are hot pairs
+            again = _later(new, x)
+            done = _merged(chosen(x, again, _SETTLED))
+            # a rank with many pairs would be hot: its positions are opened here, and its range is told
+            crowd = _grouped(new, tops) > CROWD
+            on, opened = ~again & ~crowd, ~again & crowd
+            tables = [
+                _as_crowd(made(plain, "a", _bucket(done["id"], buckets), done)),
+                _as_crowd(made(plain, "c", _bucket(x["id"][opened], buckets), chosen(x, opened, _OPEN))),
+                _as_crowd(made(plain, "b", _range(x["rank"][on], bits), chosen(x, on, _PICK))),
+                _as_crowd(None, x["rank"][tops & crowd], bits),
+            ]
+            return pa.concat_tables(tables, promote_options="default").to_batches()
+
+        for ids, bases, prints, parts in _pieces(batches, threshold):
             lengths = np.array([len(p) for p in parts])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             first, offset, more, rank, covered = positions(np.concatenate(parts), starts, lengths, threshold, gram)
             of = np.searchsorted(starts, first, "right") - 1
-            held.append((np.array(ids, np.int64)[of], first - starts[of] + np.array(bases)[of], offset, more, rank, covered))
-            if sum(len(x[0]) for x in held) > HELD:
+            held.append(
+                {"id": np.array(ids, np.int64)[of], "print": np.array(prints, np.uint32)[of], "start": first - starts[of] + np.array(bases)[of]}
+                | {"offset": offset, "more": more, "rank": rank, "covered": covered}
+            )
+            if sum(len(x["id"]) for x in held) > HELD:
                 yield from out()
         if held:
             yield from out()
 
-    return docs.mapInArrow(scan, _RANKED)
+    return docs.mapInArrow(scan, _FROM_SCAN)
 
 
 def _pair_round(buckets: int):
-    """Rounds 1 and 2: what is settled as repeated (without rank), and what is open (with rank), by bucket of documents."""
+    """Rounds 1 and 2: what is settled as repeated, and what is open, by bucket of documents."""
 
     def rerank(group):
         import pyarrow as pa
 
-        import pyarrow.compute as pc
-
-        ranked = group.filter(pc.is_valid(group.column("rank")))
-        early = _merged(*_joined(group.filter(pc.is_null(group.column("rank"))), id="<i8", start="<i8", last="<i8"))
-        i, s, o, m, h, c = _joined(ranked, id="<i8", start="<i8", offset="u1", more="u1", rank="<u8", covered="<u8")
-        order = np.lexsort((s, i, c, h))
-        i, s, o, m, h, c = (x[order] for x in (i, s, o, m, h, c))
-        new_rank, new_pair = _unlike(h, h), _unlike(h, c)
-        repeated = _later(new_pair, i, s)
-        tops = np.flatnonzero(new_rank)
-        pairs = np.add.reduceat(new_pair.astype(np.int64), tops) if len(tops) else tops
-        several = np.repeat(pairs, np.diff(np.append(tops, len(h)))) > 1
-        open_ = new_pair & several
-        doc, start, last = (np.concatenate(x) for x in zip(early, (i[repeated], s[repeated], (s + m)[repeated]), strict=True))
-        settled = _blocks(_bucket(doc, buckets), {"id": doc, "start": start, "last": last}, "b")
-        none = pa.nulls(len(settled), pa.binary())
-        settled = settled.append_column("offset", none).append_column("rank", none)
-        columns = {"id": i[open_], "start": s[open_], "last": (s + m)[open_], "offset": o[open_], "rank": h[open_]}
-        return pa.concat_tables([settled, _blocks(_bucket(i[open_], buckets), columns, "b")])
+        crowd = np.frombuffer(b"".join(c for c in group.column("crowd").to_pylist() if c), "<u8")
+        x = ordered(read(group, "b", _PICK), "rank", "covered", *_PLACE)
+        x["last"] = x["start"] + x["more"]
+        new = unlike(x["rank"], x["covered"])
+        again = _later(new, x)
+        several = (_grouped(new, unlike(x["rank"])) > 1) | np.isin(x["rank"], crowd)
+        done, open_ = _merged(chosen(x, again, _SETTLED)), chosen(x, new & several, _OPEN)
+        tables = [made(_MARKS, kind, _bucket(y["id"], buckets), y) for kind, y in (("a", done), ("b", open_))]
+        return pa.concat_tables([*tables, *_passed(group, _MARKS, a=(_SETTLED, "a"), c=(_OPEN, "b"))])
 
     return rerank
 
 
-_LATE = "r int, id binary, start binary, rank binary, second binary, last binary"
+def _passed(group, to: str, **kinds: tuple[dict, str]) -> list:
+    """What was dealt by bucket already, in a range's group because a bucket of the same number is."""
+    out = []
+    for kind, (types, other) in kinds.items():
+        x = read(group, kind, types)
+        if n := len(x["id"]):
+            x = _merged(x) if types is _SETTLED else x
+            out.append(made(to, other, np.full(len(x["id"]) if n else 0, group.column(0)[0].as_py()), x))
+    return out
 
 
 def _fetch(bits: int, threshold: int):
@@ -251,48 +268,45 @@ def _fetch(bits: int, threshold: int):
     def fetch(marks, texts):
         import pyarrow as pa
 
-        i, s, e, o, h = _joined(marks, id="<i8", start="<i8", last="<i8", offset="u1", rank="<u8")
-        order = np.lexsort((s, i))
-        i, s, e, o, h = (x[order] for x in (i, s, e, o, h))
-        cut: list[bytes] = [b""] * len(i)
-        for key, value in zip(texts.column("doc").to_pylist(), texts.column("text"), strict=True):
-            a, b = np.searchsorted(i, [key, key + 1]) if key is not None else (0, 0)
-            if a < b and not cut[a]:
-                raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                for k in range(a, b):
-                    cut[k] = raw[s[k] : e[k] + threshold]
+        x = ordered(read(marks, "b", _OPEN), *_PLACE)
+        n = len(x["id"])
+        last = x["start"] + x["more"]
+        cut: list[bytes] = [b""] * n
+        for key, raw in _texts(texts):
+            a, b = np.searchsorted(x["id"], [key, key + 1]) if key is not None else (0, 0)
+            if a == b:
+                continue
+            own = _print(raw)
+            a, b = a + np.searchsorted(x["print"][a:b], [own, own + 1])
+            for k in range(a, b):
+                cut[k] = raw[x["start"][k] : last[k] + threshold]
         ranks, seconds, rows, steps = [], [], [], []
         each = STEP // (3 * threshold)
-        for k in range(0, len(i), each):
-            part = slice(k, min(len(i), k + each))
-            sizes = e[part] - s[part] + threshold
+        for k in range(0, n, each):
+            part = slice(k, min(n, k + each))
+            sizes = last[part] - x["start"][part] + threshold
             data = np.frombuffer(b"".join(cut[part]), np.uint8)
             counts = sizes - threshold + 1
             of = np.repeat(np.arange(len(sizes)), counts)
             j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             at = (np.cumsum(sizes) - sizes)[of] + j
             # equal strings have equal picks at equal offsets
-            pick = h[part][of] + mix((o[part][of] - j).astype(np.uint64))
+            pick = x["rank"][part][of] + mix((x["offset"][part].astype(np.int64)[of] - j).astype(np.uint64))
             ranks.append(mix(_span(_prefix(data), at, at + threshold, at) ^ mix(pick)))
             seconds.append(_span(_prefix(data, _FACTORS[1]), at, at + threshold, at, _FACTORS[1]))
             rows.append((k + of).astype(np.int32))
             steps.append(j.astype(np.uint8))
         row, step = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(steps or [np.zeros(0, np.uint8)])
-        rank, second = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (ranks, seconds))
+        rank, second = (np.concatenate(v or [np.zeros(0, np.uint64)]) for v in (ranks, seconds))
         order = np.lexsort((second, rank))  # rows are in order of place, and so stay equal ranks
-        rank, second, row, step = rank[order], second[order], row[order], step[order]
-        doc, start = i[row], s[row] + step
-        again = _later(_unlike(rank, second), doc, start)
-        settled = _merged(doc[again], start[again], start[again])
-        rank, second, doc, start = rank[~again], second[~again], doc[~again], start[~again]
-        order = np.lexsort((start, doc))
-        columns = {"id": doc[order], "start": start[order], "rank": rank[order], "second": second[order]}
-        ranked = _blocks(_range(rank[order], bits), columns, "r")
-        ranked = ranked.append_column("last", pa.nulls(len(ranked), pa.binary()))
-        early = _blocks(_bucket(settled[0], 1 << bits), dict(zip(("id", "start", "last"), settled, strict=True)), "r")
-        none = pa.nulls(len(early), pa.binary())
-        early = pa.table([early["r"], early["id"], early["start"], none, none, early["last"]], ranked.column_names)
-        return pa.concat_tables([ranked, early])
+        row, step = row[order], step[order]
+        y = {"id": x["id"][row], "print": x["print"][row], "start": x["start"][row] + step, "rank": rank[order], "second": second[order]}
+        y["last"] = y["start"]
+        again = _later(unlike(y["rank"], y["second"]), y)
+        done = _merged(chosen(y, again, _SETTLED))
+        left = chosen(y, ~again, _STRING)
+        at = marks.column(0)[0].as_py() if len(marks) else 0
+        return pa.concat_tables([made(_LATE, "a", np.full(len(done["id"]), at), done), made(_LATE, "b", _range(left["rank"], bits), left)])
 
     return fetch
 
@@ -301,17 +315,12 @@ def _past_threshold(buckets: int):
     """Round 3: of strings of one rank all but the first repeat."""
 
     def rerank(group):
-        import pyarrow.compute as pc
-
-        early = _joined(group.filter(pc.is_null(group.column("rank"))), id="<i8", start="<i8", last="<i8")
-        late = group.filter(pc.is_valid(group.column("rank")))
-        doc, start, rank, second = _joined(late, id="<i8", start="<i8", rank="<u8", second="<u8")
-        order = np.lexsort((start, doc, second, rank))
-        doc, start, rank, second = doc[order], start[order], rank[order], second[order]
-        again = _later(_unlike(rank, second), doc, start)
-        doc, start = doc[again], start[again]
-        doc, start, last = _merged(*(np.concatenate(x) for x in zip(early, (doc, start, start), strict=True)))
-        return _blocks(_bucket(doc, buckets), {"id": doc, "start": start, "last": last}, "b")
+        import pyarrow as pa
+
+        y = ordered(read(group, "b", _STRING), "rank", "second", *_PLACE)
+        y["last"] = y["start"]
+        done = _merged(chosen(y, _later(unlike(y["rank"], y["second"]), y), _SETTLED))
+        return pa.concat_tables([made(_DONE, "a", _bucket(done["id"], buckets), done), *_passed(group, _DONE, a=(_SETTLED, "a"))])
 
     return rerank
 
@@ -329,22 +338,26 @@ def _finish(threshold: int, keep_text: bool):
     def finish(marks, texts):
         import pyarrow as pa
 
-        i, s, e = _joined(marks, id="<i8", start="<i8", last="<i8")
-        order = np.argsort(i, kind="stable")
-        i, s, e = i[order], s[order], e[order] + threshold
+        x = ordered(read(marks, "a", _SETTLED), *_PLACE)
+        end = x["last"] + threshold
+        seen: dict[tuple[int, int], bytes] = {}
         out: list[list] = [[] for _ in range(6)]
-        for key, value in zip(texts.column("doc").to_pylist(), texts.column("text"), strict=True):
-            raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            a, b = np.searchsorted(i, [key, key + 1]) if key is not None else (0, 0)
+        for key, raw in _texts(texts):
+            a, b = np.searchsorted(x["id"], [key, key + 1]) if key is not None else (0, 0)
             kept, first, last = raw, [], []
             if b > a:
-                x, y = runs(s[a:b], np.minimum(e[a:b], len(raw)))
-                first, last = x.tolist(), y.tolist()
+                own = _print(raw)
+                if seen.setdefault((key, own), digest := hashlib.sha256(raw).digest()) != digest:
+                    raise ValueError(f"different texts of document {key} have one print")
+                a, b = a + np.searchsorted(x["print"][a:b], [own, own + 1])
+            if b > a:
+                p, q = runs(x["start"][a:b], end[a:b])
+                first, last = p.tolist(), q.tolist()
                 kept = b"".join(raw[p:q] for p, q in zip([0, *last], [*first, len(raw)], strict=True))
             spans = [{"start": p, "end": q} for p, q in zip(first, last, strict=True)]
             row = (key, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
-            for column, x in zip(out, row, strict=True):
-                column.append(x)
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.string(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
@@ -352,6 +365,31 @@ def _finish(threshold: int, keep_text: bool):
     return finish
 
 
+def _packed(docs: DataFrame, buckets: int) -> DataFrame:
+    """Texts, compressed, with the bucket that _bucket gives; null keys are in bucket 0."""
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            b = _bucket(np.array([k or 0 for k in batch.column(0).to_pylist()], np.int64), buckets)
+            texts = [squeeze((v.as_py() or "").encode("utf-8", "surrogatepass")) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), batch.column(0), pa.array(texts, pa.binary())], ["b", "doc", "packed"])
+
+    return docs.mapInArrow(pack, "b int, doc long, packed binary")
+
+
+def _texts(texts) -> Iterator[tuple[int | None, bytes]]:
+    """Keys and texts of packed rows, one at a time."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    for key, value in zip(texts.column("doc").to_pylist(), texts.column("packed"), strict=True):
+        yield key, open_(value.as_py())
+
+
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, keep_text: bool = False
 ) -> DataFrame:
@@ -359,9 +397,10 @@ def remove_repeats(
 
     A byte goes if a string of threshold bytes covers it that also starts earlier: in a document of smaller
     key, or further ahead in the same one. Strings overlap freely and are judged on the input. Null texts are
-    empty. A row whose key is null keeps its bytes and repeats nothing. A key stands for one text: rows that
-    repeat it with the same text get the same result, and rows that repeat it with another are judged by
-    the places of all of its texts together. threshold is at most 255 bytes more than gram.
+    empty. A row whose key is null keeps its bytes and repeats nothing. Rows that repeat a key with the same text
+    are one document and get the same result. Rows that repeat it with another text are documents of their own,
+    in the order of a 32-bit print of the text; should two of their prints be equal, the job ends with an error.
+    threshold is at most 255 bytes more than gram.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -370,25 +409,18 @@ def remove_repeats(
     # both follow the text; a setting only makes them finer
     bits = max(1, min(30, (max(total // RANGE_BYTES, n) - 1).bit_length()))
     buckets = min(1 << 30, max(total // BUCKET_BYTES, 2 * n))
-    ranked = _ranked(docs, bits, threshold, gram)
+    ranked = _ranked(docs, bits, buckets, threshold, gram)
     marks = written(ranked.groupBy("r").applyInArrow(_pair_round(buckets), _MARKS), "marks")
     # the same shuffle of texts serves round 3 and the end
-    texts = _with_bucket(docs, buckets)
-    open_ = marks.where("rank is not null").groupBy("b").cogroup(texts.groupBy("b"))
-    fetched = open_.applyInArrow(_fetch(bits, threshold), _LATE)
-    late = fetched.groupBy("r").applyInArrow(_past_threshold(buckets), "b int, id binary, start binary, last binary")
-    settled = marks.where("rank is null").select("b", "id", "start", "last").unionByName(late)
-    schema = "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
-    out = settled.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_finish(threshold, keep_text), schema)
+    texts = _packed(docs, buckets)
+    open_ = marks.where("b_id is not null").groupBy("b").cogroup(texts.groupBy("b"))
+    late = open_.applyInArrow(_fetch(bits, threshold), _LATE).groupBy("r").applyInArrow(_past_threshold(buckets), _DONE)
+    settled = marks.where("a_id is not null").select("b", *(f"a_{name}" for name in _SETTLED)).unionByName(late)
+    schema_ = "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
+    out = settled.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_finish(threshold, keep_text), schema_)
     return out.withColumnRenamed("doc", key) if keep_text else out.withColumnRenamed("doc", key).drop("kept")
 
 
-def _with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with b, the bucket that _bucket gives; null keys are in bucket 0."""
-    key = F.coalesce("doc", F.lit(0)).cast("long")
-    return docs.select(F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 15)), F.lit(buckets)).cast("int").alias("b"), "doc", "text")
-
-
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
