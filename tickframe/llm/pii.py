@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: About this many documents, chosen by a hash of their id, and at most this many islands train the field.
 TRAIN_DOCS = 20_000
 TRAIN_ISLANDS = 3_000
+#: Islands of more words or code points than these don't train the field, as a step's time grows with an island's size.
+TRAIN_WORDS, TRAIN_CHARS = 12, 400
 #: A span of several words is a card or a phone number, so it has no more digits than this and only these marks.
 MOST_DIGITS = 19
 _NUMBER = re.compile(r"[0-9 ().+-]*")
@@ -55,7 +57,8 @@ def plausible(kind: str, span: str) -> bool:
         return bool(local) and _LOCAL.issuperset(local) and bool(_DOMAIN.fullmatch(domain))
     if kind == "ip":
         parts = span.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) < 4 and int(p) < 256 for p in parts)
+        # a part may have any number of zeros ahead
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in parts)
     if not _NUMBER.fullmatch(span):
         return False
     digits = "".join(_DIGITS.findall(span))
@@ -251,7 +254,7 @@ def examples(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[tuple
     failed = [f for f in failed if not any(s[0] <= f[0] and f[1] <= s[1] for s in found)]  # a phone's digits are no failed card
     for island in islands(text):
         a, b = island[0][0], island[-1][1]
-        if len(island) > 12 or b - a > 400 or any(x < b and y > a for x, y in failed):
+        if len(island) > TRAIN_WORDS or b - a > TRAIN_CHARS or any(x < b and y > a for x, y in failed):
             continue
         own = sorted((s for s in found if s[0] < b and s[1] > a), key=lambda s: s[0] - s[1])
         gold, used = [], set()
@@ -308,7 +311,11 @@ def fit(training: list[tuple[str, list, list]], rounds: int = 12, rate: float =
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: int = TRAIN_DOCS, most: int = TRAIN_ISLANDS) -> Field:
-    """A field from islands of about most_docs documents, the same ones in every run, at most `most` islands."""
+    """A field from islands of about most_docs documents, the same ones in every run, at most `most` islands.
+
+    Islands of more than TRAIN_WORDS words or TRAIN_CHARS code points, and such in which a pattern's match failed
+    its check, teach nothing. In texts to be searched islands of any size are read whole.
+    """
     total = docs.count()
     part = F.pmod(F.xxhash64(F.col(key), F.lit("pii")), F.lit(1 << 20))
     chosen = docs.where(part < math.ceil((1 << 20) * min(1.0, most_docs / max(1, total)))).select(part.alias("part"), text)
