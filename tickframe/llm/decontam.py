@@ -3,8 +3,8 @@ r"""Benchmark decontamination with suffix arrays over shards of the training tex
 A shard is a batch of documents. Words that no benchmark item has end every match, so a shard's suffix
 array covers the runs of benchmark words that are long enough; it is sorted by prefix doubling up to the
 window's length. Every suffix of every test item is binary-searched in it, equal beginnings once, which gives
-all places of its first ten words. Places that follow on one another make the spans, and along them the
-matches of all items are grown word by word to the longest verbatim one. Nothing is shuffled while the
+all places of its first ten words. Places that follow on one another make the spans. Where the longest verbatim
+match is asked for, a suffix array over an affected document and its items gives it. Nothing is shuffled while the
 benchmark fits one block; larger ones are searched block by block, and what the blocks found of a row is
 merged by the row's number.
 """
@@ -68,7 +68,7 @@ class Probe:
                 parts.append(np.array(ids, np.int32))
         self.window = window
         self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        joined = np.concatenate(parts or [np.zeros(0, np.int32)])
+        joined = self.words = np.concatenate(parts or [np.zeros(0, np.int32)])
         item = np.repeat(np.arange(len(parts)), np.diff(self.starts))
         sizes = np.minimum(np.diff(self.starts), window)
         self.windows: dict[int, Windows] = {}
@@ -129,28 +129,71 @@ def _occurrences(text: np.ndarray, array: np.ndarray, keys: np.ndarray) -> tuple
     return place[order], key[order]
 
 
-def _longest(places: np.ndarray, keys: np.ndarray, windows: Windows) -> tuple[int, int, int]:
-    """Of one text the longest match: words, place in the text, place in the items; of equals the last.
+def _ranks(text: np.ndarray) -> np.ndarray:
+    """The rank of every suffix of text among all of them, by prefix doubling until all differ."""
+    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    while k < len(text) and int(rank.max()) < len(text) - 1:
+        ahead = np.zeros_like(rank)
+        ahead[:-k] = rank[k:] + 1
+        rank = np.unique(rank * (len(text) + 2) + ahead, return_inverse=True)[1].astype(np.int64)
+        k *= 2
+    return rank
+
+
+def _longest(text: np.ndarray, probe: Probe, items: np.ndarray) -> tuple[int, int, int, int]:
+    """The longest match of a text's words with one of the items: words, place in the text, item, place in it; of equals the last.
 
-    For each place, all items that match there are held with the number of places by which they have matched so far.
+    A suffix array over both, the longest common beginnings of neighbours in it, and for every suffix of the text
+    the nearest suffix of an item on either side: n log n time, however often words repeat.
     """
-    best, last = (0, 0, 0), -2
-    owners = held = np.zeros(0, np.int64)
-    for place, key in zip(places.tolist(), keys.tolist(), strict=True):
-        now = windows.owners(key)
-        count = np.ones(len(now), np.int64)
-        if place == last + 1:
-            at = np.minimum(np.searchsorted(owners, now - 1), len(owners) - 1)
-            count += np.where(owners[at] == now - 1, held[at], 0)
-        k = len(count) - 1 - int(count[::-1].argmax())
-        most = int(count[k])
-        best = max(best, (most + windows.keys.shape[1] - 1, place - most + 1, int(now[k]) - most + 1))
-        owners, held, last = now, count, place
-    return best
-
-
-def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, dict[int, tuple[list, np.ndarray, tuple]]]:
-    """Words of each text; and for the texts with matches their spans (start, words), items, and longest match (words, start, item, start in it)."""
+    parts = [text.astype(np.int64), *(probe.words[probe.starts[i] : probe.starts[i + 1]].astype(np.int64) for i in items.tolist())]
+    own = np.concatenate([np.append(p, 0) for p in parts])
+    ends = own == 0
+    own[ends] = -np.arange(1, ends.sum() + 1)  # each end, and each word that no item has, is like no other
+    rank = _ranks(own)
+    order = np.argsort(rank, kind="stable")
+    # common beginnings with the next in order, by the text (Kasai's rule)
+    values, ranks, at = own.tolist(), rank.tolist(), order.tolist()
+    shared, h = [0] * len(values), 0
+    for i, r in enumerate(ranks):
+        if r + 1 == len(at):
+            h = 0
+            continue
+        j = at[r + 1]
+        while i + h < len(values) and j + h < len(values) and values[i + h] == values[j + h]:
+            h += 1
+        shared[r] = h
+        h = max(0, h - 1)
+    size = len(text)
+    best = (0, 0, 0)
+    # a run of neighbours that share at least the most words found so far
+    near = np.zeros(len(at), np.int64)
+    for step in (range(len(at)), range(len(at) - 1, -1, -1)):
+        common = 0
+        for r in step:
+            if at[r] > size:
+                common = len(values)
+            elif common:
+                near[r] = max(near[r], common)
+            common = min(common, shared[r] if step.step == 1 else shared[r - 1] if r else 0)
+    most = int(near.max(initial=0))
+    if not most:
+        return (0, 0, 0, 0)
+    place = int(order[near == most].max())
+    # all that begin with the same words are neighbours
+    low = high = ranks[place]
+    while low and shared[low - 1] >= most:
+        low -= 1
+    while high + 1 < len(at) and shared[high] >= most:
+        high += 1
+    there = max(x for x in at[low : high + 1] if x > size)
+    begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+    k = int(np.searchsorted(begins, there, "right")) - 1
+    return most, place, int(items[k - 1]), int(there - begins[k])
+
+
+def shard_matches(probe: Probe, texts: list[str | None], longest: bool = True) -> tuple[np.ndarray, dict[int, tuple[list, np.ndarray, tuple]]]:
+    """Words of each text; and for the texts with matches their spans (start, words), items, and, if asked for, longest match (words, start, item, start in it)."""
     get = probe.vocabulary.get
     # words become numbers text by text, so that only one text's words are in memory; a 0 ends each text
     parts = [np.array([*(get(w, 0) for w in words(t)), 0], np.int32) for t in texts]
@@ -188,19 +231,17 @@ def shard_matches(probe: Probe, texts: list[str | None]) -> tuple[np.ndarray, di
     of = np.searchsorted(starts, begin, "right") - 1
     for doc in np.unique(of).tolist():
         low, high = starts[doc], starts[doc + 1]
-        items, best = [], (0, 0, 0, 0)
+        items = []
         for size, (place, key) in found.items():
             a, b = np.searchsorted(place, [low, high])
             if a == b:
                 continue
             windows = probe.windows[size]
             items += [windows.items[windows.edges[w] : windows.edges[w + 1]] for w in np.unique(key[a:b])]
-            words_, at, there = _longest(place[a:b], key[a:b], windows)
-            item = int(np.searchsorted(probe.starts, there, "right")) - 1
-            best = max(best, (words_, int(at - low), item, int(there - probe.starts[item])))
-        mine = of == doc
-        spans = list(zip((begin[mine] - low).tolist(), (end[mine] - begin[mine]).tolist(), strict=True))
-        out[doc] = (spans, np.unique(np.concatenate(items)), best)
+        first, last = np.searchsorted(of, [doc, doc + 1])
+        spans = list(zip((begin[first:last] - low).tolist(), (end[first:last] - begin[first:last]).tolist(), strict=True))
+        items = np.unique(np.concatenate(items))
+        out[doc] = (spans, items, _longest(ids[low : high - 1], probe, items) if longest else (0, 0, 0, 0))
     return sizes, out
 
 
@@ -221,7 +262,7 @@ _LONGEST = "struct<n_words:long,doc_start:long,item_id:string,item_start:long>"
 _FOUND = f"row long, key long, n_words long, spans array<struct<doc_start:long,n_words:long>>, items array<string>, longest {_LONGEST}"
 
 
-def _searched(rows: DataFrame, items: list[tuple[str, str | None]], window: int, hits_only: bool) -> DataFrame:
+def _searched(rows: DataFrame, items: list[tuple[str, str | None]], window: int, hits_only: bool, longest: bool) -> DataFrame:
     """What one block of items has in common with rows (row, key, text); for hits_only without rows that have nothing."""
     shared = rows.sparkSession.sparkContext.broadcast(Probe(items, window))
 
@@ -230,10 +271,10 @@ def _searched(rows: DataFrame, items: list[tuple[str, str | None]], window: int,
 
         number = pa.int64()
         span = pa.list_(pa.struct([("doc_start", number), ("n_words", number)]))
-        longest = pa.struct([("n_words", number), ("doc_start", number), ("item_id", pa.string()), ("item_start", number)])
+        match = pa.struct([("n_words", number), ("doc_start", number), ("item_id", pa.string()), ("item_start", number)])
         probe = shared.value
         for batch in (part for whole in batches for part in shards(whole)):
-            sizes, found = shard_matches(probe, batch.column("text").to_pylist())
+            sizes, found = shard_matches(probe, batch.column("text").to_pylist(), longest)
             chosen = sorted(found) if hits_only else range(batch.num_rows)
             spans, items, best = [], [], []
             for k in chosen:
@@ -243,16 +284,16 @@ def _searched(rows: DataFrame, items: list[tuple[str, str | None]], window: int,
                 best.append({"n_words": n, "doc_start": at, "item_id": probe.names[item], "item_start": there} if n else None)
             taken = batch.take(pa.array(chosen, pa.int64())) if hits_only else batch
             columns = [taken.column(0), taken.column(1), pa.array(sizes[list(chosen)], number)]
-            arrays = [pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(best, longest)]
+            arrays = [pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(best, match)]
             yield pa.RecordBatch.from_arrays(columns + arrays, ["row", "key", "n_words", "spans", "items", "longest"])
 
     return rows.mapInArrow(scan, _FOUND)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, longest: bool = True) -> DataFrame:
     """key, n_words, spans (doc_start, n_words: runs of words inside matches), items (distinct ids), longest (the longest match) per row.
 
-    longest is n_words, doc_start, item_id, item_start, of equals the last; null without a match. Items
+    longest is n_words, doc_start, item_id, item_start, of equals the last; null without a match, or if not asked for. Items
     without words match nothing; an item of fewer words than the window is one window. Null and empty texts
     have no words. A null item id counts as the empty string, repeated ids as one item. Every row of docs
     gives one row, also where keys or texts repeat. An item travels whole to the tasks.
@@ -266,9 +307,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     if blocks > 1:
         rows = written(rows, "numbered")  # the numbers of all searches must agree
         # each search is written before the next begins, so that one block is in memory at a time
-        found = reduce(DataFrame.unionByName, [written(_searched(rows, load(b), window, b > 0), "found") for b in range(blocks)])
+        found = reduce(DataFrame.unionByName, [written(_searched(rows, load(b), window, b > 0, longest), "found") for b in range(blocks)])
     else:
-        found = _searched(rows, load(0), window, False)
+        found = _searched(rows, load(0), window, False, longest)
     if blocks > 1:
         found = found.groupBy("row").agg(
             F.first("key").alias("key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
@@ -277,15 +318,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return found.select(F.col("key").alias(key), "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"), "longest")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_hit (words inside any match), items (sorted distinct ids), longest (words of the longest match)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, longest: bool = True) -> DataFrame:
+    """key, n_words, n_hit (words inside any match), items (sorted distinct ids), longest (words of the longest match; 0 if not asked for)."""
     spans = F.array_sort(F.transform("spans", lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b"))))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     grown = lambda s, x: F.struct(
         (s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0).cast("long"))).alias("n"),
         F.greatest(s["end"], x["b"]).alias("end"),
     )
-    return matches(docs, benchmark, key, text, window).select(
+    return matches(docs, benchmark, key, text, window, longest).select(
         key,
         "n_words",
         F.aggregate(spans, none, grown)["n"].alias("n_hit"),
@@ -296,12 +337,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window of the benchmark. Documents with a null key stay."""
-    hit = contamination(docs, benchmark, key, text, window).where("n_hit > 0").select(key).distinct()
+    hit = contamination(docs, benchmark, key, text, window, longest=False).where("n_hit > 0").select(key).distinct()
     return docs.join(small(written(hit, "contaminated"), BROADCAST_IDS), key, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+    found = contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), longest=False)
     return found.select(
         "doc_id",
         "n_words",
