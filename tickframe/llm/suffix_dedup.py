@@ -207,10 +207,11 @@ def _ranked(docs: DataFrame, bits: int, buckets: int, threshold: int, gram: int)
             # a rank with many pairs would be hot: its positions are opened here, and its range is told
             crowd = _grouped(new, tops) > CROWD
             on, opened = ~again & ~crowd, ~again & crowd
+            picked = ordered(chosen(x, on, _PICK), *_PLACE)  # so that places compress
             tables = [
                 _as_crowd(made(plain, "a", _bucket(done["id"], buckets), done)),
                 _as_crowd(made(plain, "c", _bucket(x["id"][opened], buckets), chosen(x, opened, _OPEN))),
-                _as_crowd(made(plain, "b", _range(x["rank"][on], bits), chosen(x, on, _PICK))),
+                _as_crowd(made(plain, "b", _range(picked["rank"], bits), picked)),
                 _as_crowd(None, x["rank"][tops & crowd], bits),
             ]
             return pa.concat_tables(tables, promote_options="default").to_batches()
@@ -304,7 +305,7 @@ def _fetch(bits: int, threshold: int):
         y["last"] = y["start"]
         again = _later(unlike(y["rank"], y["second"]), y)
         done = _merged(chosen(y, again, _SETTLED))
-        left = chosen(y, ~again, _STRING)
+        left = ordered(chosen(y, ~again, _STRING), *_PLACE)  # so that places compress
         at = marks.column(0)[0].as_py() if len(marks) else 0
         return pa.concat_tables([made(_LATE, "a", np.full(len(done["id"]), at), done), made(_LATE, "b", _range(left["rank"], bits), left)])
 
