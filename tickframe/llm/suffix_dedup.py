@@ -147,7 +147,7 @@ _SETTLED = {"id": "<i8", "print": "<u4", "start": "<i8", "last": "<i8"}
 _PICK = {"id": "<i8", "print": "<u4", "start": "<i8", "offset": "u1", "more": "u1", "rank": "<u8", "covered": "<u8"}
 #: Positions whose strings get ranks of their own.
 _OPEN = {"id": "<i8", "print": "<u4", "start": "<i8", "offset": "u1", "more": "u1", "rank": "<u8"}
-_STRING = {"id": "<i8", "print": "<u4", "start": "<i8", "rank": "<u8", "second": "<u8"}
+_STRING = {"id": "<i8", "print": "<u4", "start": "<i8", "rank": "<u8", "second": "<u4"}
 #: Round 1 by range: settled and opened by the task itself, picked positions; crowd: ranks that others have opened.
 _FROM_SCAN = schema("r", _SETTLED, _PICK, _OPEN) + ", crowd binary"
 _MARKS = schema("b", _SETTLED, _OPEN)
@@ -294,11 +294,11 @@ def _fetch(bits: int, threshold: int):
             # equal strings have equal picks at equal offsets
             pick = x["rank"][part][of] + mix((x["offset"][part].astype(np.int64)[of] - j).astype(np.uint64))
             ranks.append(mix(_span(_prefix(data), at, at + threshold, at) ^ mix(pick)))
-            seconds.append(_span(_prefix(data, _FACTORS[1]), at, at + threshold, at, _FACTORS[1]))
+            seconds.append((_span(_prefix(data, _FACTORS[1]), at, at + threshold, at, _FACTORS[1]) >> np.uint64(32)).astype(np.uint32))
             rows.append((k + of).astype(np.int32))
             steps.append(j.astype(np.uint8))
         row, step = np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate(steps or [np.zeros(0, np.uint8)])
-        rank, second = (np.concatenate(v or [np.zeros(0, np.uint64)]) for v in (ranks, seconds))
+        rank, second = (np.concatenate(v or [np.zeros(0, t)]) for v, t in ((ranks, np.uint64), (seconds, np.uint32)))
         order = np.lexsort((second, rank))  # rows are in order of place, and so stay equal ranks
         row, step = row[order], step[order]
         y = {"id": x["id"][row], "print": x["print"][row], "start": x["start"][row] + step, "rank": rank[order], "second": second[order]}
