@@ -11,6 +11,7 @@ from tickframe.functions.prices import level_to_price, penny_price, price_levels
 from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates, statistics
 from tickframe.plans.oracle import HOUR, MINUTE
 from tickframe.sources.adapters import feed
+from tickframe.sources.itch import ItchSource
 
 LAG = 17
 
@@ -350,10 +351,16 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq and payload: the feed as messages of the types A, F, E, C, X, D and U; a message without a reference names an order that isn't there."""
+    rows = feed(spark, sf_dir)
+    return rows.select("seq", _message(rows).alias("payload"))
+
+
+def _message(rows: DataFrame) -> Column:
+    """The bytes of the feed's messages. A locate has 16 bits, so the tracking number tells which feed of 65,536 securities it is of."""
     from tickframe.sources.encode import payload
 
-    rows = feed(spark, sf_dir)
-    head = {"stock_locate": F.col("stock") % 65_536, "tracking_number": F.lit(1), "ts_ns": F.col("ts_ns")}
+    stock = F.when(F.col("stock").between(0, (1 << 32) - 1), F.col("stock")).otherwise(F.raise_error(F.lit("a security beyond the feeds")).cast("long"))
+    head = {"stock_locate": stock % 65_536, "tracking_number": F.floor(stock / 65_536), "ts_ns": F.col("ts_ns")}
     ref = F.coalesce("ref", F.lit(1 << 62))
     own = {"side": F.col("side"), "shares": F.col("shares"), "stock": F.col("stock"), "px": F.col("px")}
     odd, third = F.col("seq") % 2 == 1, F.col("seq") % 3
@@ -368,32 +375,36 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "D": {"order_id": ref},
         "U": {"order_id": ref, "new_order_id": F.col("order_id"), "shares": F.col("shares"), "px": F.col("px")},
     }
-    message = F.coalesce(*[F.when(test, payload(k, **(head | fields[k]))) for k, test in kinds.items()])
-    return rows.select("seq", message.alias("payload"))
+    return F.coalesce(*[F.when(test, payload(k, **(head | fields[k]))) for k, test in kinds.items()])
+
+
+def _security(messages: DataFrame) -> DataFrame:
+    """Decoded messages with security, the number of the feed and the locate in it."""
+    return messages.withColumn("security", F.col("tracking_number") * 65_536 + F.col("stock_locate"))
 
 
 def _inside_of(messages: DataFrame) -> DataFrame:
     from tickframe.functions.decode import common
 
-    updates_ = fold.fold(common(messages), "stock_locate", "seq")
+    updates_ = fold.fold(_security(common(messages)), "security", "seq")
     return inside.inside_reported(book.states(updates_, mode="FAILFAST")).select("seq", "stock", *_QUOTE)
 
 
-def file_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed written as length-framed files, one after another, and read back: frames, decoding, orders, books, reported inside quotes."""
-    from pyspark.sql import Window
+#: Messages of a file, about, and bytes of a split that one task reads (small enough to split the files of small tables).
+FILE_MESSAGES, SPLIT_BYTES = 20_000_000, 1 << 17
+
 
-    from tickframe.sources.encode import write_frames
+def file_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written as large length-framed files, one after another, and read back in splits: frames, decoding, orders, books, reported inside quotes."""
     from tickframe.sources.itch import read_itch
     from tickframe.sources.shared import shared_path
 
-    path = shared_path(spark, "frames")
-    write_frames(_encoded(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), path)
-    raw = read_itch(spark, path, "file string, msgcnt long, type string, payload binary").where(F.col("type").isin(*"AFECXDU")).drop("type")
-    sizes = read_itch(spark, path, "file string, msgcnt long").groupBy("file").agg((F.max("msgcnt") + 1).alias("size"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    first = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    return _inside_of(raw.join(F.broadcast(first), "file").select((F.col("first") + F.col("msgcnt")).alias("seq"), "payload"))
+    path, messages = shared_path(spark, "frames"), _encoded(spark, sf_dir)
+    days = messages.count() // FILE_MESSAGES + 1
+    spark.dataSource.register(ItchSource)
+    messages.repartitionByRange(days, "seq").sortWithinPartitions("seq").select("payload").write.format("itch5").mode("append").save(path)
+    raw = read_itch(spark, path, "msgcnt long, type string, payload binary", SPLIT_BYTES, numbered=True)
+    return _inside_of(raw.where(F.col("type").isin(*"AFECXDU")).select(F.col("msgcnt").alias("seq"), "payload"))
 
 
 def packet_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,6 +418,50 @@ def packet_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inside_of(received.select("seq", "payload"))
 
 
+#: Sessions that the feed is dealt to, and blocks of a packet.
+SESSIONS, PACKET_BLOCKS = 4, 20
+
+
+def live_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a stream: packets of several sessions over two channels, out of order and with losses, captured, put in sequence, decoded, folded into live books.
+
+    Each session numbers its own messages; the sender's table of numbers gives the feed's number back.
+    """
+    from pyspark.sql import Window
+
+    from tickframe.sources.capture import CaptureSource, record
+    from tickframe.sources.encode import packets as packed
+    from tickframe.sources.itch import blocks
+    from tickframe.sources.shared import shared_path
+    from tickframe.streaming import live, sequence
+
+    spark.dataSource.register(ItchSource)
+    spark.dataSource.register(CaptureSource)
+    rows = feed(spark, sf_dir)
+    session = F.concat(F.lit("S"), (F.col("stock") % SESSIONS).cast("string"))
+    number = (F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1).cast("long")
+    path = shared_path(spark, "numbered")
+    sent = rows.select("seq", "ts_us", session.alias("session"), _message(rows).alias("payload")).withColumn("number", number)
+    sent.write.parquet(path)
+    sent = spark.read.parquet(path)
+    packet = sent.withColumn("packet", F.floor(F.col("number") / PACKET_BLOCKS))
+    packet = packed(packet, ["session", "packet"], F.col("session"), "number", also={"ts_us": F.max("ts_us")})
+    captured = shared_path(spark, "captured")
+    for channel in (1, 3):
+        kept = packet.where(F.col("packet") % 5 != channel)
+        shaken = F.col("packet") + F.pmod(F.xxhash64("session", "packet", F.lit(channel)), F.lit(6))
+        kept = kept.repartitionByRange("ts_us").sortWithinPartitions(shaken, "session")
+        kept.select(record(F.col("data"), F.col("ts_us")).alias("data")).write.format("itch5").options(records="packets").mode("append").save(captured)
+    came = blocks(spark.readStream.format("capture").load(captured))
+    in_turn = sequence.sequenced(came.select("session", "seq", "received", "payload"), late="3650 days")
+    quotes = live.live_quotes(live.messages(in_turn.where("missing = 0")))
+    out = shared_path(spark, "live")
+    live.run_available(quotes, f"{out}/rows", f"{out}/checkpoint")
+    named = spark.read.parquet(f"{out}/rows").withColumn("session", F.concat(F.lit("S"), (F.col("stock") % SESSIONS).cast("string")))
+    named = named.withColumnRenamed("seq", "number").join(sent.select("session", "number", "seq"), ["session", "number"])
+    return inside.inside_reported(named).select("seq", "stock", *_QUOTE)
+
+
 def invalid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed's messages, some of them spoilt in one of four ways, that no decoder takes, and why."""
     from tickframe.functions.decode import invalid
@@ -471,7 +526,7 @@ QUERIES: dict[str, Query] = {
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
-        time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, invalid_messages,
+        time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, live_inside, invalid_messages,
         inside_statistics, spectrum, number_helpers,
     )
 }

@@ -46,12 +46,21 @@ def block(message: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(message)), 4, "0")), message)
 
 
-def packets(messages: DataFrame, by: str, session: str, seq: str = "seq", message: str = "payload") -> DataFrame:
-    """data: a packet for each value of the column by, its messages in order of seq; they must be as many as its numbers, and 65,535 at most."""
-    found = messages.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), block(F.col(message)).alias("block")))).alias("all"))
+def packets(
+    messages: DataFrame, by: str | list[str], session: str | Column, seq: str = "seq", message: str = "payload", also: dict[str, Column] | None = None
+) -> DataFrame:
+    """by, data and also: a packet for each value of the columns by, its messages in order of seq; they must be as many as its numbers, and 65,535 at most."""
+    by = [by] if isinstance(by, str) else by
+    session = F.lit(session) if isinstance(session, str) else F.first(session)
+    found = messages.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), block(F.col(message)).alias("block")))).alias("all"),
+        session.alias("session_"), *[c.alias(name) for name, c in (also or {}).items()],
+    )
     number = lambda c, width: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))
-    head = F.concat(F.encode(F.rpad(F.lit(session), 10, " "), "ISO-8859-1"), number(F.get("all", F.lit(0))["seq"], 8), number(F.size("all"), 2))
-    return found.select(F.col(by), F.aggregate("all", head, lambda s, x: F.concat(s, x["block"])).alias("data"))
+    head = F.concat(F.encode(F.rpad("session_", 10, " "), "ISO-8859-1"), number(F.get("all", F.lit(0))["seq"], 8), number(F.size("all"), 2))
+    # one concatenation of all blocks, as hexadecimal text
+    body = F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["block"])), ""))
+    return found.select(*by, *(also or {}), F.concat(head, body).alias("data"))
 
 
 def write_frames(messages: DataFrame, path: str, message: str = "payload") -> None:

@@ -1,33 +1,59 @@
 """Length-framed message files as a Spark source, format itch5.
 
-Each file is a sequence of two-byte lengths and payloads. A file's frames can only be found from its start,
-so a partition is a file. Predicates on the type are met before a payload leaves the reader; the schema
-decides what is read. Options: path, mode (FAILFAST or PERMISSIVE, for a last message that is cut off).
+Each file is a sequence of two-byte lengths and payloads. Uncompressed files are read in splits that start at
+frames found by tickframe.sources.frames; a gzipped file is one task. Frames are found in buffers of megabytes
+and handed on as Arrow arrays over these, without an object per message. Predicates on the type are met before
+a payload leaves the reader; the schema decides what is built. Options: path, mode (FAILFAST or PERMISSIVE, for
+a last message that is cut off), splits (the folder of a written plan).
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    DataSourceStreamArrowWriter,
+    EqualTo,
+    Filter,
+    In,
+    InputPartition,
+)
 from pyspark.sql.types import StructType
 
+from tickframe.sources import frames
+from tickframe.sources.shared import shared_path
+from tickframe.sources.sink import FileWriter, StreamWriter
+
 SCHEMA = "file string, msgcnt long, msgoffset long, type string, payload binary"
-BATCH = 20_000
+_LETTERS = [bytes([k]).decode("latin-1") for k in range(256)]
+
+
+class Part(InputPartition):
+    def __init__(self, path: str, entry: int = 0, end: float = float("inf"), first: int = 0):
+        self.path, self.entry, self.end, self.first = path, entry, end, first
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def files(path: str) -> list[tuple[str, int]]:
+    """URIs and sizes of a file or of a folder's files, by name; those that begin with _ or . are left out."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    info = system.get_file_info(root)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root))
+    head = path.split("://", 1)[0] + "://" if "://" in path else "file://"
+    return sorted((head + x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
 
 class ItchReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.schema, self.path = schema, options["path"]
+        self.schema, self.path, self.splits = schema, options["path"], options.get("splits")
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.types: set[str] | None = None
 
@@ -40,48 +66,69 @@ class ItchReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
+        if self.splits:
+            from pyarrow import fs, parquet
 
-        system, path = fs.FileSystem.from_uri(self.path)
-        info = system.get_file_info(path)
-        found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path))
-        files = [x.path for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
-        return [File(p) for p in sorted(files)] or [File("")]
+            system, root = fs.FileSystem.from_uri(self.splits)
+            rows = parquet.read_table(root, filesystem=system).to_pylist()
+            found = [Part(r["path"], r["entry"], r["end"], r["first"]) for r in sorted(rows, key=lambda r: (r["path"], r["start"]))]
+        else:
+            found = [Part(path) for path, _ in files(self.path)]
+        return found or [Part("")]
 
-    def read(self, partition: File) -> Iterator:
+    def read(self, partition: Part) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyarrow import fs
         from pyspark.sql.pandas.types import to_arrow_schema
 
         if not partition.path:
             return
         target, names = to_arrow_schema(self.schema), self.schema.fieldNames()
-        with fs.FileSystem.from_uri(self.path)[0].open_input_file(partition.path) as opened:
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=opened) if partition.path.endswith(".gz") else opened, 1 << 20)
-            rows = []
-            for count, offset, payload in self.frames(stream, partition.path):
-                kind = payload[:1].decode("latin-1")
-                if self.types is not None and kind not in self.types:
-                    continue
-                row = {"file": partition.path, "msgcnt": count, "msgoffset": offset, "type": kind, "payload": payload}
-                rows.append({n: row[n] for n in names})
-                if len(rows) == BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, target)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, target)
-
-    def frames(self, stream, path: str) -> Iterator[tuple[int, int, bytes]]:
-        count = offset = 0
-        while head := stream.read(2):
-            size = int.from_bytes(head, "big")
-            payload = stream.read(size)
-            if len(head) < 2 or len(payload) < size:
-                if self.permissive:
-                    return
-                raise ValueError(f"{path} is cut off in message {count}")
-            yield count, offset + 2, payload
-            count, offset = count + 1, offset + 2 + size
+        wanted = None if self.types is None else np.isin(_LETTERS, list(self.types))
+        letters = pa.array(_LETTERS)
+        count, (system, path) = partition.first, fs.FileSystem.from_uri(partition.path)
+        with system.open_input_file(path) as opened:
+            if partition.entry:
+                opened.seek(partition.entry)
+            stream = gzip.GzipFile(fileobj=opened) if path.endswith(".gz") else opened
+            for base, data, starts in self.buffers(stream, partition):
+                edges = np.array(starts, np.int64)
+                n = len(edges) - 1
+                if edges[-1] < len(data) and base + int(edges[-1]) < partition.end and not self.permissive:
+                    raise ValueError(f"{partition.path} is cut off in message {count + n}")
+                # an empty payload has no type
+                blank = edges[1:] == edges[:-1] + 2
+                kinds = np.frombuffer(data + b"\0", np.uint8)[np.minimum(edges[:-1] + 2, len(data))]
+                keep = np.flatnonzero(~blank & wanted[kinds]) if wanted is not None else None
+                columns = {}
+                for name in names:
+                    if name == "file":
+                        column = pa.repeat(pa.scalar(partition.path.split("://", 1)[-1]), n)
+                    elif name == "msgcnt":
+                        column = pa.array(np.arange(count, count + n))
+                    elif name == "msgoffset":
+                        column = pa.array(edges[:-1] + base + 2)
+                    elif name == "type":
+                        column = letters.take(pa.array(np.where(blank, 0, kinds), mask=blank))
+                        column = pc.fill_null(column, "")
+                    else:
+                        body = np.ones(edges[-1], bool)
+                        body[edges[:-1]] = body[edges[:-1] + 1] = False  # without the lengths
+                        ends = (edges - 2 * np.arange(n + 1)).astype(np.int32)
+                        column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.frombuffer(data, np.uint8, edges[-1])[body])])
+                    columns[name] = column if keep is None else column.take(pa.array(keep))
+                count += n
+                if n if keep is None else len(keep):
+                    yield pa.RecordBatch.from_arrays([columns[c].cast(target.field(c).type) for c in names], schema=target)
+
+    def buffers(self, stream, partition: Part) -> Iterator[tuple[int, bytes, list[int]]]:
+        """Buffers of frames; a gzipped file whose end is missing ends where its bytes do."""
+        try:
+            yield from frames.walk(stream, partition.entry, partition.end)
+        except EOFError:
+            if not self.permissive:
+                raise
 
 
 class ItchSource(DataSource):
@@ -95,10 +142,37 @@ class ItchSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ItchReader(schema, self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return FileWriter(self.options, schema, overwrite)
 
-def read_itch(spark: SparkSession, path: str, schema: str = SCHEMA, **options: str) -> DataFrame:
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:  # noqa: N802
+        return StreamWriter(self.options, schema, overwrite)
+
+
+def read_itch(spark: SparkSession, path: str, schema: str = SCHEMA, split_bytes: int = frames.SPLIT_BYTES, numbered: bool = False, **options: str) -> DataFrame:
+    """The messages of a file, or of a folder's files. msgcnt counts a file's messages, with numbered those of all files in order of name.
+
+    Uncompressed files of more than split_bytes are planned first, by a job that finds frames in the middle. Sets
+    spark.sql.python.filterPushdown.enabled for the session.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ItchSource)
+    found = files(path)
+    plain = [(p, n) for p, n in found if not p.endswith(".gz")]
+    if numbered and len(plain) < len(found):
+        raise ValueError("gzipped files can't be numbered ahead")
+    if numbered or any(n > split_bytes for _, n in plain):
+        parts = frames.plan(spark, plain, split_bytes)
+        if numbered:
+            first, over = 0, []
+            for s in parts:
+                over.append(s._replace(first=first))
+                first += s.count
+            parts = over
+        parts += [frames.Split(p, 0, 1 << 62, 0, 0, 0) for p, _ in found if p.endswith(".gz")]
+        options["splits"] = shared_path(spark, "splits")
+        table = "path string, start long, end long, entry long, exit long, count long, first long"
+        spark.createDataFrame([tuple(s) for s in parts if s.entry < s.end], table).write.parquet(options["splits"])
     return spark.read.format("itch5").schema(schema).options(path=path, **options).load()
 
 

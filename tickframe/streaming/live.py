@@ -106,6 +106,14 @@ def live_quotes(messages: DataFrame) -> DataFrame:
     return messages.groupBy("stock").transformWithStateInPandas(LiveBooks(), QUOTES, "append", "None")
 
 
+def messages(blocks: DataFrame) -> DataFrame:
+    """Messages for live_quotes() of a stream of blocks (seq, payload); a security is the number of its feed and its locate there."""
+    from tickframe.functions.decode import common
+
+    stock = F.col("tracking_number") * 65_536 + F.col("stock_locate")
+    return common(blocks).select(stock.alias("stock"), "seq", "type", "order_id", "new_order_id", "side", "shares", "px")
+
+
 def packet_messages(packets: DataFrame, data: str = "data") -> DataFrame:
     """Messages for live_quotes() of a stream of packets; seq is the message's number in its session."""
     from tickframe.functions.decode import common
