@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,57 @@ def quantiles(shares: dict[str, float], binning) -> list[Column]:
     return [F.col("low").alias("min"), *[quantile(q, binning).alias(name) for name, q in shares.items()], F.col("high").alias("max")]
 
 
+def bins(samples: DataFrame, keys: Sequence[str], value: str, binning, weight: str | None = None) -> DataFrame:
+    """keys, bin, w, low, high: a row per occupied bin. Bins of several tables are merged by merged()."""
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    v = F.col(value)
+    index = F.when(v < binning.low, F.lit(-1).cast("long")).when(v >= binning.high, F.lit(binning.size).cast("long")).otherwise(binning.bin(v))
+    rows = samples.where(v.isNotNull()).select(*keys, v.alias("v"), w.alias("w"), index.alias("bin")).where("w > 0")
+    return rows.groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of bins() of several histograms, or of one in parts, as rows of their sum."""
+    return parts.groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def summary(parts: DataFrame, keys: Sequence[str], binning, shares: dict[str, float], overall: bool = False) -> DataFrame:
+    """keys, n, min, the named quantiles and max from rows of bins(), as quantile() defines them.
+
+    One pass over the bins for all quantiles: running sums by key, then for each quantile the first bin that
+    reaches it. A key has as many rows as its histogram has occupied bins. With overall there is one more row for
+    everything, its keys null.
+    """
+    keys = list(keys)
+    if overall and keys:
+        parts = parts.withColumn("all", F.lit(0)).unionByName(merged(parts, []).withColumn("all", F.lit(1)), allowMissingColumns=True)
+    own = [*keys, "all"] if overall and keys else keys
+    every = Window.partitionBy(*own)
+    total = F.sum("w").over(every)
+    rows = parts.withColumns(
+        {
+            "n": total,
+            "upto": F.sum("w").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "least": F.min("low").over(every),
+            "most": F.max("high").over(every),
+        }
+    )
+    n = F.col("n").cast("double")
+    upto, base, height = F.col("upto").cast("double") / n, (F.col("upto") - F.col("w")).cast("double") / n, F.col("w").cast("double") / n
+    rows = rows.withColumns({"low": F.col("least"), "high": F.col("most")})
+    a, b = _ends(F.col("bin"), binning)
+    rows = rows.withColumns({"upto": upto, "base": base, "height": height, "a": a, "b": b})
+    found = []
+    for name, q in shares.items():
+        share = F.lit(float(q))
+        hit = F.when(F.col("bin") == binning.size, share < F.col("upto")).otherwise(share <= F.col("upto"))
+        inside = F.floor(F.col("a") + (share - F.col("base")) * (F.col("b") - F.col("a")) / F.col("height"))
+        first = F.min(F.when(hit, F.struct("bin", inside.alias("x"))))["x"].cast("double")
+        found.append(F.coalesce(first, F.max("high").cast("double")).cast("long").alias(name))
+    out = rows.groupBy(*own).agg(F.max("n").alias("n"), F.min("low").alias("min"), *found, F.max("high").alias("max"))
+    return out.drop("all") if own != keys else out
+
+
 #: Percentiles of the statistics, by their usual names.
 SUMMARY = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 DEPTH = {**SUMMARY, "p999": 0.999, "p9999": 0.9999}

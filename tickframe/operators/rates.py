@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.sources.shared import kept
+
 
 def window_ticks(measurement: int, sampling: int) -> int:
     if sampling <= 0 or measurement < sampling or measurement % sampling:
@@ -33,8 +35,10 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
         current = Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = rows.withColumn("tick", F.max("t").over(current))
     else:
-        placed = _running_max(rows)
+        placed = _running_max(kept(rows, "ticks"))  # read once for the ranges, once for the maxima
     counts = placed.groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("events"))
+    if not keys:
+        counts = kept(counts, "counts")
     change = lambda t, d: F.struct(t.alias("tick"), d.alias("change"))
     both = F.explode(F.array(change(F.col("tick"), F.col("events")), change(F.col("tick") + n, -F.col("events"))))
     ends = counts.select(*keys, both.alias("x")).groupBy(*keys, "x.tick").agg(F.sum("x.change").alias("change"))
@@ -50,22 +54,33 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
     return steps.where("tick < last").select(*keys, "tick", "rate", (F.col("until") - F.col("tick")).alias("weight")).where("weight > 0")
 
 
-#: Rows of a range that one task takes in order, about, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 500_000, 2_000
+#: Rows of a range that one task takes in order, about, and the places between which ranges can end.
+RANGE_ROWS, CUTS = 500_000, 4_096
+
+
+def with_part(rows: DataFrame, by: str) -> DataFrame:
+    """rows with part, the range of the column by; ranges have about as many rows each. One aggregate finds their ends."""
+    shares = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(by, shares, F.lit(4 * CUTS)).alias("cuts")).first()
+    ranges = min(CUTS, max(1, -(-found["n"] // RANGE_ROWS)))
+    cuts = sorted({(found["cuts"] or [0])[k * CUTS // ranges - 1] for k in range(1, ranges)})
+    if not cuts:
+        return rows.withColumn("part", F.lit(0))
+    # places in a sorted list, by halving
+    return rows.withColumn("part", _place(F.col(by), cuts, 0, len(cuts)))
 
 
-def _with_part(rows: DataFrame, by: str) -> DataFrame:
-    """rows with part, the range of the column by; ranges have about as many rows each."""
-    ranges = max(2, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = rows.select(F.percentile_approx(by, shares, F.lit(10 * ranges)).alias("cuts")).first()
-    cuts = F.array(*[F.lit(c) for c in sorted(set(bounds["cuts"] or [0]))])
-    return rows.withColumn("part", F.size(F.filter(cuts, lambda c: F.col(by) > c)))
+def _place(x: Column, cuts: list, low: int, high: int) -> Column:
+    """How many of the sorted cuts from low to high are below x, plus low."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(x > cuts[middle], _place(x, cuts, middle + 1, high)).otherwise(_place(x, cuts, low, middle))
 
 
 def _over_ranges(ends: DataFrame) -> DataFrame:
     """ends (tick, change) with part, base (the sum of all changes of earlier parts) and next_tick (the first tick of the next part)."""
-    dealt = _with_part(ends, "tick")
+    dealt = with_part(ends, "tick")
     sums = dealt.groupBy("part").agg(F.sum("change").alias("sum"), F.min("tick").alias("first"))
     in_order = Window.orderBy("part")  # one row per range
     base = F.coalesce(F.sum("sum").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
@@ -74,7 +89,7 @@ def _over_ranges(ends: DataFrame) -> DataFrame:
 
 def _running_max(rows: DataFrame) -> DataFrame:
     """tick: the largest t so far in the order of o."""
-    dealt = _with_part(rows, "o")
+    dealt = with_part(rows, "o")
     tops = dealt.groupBy("part").agg(F.max("t").alias("top"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     floors = tops.select("part", F.max("top").over(before).alias("floor"))

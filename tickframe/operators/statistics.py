@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators.histogram import ARRIVAL, DEPTH, IntegerRange, histogram, quantiles
-from tickframe.operators.rates import interarrival, rate_steps
+from tickframe.functions.decode import view
+from tickframe.operators.histogram import ARRIVAL, DEPTH, IntegerRange, bins, summary
+from tickframe.operators.rates import interarrival, rate_steps, with_part
+from tickframe.sources.shared import kept
 
 AGGREGATE = "__aggregate__"
 SECOND = 1_000_000_000
@@ -30,9 +32,8 @@ PROCESSING = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99
 
 def _named(samples: DataFrame, value: str, binning: IntegerRange, shares: dict[str, float], suffix: str, weight: str | None = None) -> DataFrame:
     """Name and the percentiles, their names with the suffix."""
-    rows = histogram(samples, ["Name"], value, binning, weight)
-    columns = quantiles(shares, binning)
-    return rows.select("Name", *[c.alias(f"{n}{suffix}") for c, n in zip(columns, ["min", *shares, "max"], strict=True)])
+    rows = summary(bins(samples, ["Name"], value, binning, weight), ["Name"], binning, shares)
+    return rows.select("Name", *[F.col(n).alias(f"{n}{suffix}") for n in ("min", *shares, "max")])
 
 
 def _twice(rows: DataFrame, name: Column) -> DataFrame:
@@ -47,6 +48,7 @@ def feed_statistics(events: DataFrame, name: str, time: str, order: str, process
     those of the whole feed in its order, not sums over securities.
     """
     rows = events.select(F.col(name).cast("string").alias("Name"), F.col(time).alias("t"), F.col(order).alias("o"), *([F.col(processing).alias("p")] if processing else []))
+    rows = kept(rows, "events")  # read several times
     parts = [_twice(rows, F.col("Name")).groupBy("Name").agg(F.count(F.lit(1)).alias("NSamples"))]
     for suffix, measurement, sampling, most in RATES:
         own = rate_steps(rows, ["Name"], "t", "o", measurement, sampling)
@@ -65,16 +67,19 @@ def feed_statistics(events: DataFrame, name: str, time: str, order: str, process
 
 
 def ordered_gaps(rows: DataFrame) -> DataFrame:
-    """gap: times between events (o, t) of the whole feed: within ranges of a million order numbers, and between one range's end and the next one's start."""
-    rows = rows.withColumn("part", F.floor(F.col("o") / 1_000_000))
+    """gap: times between events (o, t) of the whole feed: within ranges of the order, and between one range's end and the next one's start."""
+    rows = with_part(rows, "o")
     inner = interarrival(rows, ["part"], "t", "o").select("gap")
     ends = rows.groupBy("part").agg(F.min(F.struct("o", "t")).alias("first"), F.max(F.struct("o", "t")).alias("last"))
-    from pyspark.sql import Window
-
     before = F.lag("last").over(Window.orderBy("part"))  # a row per range
     return inner.unionByName(ends.select((F.col("first.t") - before["t"]).alias("gap")).where("gap is not null"))
 
 
+def directory_names(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """Name: the securities that a feed's directory messages announce, whether or not anything comes of them."""
+    return view(raw, "R", "PERMISSIVE", payload).select(F.col("stock").alias("Name")).distinct()
+
+
 def depth_statistics(depths: DataFrame, name: str, value: str, most: int = 8192, names: DataFrame | None = None) -> DataFrame:
     """Name, NSamples and percentiles of book depth."""
     rows = _twice(depths.select(F.col(name).alias("own"), F.col(value).alias("v")), F.col("own"))

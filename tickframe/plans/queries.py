@@ -152,9 +152,7 @@ _DEPTHS = histogram.IntegerRange(0, 8192)
 
 
 def _stats(samples: DataFrame, keys: list[str], value: str, binning, shares: dict[str, float], weight: str | None = None, overall: bool = False) -> DataFrame:
-    return histogram.histogram(samples, keys, value, binning, weight, overall).select(
-        *keys, F.col("n"), *histogram.quantiles(shares, binning)
-    )
+    return histogram.summary(histogram.bins(samples, keys, value, binning, weight), keys, binning, shares, overall)
 
 
 def book_depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
