@@ -31,19 +31,20 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
     n = window_ticks(measurement, sampling)
     tick = F.floor(F.col(time) / sampling).cast("long")
     rows = events.where(F.col(time).isNotNull()).select(*keys, F.col(order).alias("o"), tick.alias("t"))
+    most = None if keys else rows.count()
     if keys:
         current = Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = rows.withColumn("tick", F.max("t").over(current))
     else:
-        placed = _running_max(kept(rows, "ticks"))  # read once for the ranges, once for the maxima
+        placed = _running_max(rows, most)
     counts = placed.groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("events"))
-    if not keys:
+    if not keys and most > RANGE_ROWS:
         counts = kept(counts, "counts")
     change = lambda t, d: F.struct(t.alias("tick"), d.alias("change"))
     both = F.explode(F.array(change(F.col("tick"), F.col("events")), change(F.col("tick") + n, -F.col("events"))))
     ends = counts.select(*keys, both.alias("x")).groupBy(*keys, "x.tick").agg(F.sum("x.change").alias("change"))
     last = counts.groupBy(*keys).agg(F.max("tick").alias("last")) if keys else counts.agg(F.max("tick").alias("last"))
-    joined = ends.join(last, list(keys)) if keys else _over_ranges(ends).crossJoin(F.broadcast(last))  # one row
+    joined = ends.join(last, list(keys)) if keys else _over_ranges(ends, 2 * most if most <= RANGE_ROWS // 2 else None).crossJoin(F.broadcast(last))  # one row
     if not keys:
         by, base, next_ = Window.partitionBy("part").orderBy("tick"), F.col("base"), F.col("next_tick")
     else:
@@ -58,14 +59,19 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
 RANGE_ROWS, CUTS = 500_000, 4_096
 
 
-def with_part(rows: DataFrame, by: str) -> DataFrame:
-    """rows with part, the range of the column by; ranges have about as many rows each. One aggregate finds their ends."""
-    shares = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(by, shares, F.lit(4 * CUTS)).alias("cuts")).first()
-    ranges = min(CUTS, max(1, -(-found["n"] // RANGE_ROWS)))
-    cuts = sorted({(found["cuts"] or [0])[k * CUTS // ranges - 1] for k in range(1, ranges)})
-    if not cuts:
+def with_part(rows: DataFrame, by: str, most: int | None = None) -> DataFrame:
+    """rows with part, the range of the column by; ranges have about as many rows each. most is a known bound of the rows.
+
+    Rows that fit one range are counted and left as they are; more are written once, and one aggregate over what was
+    written finds the ranges' ends.
+    """
+    if (rows.count() if most is None else most) <= RANGE_ROWS:
         return rows.withColumn("part", F.lit(0))
+    rows = kept(rows, "ordered")
+    shares = ", ".join(f"{k / CUTS}D" for k in range(1, CUTS))  # as text: a call for each literal would take seconds
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(`{by}`, array({shares}), {4 * CUTS})").alias("cuts")).first()
+    ranges = min(CUTS, -(-found["n"] // RANGE_ROWS))
+    cuts = sorted({found["cuts"][k * CUTS // ranges - 1] for k in range(1, ranges)})
     # places in a sorted list, by halving
     return rows.withColumn("part", _place(F.col(by), cuts, 0, len(cuts)))
 
@@ -78,18 +84,18 @@ def _place(x: Column, cuts: list, low: int, high: int) -> Column:
     return F.when(x > cuts[middle], _place(x, cuts, middle + 1, high)).otherwise(_place(x, cuts, low, middle))
 
 
-def _over_ranges(ends: DataFrame) -> DataFrame:
+def _over_ranges(ends: DataFrame, most: int | None) -> DataFrame:
     """ends (tick, change) with part, base (the sum of all changes of earlier parts) and next_tick (the first tick of the next part)."""
-    dealt = with_part(ends, "tick")
+    dealt = with_part(ends, "tick", most)
     sums = dealt.groupBy("part").agg(F.sum("change").alias("sum"), F.min("tick").alias("first"))
     in_order = Window.orderBy("part")  # one row per range
     base = F.coalesce(F.sum("sum").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
     return dealt.join(F.broadcast(sums.select("part", base, F.lead("first").over(in_order).alias("next_tick"))), "part")
 
 
-def _running_max(rows: DataFrame) -> DataFrame:
+def _running_max(rows: DataFrame, most: int) -> DataFrame:
     """tick: the largest t so far in the order of o."""
-    dealt = with_part(rows, "o")
+    dealt = with_part(rows, "o", most)
     tops = dealt.groupBy("part").agg(F.max("t").alias("top"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     floors = tops.select("part", F.max("top").over(before).alias("floor"))

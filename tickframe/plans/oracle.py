@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickframe.plans.samples import FIELDS
+from tickframe.layouts import ITCH, ITCH_HEADER, PITCH
 
 _FEED = """
 feed AS (
@@ -261,7 +261,40 @@ SQL["invalid_messages"] = FEED + """, typed AS (
   SELECT seq, CASE way WHEN 1 THEN 'Z' ELSE type END AS type,
          CASE way WHEN 1 THEN 'unknown type' WHEN 2 THEN 'too short' WHEN 3 THEN 'time of another day' ELSE 'unknown code' END AS reason
   FROM typed WHERE way IN (1, 2, 3) OR way = 4 AND type IN ('A', 'F')"""
-SQL["decode_roundtrip"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{text}')" for k, text in FIELDS.items()) + ") AS t(type, fields)"
+
+
+def _field_sql(field, place: int, n: str = "o_orderkey") -> str:
+    if field.name == "ts_ns":
+        return f"{n} * 1000003 % 86400000000000"
+    if field.kind in ("u", "price4", "price8"):
+        return f"({n} * {place + 3} + {place}) % {min(1 << (8 * field.width), 1 << 31)}"
+    if field.codes:
+        codes = field.codes.split() if field.kind == "word" else list(field.codes)
+        return f"{codes!r}[1 + ({n} + {place}) % {len(codes)}]"
+    return f"'T' || {n} % {10 ** (field.width - 1)}" if field.width > 1 else f"['B', 'S'][1 + {n} % 2]"
+
+
+def _messages_sql(layouts: dict, header: tuple, kind: str) -> str:
+    """A message of each type in turn for each order; texts are cut at their first space and never have one."""
+    parts = []
+    for k, (name, fields) in enumerate(layouts.items()):
+        said = " || ' ' || ".join(f"'{f.name}=' || ({_field_sql(f, i)})" for i, f in enumerate((*header, *fields)))
+        parts.append(f"SELECT o_orderkey, {name!r}{kind} AS type, {said} AS fields FROM orders WHERE o_orderkey % {len(layouts)} = {k}")
+    return " UNION ALL ".join(parts)
+
+
+SQL["decode_roundtrip"], SQL["pitch_roundtrip"] = _messages_sql(ITCH, ITCH_HEADER, ""), _messages_sql(PITCH, (), "::INT")
+SQL["trade_lines"] = FEED + """SELECT concat_ws(' ', ts_ns, ref, CASE WHEN seq % 2 = 0 THEN 'B' ELSE 'S' END, shares, stock,
+  px // 10000 || '.' || lpad((px % 10000)::VARCHAR, 4, '0'), seq) AS line FROM referred WHERE type = 'E' AND ref IS NOT NULL"""
+SQL["generic_reductions"] = """WITH x AS (
+  SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS place, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem
+), y AS (SELECT *, lag(cents) OVER (PARTITION BY l_returnflag ORDER BY place, cents) AS before FROM x)
+SELECT l_returnflag, sum(cents)::BIGINT AS total, min(cents) AS least, max(cents) AS most,
+  min(place) FILTER (WHERE cents = (SELECT max(cents) FROM x WHERE x.l_returnflag = y.l_returnflag))::BIGINT AS most_at,
+  first(cents ORDER BY place, cents) AS first, last(cents ORDER BY place, cents) AS last, (count(*) FILTER (WHERE cents > before))::BIGINT AS ascents
+FROM y GROUP BY l_returnflag"""
+SQL["directory_depth"] = f"""SELECT coalesce(Name, c_custkey::VARCHAR) AS Name, coalesce(NSamples, 0) AS NSamples, {', '.join(f'{c}BookDepth' for c in ('min', *DEPTH, 'max'))}
+  FROM ({SQL['depth_statistics']}) FULL JOIN customer ON Name = c_custkey::VARCHAR"""
 SQL["inside_statistics"] = BOOK + f", reported AS (SELECT seq, stock, ts_us FROM book WHERE {_REPORTED}), " + quantile_sql(
     f"""SELECT stock, (ts_us - lag(ts_us) OVER (PARTITION BY stock ORDER BY seq)) // {MINUTE} AS v, 1 AS w FROM reported QUALIFY v IS NOT NULL
     UNION ALL SELECT NULL, (ts_us - lag(ts_us) OVER (ORDER BY seq)) // {MINUTE} AS v, 1 FROM reported QUALIFY v IS NOT NULL""", "stock", ARRIVAL, 0, 100000
@@ -285,9 +318,10 @@ SELECT stock AS session, first_seq, count(*)::BIGINT AS block_count, (20 + sum(s
        first_seq = max(first_seq) OVER (PARTITION BY stock) AS is_final_partial FROM walk GROUP BY stock, first_seq"""
 
 
-def _statistics() -> str:
-    """The feed's statistics: times in ns, a row for each security and one for everything."""
-    own, whole = "SELECT stock::VARCHAR AS Name, seq, ts_us * 1000 AS ts_us FROM base", "SELECT '__aggregate__' AS Name, seq, ts_us * 1000 AS ts_us FROM base"
+def _statistics(feed: str, base: str, processing: str | None = None) -> str:
+    """A feed's statistics: times in ns, a row for each security and one for everything; feed ends with the table base (stock, seq, ts_us)."""
+    took = f", {processing} AS took" if processing else ""
+    own, whole = (f"SELECT {name} AS Name, seq, ts_us * 1000 AS ts_us{took} FROM {base}" for name in ("stock::VARCHAR", "'__aggregate__'"))
     parts, columns = [], []
     for suffix, measure, sample, most in RATES:
         rates = " UNION ALL ".join(
@@ -298,15 +332,23 @@ def _statistics() -> str:
         f"(SELECT Name, ts_us - lag(ts_us) OVER (PARTITION BY Name ORDER BY seq) AS v, 1 AS w FROM ({rows}) QUALIFY v IS NOT NULL)" for rows in (own, whole)
     )
     parts.append(("Arrival", "WITH " + quantile_sql(gaps, "Name", ARRIVAL, 0, 100_000), ARRIVAL))
+    shares = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
+    if processing:
+        both = " UNION ALL ".join(f"(SELECT Name, took AS v, 1 AS w FROM ({rows}))" for rows in (own, whole))
+        parts.append(("Processing", "WITH " + quantile_sql(both, "Name", shares, 0, 1_000_000), shares))
     joins = ""
-    for suffix, sql, shares in parts:
+    for suffix, sql, names in parts:
         joins += f" LEFT JOIN ({sql}) AS t{suffix} USING (Name)"
-        columns += [f"t{suffix}.{c} AS {c}{suffix}" for c in ("min", *shares, "max")]
-    columns += [f"NULL::BIGINT AS {c}Processing" for c in ("min", "p10", "p25", "p50", "p75", "p90", "p99", "p999", "p9999", "max")]
-    names = "SELECT Name, count(*) AS NSamples FROM (SELECT stock::VARCHAR AS Name FROM base UNION ALL SELECT '__aggregate__' FROM base) GROUP BY Name"
-    return FEED.replace("feed AS (", "base AS (", 1).replace("FROM feed", "FROM base") + f"SELECT Name, NSamples, {', '.join(columns)} FROM ({names}) AS n{joins}"
+        columns += [f"t{suffix}.{c} AS {c}{suffix}" for c in ("min", *names, "max")]
+    if not processing:
+        columns += [f"NULL::BIGINT AS {c}Processing" for c in ("min", *shares, "max")]
+    names = f"SELECT Name, count(*) AS NSamples FROM (SELECT stock::VARCHAR AS Name FROM {base} UNION ALL SELECT '__aggregate__' FROM {base}) GROUP BY Name"
+    return f"{feed} SELECT Name, NSamples, {', '.join(columns)} FROM ({names}) AS n{joins}"
 
 
 #: Name, measurement and sampling period in ns, largest rate with a bin of its own.
 RATES = (("RatePerSec", 1_000_000_000, 1_000_000, 1_000_000), ("RatePerMSec", 1_000_000, 1_000, 100_000), ("RatePerUSec", 1_000, 1, 100_000))
-SQL["feed_statistics"] = _statistics()
+SQL["feed_statistics"] = _statistics(FEED.replace("feed AS (", "base AS (", 1).replace("FROM feed", "FROM base"), "base")
+SQL["inside_feed_statistics"] = _statistics(
+    BOOK + f", reported AS (SELECT stock, seq, ts_us, qty FROM book WHERE {_REPORTED})", "reported", "abs(qty) * 1000 + seq % 997"
+)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions.prices import level_to_price, penny_price, price_levels, price_text, time_text
-from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates, statistics
+from tickframe.operators import book, delay, fold, histogram, inside, orders, packets, rates, reduce, select, statistics
 from tickframe.plans.oracle import HOUR, MINUTE
 from tickframe.sources.adapters import feed
 from tickframe.sources.itch import ItchSource
+from tickframe.sources.shared import kept
 
 LAG = 17
 
@@ -235,15 +236,23 @@ def hist_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted element at p * n / 100, rounded down, of each priority."""
-    from pyspark.sql import Window
-
-    rows = _table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
     n = rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     at = F.explode(F.array(*[F.lit(p) for p in (0, 25, 50, 75, 90, 99)])).alias("p")
     wanted = n.select("o_orderpriority", "n", at).select("o_orderpriority", "p", F.expr("p * n div 100").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")) - 1
-    ranked = rows.withColumn("k", rank.cast("long"))
-    return ranked.join(F.broadcast(wanted), ["o_orderpriority", "k"]).select("o_orderpriority", "p", F.col("o_totalprice").alias("price"))
+    found = select.order_statistics(rows, ["o_orderpriority"], "o_totalprice", wanted)
+    return wanted.join(found, ["o_orderpriority", "k"]).select("o_orderpriority", "p", F.col("o_totalprice").alias("price"))
+
+
+def generic_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reductions by reducers that are given as objects, by return flag in the order of the lines: sum, least, largest and where, ascents (order matters)."""
+    rows = _table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")
+    )
+    reducer = reduce.Together(reduce.Sum(), reduce.Least(), reduce.ArgMax(), reduce.Ascents())
+    columns = {"total": ("long", 0), "least": ("long", 1), "most": ("long", 2, 0), "most_at": ("long", 2, 1)}
+    columns |= {"first": ("long", 3, 0), "last": ("long", 3, 1), "ascents": ("long", 3, 2)}
+    return reduce.results(reduce.reduce(rows, ["l_returnflag"], "cents", "at", reducer), columns)
 
 
 def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,18 +342,95 @@ def mold_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.gaps(rows, "stock", "arrival", "first_seq", "block_count")
 
 
+def _field_value(field, place: int, n: Column) -> Column:
+    """A value for a field of a message that the row n gives; plans.oracle has the same in SQL."""
+    from tickframe.layouts import DAY_NS
+
+    if field.name == "ts_ns":
+        return n * 1_000_003 % DAY_NS
+    if field.kind in ("u", "price4", "price8"):
+        return (n * (place + 3) + place) % min(1 << (8 * field.width), 1 << 31)
+    if field.codes:
+        codes = field.codes.split() if field.kind == "word" else list(field.codes)
+        return F.element_at(F.array(*map(F.lit, codes)), ((n + place) % len(codes) + 1).cast("int"))
+    return F.concat(F.lit("T"), (n % 10 ** (field.width - 1)).cast("string")) if field.width > 1 else F.element_at(F.array(F.lit("B"), F.lit("S")), (n % 2 + 1).cast("int"))
+
+
+def _said(columns: list[str]) -> Column:
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
+
+
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message of each of the 19 types, given as bytes, decoded by expressions: type, fields as text."""
+    """Orders as messages of the 19 types in turn, encoded, checked and decoded by expressions: order, type, fields as text."""
+    from functools import reduce as folded
+
     from tickframe.functions.decode import flags, view
-    from tickframe.plans.samples import MESSAGES
+    from tickframe.layouts import ITCH, ITCH_HEADER
+    from tickframe.sources.encode import payload
+
+    n, kinds = F.col("o_orderkey"), list(ITCH)
+    made = None
+    for k, kind in enumerate(kinds):
+        values = {f.name: _field_value(f, i, n) for i, f in enumerate((*ITCH_HEADER, *ITCH[kind]))}
+        test = n % len(kinds) == k
+        made = F.when(test, payload(kind, **values)) if made is None else made.when(test, payload(kind, **values))
+    raw = kept(_table(spark, sf_dir, "orders").select("o_orderkey", made.alias("payload")), "messages")  # decoders refer to the bytes many times
+    raw = flags(raw).where("ok").select("o_orderkey", "payload")
+    views = [view(raw, kind) for kind in kinds]
+    return folded(DataFrame.unionByName, [v.select("o_orderkey", "type", _said(v.columns[2:]).alias("fields")) for v in views])
+
+
+def pitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as messages of the 13 little-endian types in turn, encoded and decoded: order, type, fields as text."""
+    from functools import reduce as folded
+
+    from tickframe.functions.decode import pitch_view
+    from tickframe.layouts import PITCH
+    from tickframe.sources.encode import pitch_payload
+
+    n, kinds = F.col("o_orderkey"), list(PITCH)
+    made = None
+    for k, kind in enumerate(kinds):
+        values = {f.name: _field_value(f, i, n) for i, f in enumerate(PITCH[kind])}
+        test = n % len(kinds) == k
+        made = F.when(test, pitch_payload(kind, **values)) if made is None else made.when(test, pitch_payload(kind, **values))
+    raw = kept(_table(spark, sf_dir, "orders").select("o_orderkey", made.alias("payload")), "messages")
+    views = [(kind, pitch_view(raw, kind)) for kind in kinds]
+    return folded(DataFrame.unionByName, [v.select("o_orderkey", F.lit(kind).alias("type"), _said(v.columns[1:]).alias("fields")) for kind, v in views])
+
+
+def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's executions as trade messages, printed as lines into gzipped text, and read back."""
+    from tickframe.functions.decode import view
+    from tickframe.functions.text import trade_line
+    from tickframe.sources.encode import payload
+    from tickframe.sources.shared import shared_path
+
+    spark.dataSource.register(ItchSource)
+    rows = feed(spark, sf_dir).where("type = 'E' and ref is not null")
+    values = {"stock_locate": F.lit(0), "tracking_number": F.lit(0), "ts_ns": F.col("ts_ns"), "order_id": F.col("ref"), "shares": F.col("shares")}
+    values |= {"side": F.when(F.col("seq") % 2 == 0, "B").otherwise("S"), "stock": F.col("stock"), "px": F.col("px"), "match": F.col("seq")}
+    path = shared_path(spark, "trades")
+    lines = view(rows.select(payload("P", **values).alias("payload")), "P").select(trade_line().alias("line"))
+    lines.write.format("itch5").options(records="lines", compression="gzip").mode("append").save(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def directory_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth statistics of all securities that directory messages announce, one for each customer, whether or not they have a book."""
+    from tickframe.layouts import ITCH, ITCH_HEADER
+    from tickframe.sources.encode import payload
+
+    n = F.col("c_custkey")
+    values = {f.name: _field_value(f, i, n) for i, f in enumerate((*ITCH_HEADER, *ITCH["R"]))} | {"stock": n}
+    names = statistics.directory_names(_table(spark, sf_dir, "customer").select(payload("R", **values).alias("payload")))
+    return statistics.depth_statistics(book_depth(spark, sf_dir), "stock", "depth", 5000, names)
+
 
-    raw = flags(spark.createDataFrame([(bytearray.fromhex(x),) for x in MESSAGES.values()], "payload binary")).where("ok").select("payload")
-    out = None
-    for k in MESSAGES:
-        one = view(raw, k)
-        text = one.select("type", F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in one.columns if c != "type"]).alias("fields"))
-        out = text if out is None else out.unionByName(text)
-    return out
+def inside_feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics row, rates, inter-arrival and processing times, of the reported inside updates of each security and of all."""
+    quotes = inside.inside_reported(books(spark, sf_dir)).select("stock", "seq", (F.col("ts_us") * 1000).alias("ns"), (F.abs("qty") * 1000 + F.col("seq") % 997).alias("took"))
+    return statistics.feed_statistics(quotes, "stock", "ns", "seq", "took")
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,6 +611,6 @@ QUERIES: dict[str, Query] = {
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
         time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, live_inside, invalid_messages,
-        inside_statistics, spectrum, number_helpers,
+        inside_statistics, spectrum, number_helpers, generic_reductions, pitch_roundtrip, trade_lines, directory_depth, inside_feed_statistics,
     )
 }

@@ -41,6 +41,19 @@ def payload(kind: str, **values: Column) -> Column:
     return F.concat(F.encode(F.lit(kind), "ISO-8859-1"), *map(part, fields))
 
 
+def pitch_payload(kind: int, **values: Column) -> Column:
+    """The bytes of a message of the little-endian protocol: its length, its type, then its fields."""
+
+    def part(f: Field) -> Column:
+        if f.kind == "u":
+            digits = F.lpad(F.hex(values[f.name].cast("long")), 2 * f.width, "0")
+            return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(f.width))]))
+        return F.encode(F.rpad(values[f.name].cast("string"), f.width, " "), "ISO-8859-1")
+
+    fields = sorted(PITCH[kind], key=lambda f: f.offset)
+    return F.concat(F.unhex(F.lit(f"{size(fields):02X}{kind:02X}")), *map(part, fields))
+
+
 def block(message: Column) -> Column:
     """A message with its length before it, as an expression."""
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(message)), 4, "0")), message)
