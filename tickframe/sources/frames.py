@@ -11,6 +11,8 @@ numbers are sums of the counts before. Planning reads each byte once, twice wher
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,6 +43,21 @@ class Split(NamedTuple):
     first: int = 0
 
 
+class Unzipped(io.RawIOBase):
+    """A gzipped stream, read as far as its bytes go: what came before a cut or a damage is handed on first."""
+
+    def __init__(self, raw):
+        self.file = gzip.GzipFile(fileobj=raw)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        data = self.file.read1(len(out))
+        out[: len(data)] = data
+        return len(data)
+
+
 def walk(stream, at: int, end: float) -> Iterator[tuple[int, bytes, list[int]]]:
     """Buffers with the frames that start from at on and before end: place of the buffer, its bytes, starts of its frames and the next one's.
 

@@ -10,6 +10,7 @@ a last message that is cut off), splits (the folder of a written plan).
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +92,7 @@ class ItchReader(DataSourceReader):
         with system.open_input_file(path) as opened:
             if partition.entry:
                 opened.seek(partition.entry)
-            stream = gzip.GzipFile(fileobj=opened) if path.endswith(".gz") else opened
+            stream = frames.Unzipped(opened) if path.endswith(".gz") else opened
             for base, data, starts in self.buffers(stream, partition):
                 edges = np.array(starts, np.int64)
                 n = len(edges) - 1
@@ -126,7 +127,7 @@ class ItchReader(DataSourceReader):
         """Buffers of frames; a gzipped file whose end is missing ends where its bytes do."""
         try:
             yield from frames.walk(stream, partition.entry, partition.end)
-        except EOFError:
+        except (EOFError, gzip.BadGzipFile, zlib.error):
             if not self.permissive:
                 raise
 
