@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from tickframe.llm.common import shared_dir, small, table, written
+from tickframe.sources.frames import Unzipped
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, "
@@ -59,7 +61,8 @@ class FilePart(InputPartition):
 class WarcReader(DataSourceReader):
     """Options: path (a file or folder, any URI that pyarrow opens), maxPartitionBytes, parallelism, mode (FAILFAST or PERMISSIVE).
 
-    A record that is cut off is an error or, in PERMISSIVE mode, ends its file, whether its block is wanted or passed over.
+    A record that is cut off or whose length is no number, a damaged gzip and bytes that start no record are errors or,
+    in PERMISSIVE mode, end their file, whether the block is wanted or passed over.
     """
 
     def __init__(self, schema: StructType, options: dict):
@@ -126,7 +129,7 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.files:
             with system.open_input_file(path) as opened:
-                raw = gzip.GzipFile(fileobj=opened) if path.endswith(".gz") else opened
+                raw = Unzipped(opened) if path.endswith(".gz") else opened
                 stream = io.BufferedReader(raw, 1 << 20)
                 try:
                     for row in self.records(stream):
@@ -135,9 +138,9 @@ class WarcReader(DataSourceReader):
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, target)
                             rows, size = [], 0
-                except EOFError:
+                except (EOFError, gzip.BadGzipFile, zlib.error) as error:
                     if not self.permissive:
-                        raise ValueError(f"the archive {path} is cut off") from None
+                        raise ValueError(f"the archive {path} is cut off or damaged: {error}") from None
         if rows:
             yield pa.RecordBatch.from_pylist(rows, target)
 
@@ -147,9 +150,15 @@ class WarcReader(DataSourceReader):
             if not line.strip():
                 continue
             if not line.startswith(b"WARC/"):
+                if self.permissive:
+                    return
                 raise ValueError(f"no WARC record starts with {line[:40]!r}")
             headers = _headers(stream)
-            length = int(headers.get("content-length", 0))
+            length = _length(headers.get("content-length", "0"))
+            if length < 0:  # where the next record starts isn't known
+                if self.permissive:
+                    return
+                raise ValueError(f"the record {headers.get('warc-record-id')} has the length {headers['content-length']!r}")
             wanted = self.wanted(headers)
             block = stream.read(length) if wanted and body_wanted else b""
             if len(block) < length and (block or not _skip(stream, length)):
@@ -166,7 +175,7 @@ class WarcReader(DataSourceReader):
             if headers.get("content-type", "").startswith("application/http"):
                 inner = io.BytesIO(block)
                 inner.readline()
-                said = int(_headers(inner).get("content-length", -1))
+                said = _length(_headers(inner).get("content-length", ""))
                 payload = block[inner.tell() :]
             row |= {"payload": payload, "payload_length": said if said >= 0 else len(payload)}
             yield {c: row[c] for c in self.columns}
@@ -180,9 +189,14 @@ def _headers(stream) -> dict[str, str]:
     return found
 
 
+def _length(text: str) -> int:
+    """A length from a header, -1 for what is none."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else -1
+
+
 def _skip(stream: io.BufferedReader, length: int) -> bool:
     """Passes over a block without keeping it, by a seek where the file isn't compressed; whether it was there in full."""
-    if length > 1 << 16 and not isinstance(stream.raw, gzip.GzipFile):
+    if length > 1 << 16 and not isinstance(stream.raw, Unzipped):
         stream.seek(length - 1, io.SEEK_CUR)
         return len(stream.read(1)) == 1
     while length > 0 and (got := len(stream.read(min(length, 1 << 20)))):
