@@ -43,8 +43,7 @@ class PreTokenizer:
         self.library = Tokenizer.from_file(path)
         specials = [t["content"] for t in whole["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        rules = json.dumps(whole["pre_tokenizer"])
-        self.quick = _RULE in rules and [n["type"] for n in whole["normalizer"]["normalizers"]] == _NORMALIZERS
+        self.quick = (whole["normalizer"], whole["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         whole |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": byte_level, "post_processor": None}
         self.pieces = Tokenizer.from_str(json.dumps(whole))
@@ -65,9 +64,18 @@ class PreTokenizer:
         return [len(e.ids) for e in self.pieces.encode_batch(pretokens, add_special_tokens=False)]
 
 
-#: How the file that _SPLIT is for describes its split and its normalizers, as JSON.
-_RULE = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+# How the file that _SPLIT is for describes its normalizer and its split. Any other file takes the library's way.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @lru_cache(maxsize=4)
