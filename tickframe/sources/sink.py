@@ -80,15 +80,17 @@ class _Files:
                 out.close()
         return Written(own, f"{task.partitionId():06d}{ending}{'.gz' if self.gzip else ''}", records, size)
 
-    def _moved(self, messages: list[Written | None], prefix: str, replaces: bool) -> None:
-        """Gives the files of these messages their names, in the order of tasks; replaces: those of the same prefix go first."""
+    def _removed(self, prefix: str) -> None:
         from pyarrow import fs
 
         system, root = self._system()
-        system.create_dir(root)
-        for x in system.get_file_info(fs.FileSelector(root)) if replaces else []:
+        for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if x.type == fs.FileType.File and x.base_name.startswith(prefix):
                 system.delete_file(x.path)
+
+    def _moved(self, messages: list[Written | None], prefix: str) -> None:
+        """Gives the files of these messages their names, in the order of tasks."""
+        system, root = self._system()
         for m in messages:
             if m is not None and m.records:
                 system.move(m.file, f"{root}/{prefix}{m.name}")
@@ -110,8 +112,8 @@ class FileWriter(_Files, DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         # the names of a job's files come after those of earlier jobs
         if self.overwrite:
-            self._moved([], "part-", True)
-        self._moved(messages, f"part-{self.stamp:020d}-", False)
+            self._removed("part-")
+        self._moved(messages, f"part-{self.stamp:020d}-")
 
     def abort(self, messages: list[Written | None]) -> None:
         self._cleaned()
@@ -119,7 +121,8 @@ class FileWriter(_Files, DataSourceArrowWriter):
 
 class StreamWriter(_Files, DataSourceStreamArrowWriter):
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
-        self._moved(messages, f"batch-{batchId:09d}-", True)
+        self._removed(f"batch-{batchId:09d}-")
+        self._moved(messages, f"batch-{batchId:09d}-")
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
         self._cleaned()

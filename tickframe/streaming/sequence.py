@@ -10,16 +10,25 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickframe.streaming.live import _ROCKS
 
-BLOCKS = "session string, seq long, missing long, received timestamp, payload binary"
+BLOCKS = "session string, seq long, missing long, received timestamp, released timestamp, payload binary"
 _NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
 
 
+def _released(received, mark_ms: int) -> pd.Timestamp:
+    return max(pd.Timestamp(received), pd.Timestamp(mark_ms, unit="ms", tz=pd.Timestamp(received).tz))
+
+
+def _ms(received) -> int:
+    return int(pd.Timestamp(received).timestamp() * 1000)
+
+
 class Sequencer(StatefulProcessor):
     """Blocks of a session leave in the order of their numbers, each once.
 
-    A block ahead of its turn is held. If the missing ones haven't come within wait_ms of the watermark's time after
-    it, a row with missing, the number of blocks given up from seq on, takes their place, and what was held goes on.
+    A block ahead of its turn is held. If the missing ones haven't come when the watermark is wait_ms past the first
+    one that is held, a row with missing, the number of blocks given up from seq on, takes their place, and what was held goes on.
     Blocks that come after they were given up, or for a second time, are left out. Only what is held is in the state.
+    released is the stream's time at which a block leaves, never before the watermark, as what is held grows old.
     """
 
     def __init__(self, first: int, wait_ms: int):
@@ -33,35 +42,36 @@ class Sequencer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         turn = self.next.get()[0] if self.next.exists() else self.first
-        came, latest = {}, None
+        came = {}
         for part in rows:
             for seq, payload, received in zip(part["seq"], part["payload"], part["received"], strict=True):
                 if seq >= turn:
                     came.setdefault(int(seq), (payload, received))
-                latest = received if latest is None or received > latest else latest
-        out, turn = self._drained(key, turn, came)
+        mark = timerValues.getCurrentWatermarkInMs() + 1
+        out, turn = self._drained(key, turn, came, mark)
         for seq, value in came.items():
             if not self.held.containsKey((seq,)):
                 self.held.updateValue((seq,), value)
-        self._left(turn, bool(came) or self._waits(), None if latest is None else int(latest.timestamp() * 1000))
+        self._left(turn)
         if out:
             yield pd.DataFrame(out, columns=_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.timer.exists() or self.timer.get()[0] != at:
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
             return
         self.timer.clear()
         turn = self.next.get()[0] if self.next.exists() else self.first
-        waiting = sorted(k[0] for k in self.held.keys())
-        if not waiting:
-            return
-        gap = (key[0], turn, waiting[0] - turn, self.held.getValue((waiting[0],))[1], None)
-        out, turn = self._drained(key, waiting[0], {})
-        self._left(turn, self._waits(), at)
-        yield pd.DataFrame([gap, *out], columns=_NAMES)
+        mark, out = timerValues.getCurrentWatermarkInMs() + 1, []
+        while (waiting := self._first_held()) and _ms(waiting[1]) + self.wait_ms < mark:
+            seq, received = waiting
+            out.append((key[0], turn, seq - turn, received, _released(received, mark), None))
+            more, turn = self._drained(key, seq, {}, mark)
+            out += more
+        self._left(turn)
+        if out:
+            yield pd.DataFrame(out, columns=_NAMES)
 
-    def _drained(self, key, turn: int, came: dict) -> tuple[list[tuple], int]:
+    def _drained(self, key, turn: int, came: dict, mark: int) -> tuple[list[tuple], int]:
         """What leaves in sequence from turn on, and the number that is next; takes it out of came and held."""
         out = []
         while True:
@@ -73,26 +83,31 @@ class Sequencer(StatefulProcessor):
                 return out, turn
             if self.held.containsKey((turn,)):
                 self.held.removeKey((turn,))
-            out.append((key[0], turn, 0, received, payload))
+            out.append((key[0], turn, 0, received, _released(received, mark), payload))
             turn += 1
 
-    def _waits(self) -> bool:
-        return next(iter(self.held.keys()), None) is not None
+    def _first_held(self) -> tuple | None:
+        """Number and receive time of the first block that is held."""
+        seq = min((k[0] for k in self.held.keys()), default=None)
+        return None if seq is None else (seq, self.held.getValue((seq,))[1])
 
-    def _left(self, turn: int, waits: bool, now_ms: int | None) -> None:
-        """Writes the state; a timer runs while something is held, from when the gap was seen."""
-        moved = not self.next.exists() or self.next.get()[0] != turn
+    def _left(self, turn: int) -> None:
+        """Writes the state; a timer runs for the first block that is held, from when it was received."""
         self.next.update((turn,))
-        if self.timer.exists() and (moved or not waits):
+        waiting = self._first_held()
+        at = None if waiting is None else _ms(waiting[1]) + self.wait_ms
+        if self.timer.exists():
+            if self.timer.get()[0] == at:
+                return
             self.handle.deleteTimer(self.timer.get()[0])
             self.timer.clear()
-        if waits and not self.timer.exists() and now_ms is not None:
-            self.timer.update((now_ms + self.wait_ms,))
-            self.handle.registerTimer(now_ms + self.wait_ms)
+        if at is not None:
+            self.timer.update((at,))
+            self.handle.registerTimer(at)
 
 
 def sequenced(blocks: DataFrame, wait_ms: int = 1_000, late: str = "10 seconds", first: int = 0) -> DataFrame:
-    """session, seq, missing, received, payload: a stream of blocks (session, seq, received, payload; any number of channels) in sequence.
+    """session, seq, missing, received, released, payload: a stream of blocks (session, seq, received, payload; any number of channels) in sequence.
 
     Rows with missing above 0 stand for blocks from seq on that never came. Sessions are the unit of parallel work.
     late is how far channels may lie apart in receive time; blocks older than the watermark are left out by Spark.
@@ -100,4 +115,4 @@ def sequenced(blocks: DataFrame, wait_ms: int = 1_000, late: str = "10 seconds",
     """
     blocks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     rows = blocks.select("session", "seq", "received", "payload").withWatermark("received", late)
-    return rows.groupBy("session").transformWithStateInPandas(Sequencer(first, wait_ms), BLOCKS, "append", "EventTime", eventTimeColumnName="received")
+    return rows.groupBy("session").transformWithStateInPandas(Sequencer(first, wait_ms), BLOCKS, "append", "EventTime", eventTimeColumnName="released")
