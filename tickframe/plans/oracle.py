@@ -255,6 +255,8 @@ SQL: dict[str, str] = {
       SELECT stock, arrival, first_seq, block_count, expected::BIGINT AS expected, (first_seq - expected)::BIGINT AS gap FROM e""",
 }
 SQL["order_fold"] = SQL["order_updates"]
+_AS_ONE = _STATES.replace("SELECT seq, ts_us, ts_ns, stock, side, px, qty, type", "SELECT seq, ts_us, ts_ns, 0::BIGINT AS stock, side, px, qty, type")
+SQL["consolidated_bbo"] = _with(_FEED, _AS_ONE, _LEVELS, _BOOK) + "SELECT seq, bid_px, bid_qty, offer_px, offer_qty FROM book"
 SQL["file_inside"] = SQL["packet_inside"] = SQL["live_inside"] = BOOK + f"SELECT seq, stock, bid_px, bid_qty, offer_px, offer_qty FROM book WHERE {_REPORTED}"
 SQL["invalid_messages"] = FEED + """, typed AS (
   SELECT seq, CASE WHEN type = 'A' AND seq % 2 = 1 THEN 'F' WHEN type = 'E' THEN substr('ECX', 1 + (seq % 3)::INT, 1) ELSE type END AS type, seq % 11 AS way FROM feed)

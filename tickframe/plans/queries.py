@@ -92,6 +92,12 @@ def bbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(spark, sf_dir).select("seq", "stock", *_QUOTE)
 
 
+def consolidated_bbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One book of all securities' orders, the busiest there can be, folded in ranges side by side."""
+    one = updates(spark, sf_dir).withColumn("stock", F.lit(0).cast("long"))
+    return book.states_in_ranges(one, rows=1_000).select("seq", *_QUOTE)
+
+
 def worst_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(spark, sf_dir).select("seq", "stock", "worst_bid_px", "worst_bid_qty", "worst_offer_px", "worst_offer_qty")
 
@@ -606,7 +612,7 @@ QUERIES: dict[str, Query] = {
     f.__name__.rstrip("_"): f
     for f in (
         feed_messages, type_counts, trades, symbols, order_updates, order_fold, skipped_messages, order_remaining, replace_chain, level_quantity,
-        level_intervals, bbo, worst_quotes, level_counts, inside_reported, inside_lines, inside_changed, published_inside, top_n_levels,
+        level_intervals, bbo, consolidated_bbo, worst_quotes, level_counts, inside_reported, inside_lines, inside_changed, published_inside, top_n_levels,
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
