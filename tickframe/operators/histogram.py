@@ -135,7 +135,7 @@ def summary(parts: DataFrame, keys: Sequence[str], binning, shares: dict[str, fl
 
     One pass over the bins for all quantiles: running sums by key, then for each quantile the first bin that
     reaches it. A key has as many rows as its histogram has occupied bins. With overall there is one more row for
-    everything, its keys null.
+    everything, its keys null. Without keys, no samples give one row of nulls.
     """
     keys = list(keys)
     if overall and keys:
