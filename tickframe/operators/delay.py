@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,13 +15,15 @@ def sum_square(series: Column) -> Column:
     return F.aggregate(series, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def delayed(series: Column, lag: int, periodic: bool = True) -> Column:
-    """Each sample lag later; what comes in is the other end, or zero."""
+def delayed(series: Column, lag: int, periodic: bool | Callable[[Column, Column], Column] = True) -> Column:
+    """Each sample lag later; what comes in is the other end, or zero, or what a function of place (below 0 or from the size on) and size says."""
     size = F.size(series)
     at = F.sequence(F.lit(0), size - 1)
 
     def sample(i: Column) -> Column:
         k = i - lag
+        if callable(periodic):
+            return F.when((k >= 0) & (k < size), F.get(series, F.greatest(k, F.lit(0)))).otherwise(periodic(k, size))
         if periodic:
             return F.get(series, F.pmod(k, size))
         return F.when((k >= 0) & (k < size), F.get(series, F.greatest(k, F.lit(0)))).otherwise(F.lit(0.0).cast("float"))
@@ -98,8 +102,9 @@ _ESTIMATE = T.StructType(
 def estimate_delay(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The delay of b against a, with peak correlation over the sum of squares of a as confidence.
 
-    Series of a batch that have one length are transformed together. A peak that isn't above epsilon, an empty
-    or a null series is not found; series of different sizes are an error.
+    Series are of numbers or of structs re and im; the correlation's real part counts. Those of a batch that have one
+    length are transformed together. A peak that isn't above epsilon, an empty or a null series is not found; series
+    of different sizes are an error.
     """
     found, delay, confidence = np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a))
     sizes = np.array([-1 if x is None or y is None else len(x) if len(x) == len(y) else -2 for x, y in zip(a, b, strict=True)])
@@ -107,10 +112,13 @@ def estimate_delay(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         raise ValueError("series of different sizes")
     for n in np.unique(sizes[sizes > 0]):
         rows = np.flatnonzero(sizes == n)
-        x, y = (np.stack([np.asarray(s.iloc[k], np.float64) for k in rows]) for s in (a, b))
-        peak = np.fft.irfft(np.conj(np.fft.rfft(x)) * np.fft.rfft(y), n=int(n)) * n
-        best, top, power = peak.argmax(axis=1), peak.max(axis=1), (x**2).sum(axis=1)
-        good = top > np.finfo(np.float64).eps * n * np.maximum(1, power)
+        x, y = (np.stack(_complex(s.iloc[rows])) for s in (a, b))
+        if x.imag.any() or y.imag.any():
+            peak = np.fft.ifft(np.conj(np.fft.fft(x, axis=1)) * np.fft.fft(y, axis=1), axis=1).real * n
+        else:
+            peak = np.fft.irfft(np.conj(np.fft.rfft(x.real)) * np.fft.rfft(y.real), n=int(n)) * n
+        best, top, power = peak.argmax(axis=1), peak.max(axis=1), (np.abs(x) ** 2).sum(axis=1)
+        good = top > np.finfo(np.float64).eps
         found[rows], delay[rows] = good, np.where(good, best, 0)
         confidence[rows] = np.where(power > np.finfo(np.float64).eps, top / np.maximum(power, np.finfo(np.float64).eps), 0.0)
     return pd.DataFrame({"found": found, "delay": delay, "confidence": confidence})
@@ -120,3 +128,45 @@ def delays(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("x", estimate_delay(F.col(a), F.col(b))).select(
         *[c for c in pairs.columns if c not in (a, b)], "x.found", "x.delay", "x.confidence"
     )
+
+
+def lag_sums(series: DataFrame, keys: Sequence[str], tick: str, a: Sequence[str], b: Sequence[str], lags: int, block: int = 1 << 16) -> DataFrame:
+    """keys, lag, total: for each lag from 0 to lags - 1 the sum over all ticks of the real part of conj(a[t]) * b[t + lag].
+
+    For series longer than a row. a and b name a column each, or two (real and imaginary part); a tick without a
+    row, or a null, is 0, rows of one tick add up. Ticks are cut into blocks, each with the lags' overlap of b, that are
+    correlated by themselves; their sums are added. A block is the unit of parallel work, whatever the key.
+    """
+    keys, n = list(keys), max(1, block)
+    part = lambda names: [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names] + [F.lit(0.0)] * (2 - len(names))
+    rows = series.select(*keys, F.col(tick).cast("long").alias("t"), *[c.alias(x) for c, x in zip(part(a) + part(b), ("are", "aim", "bre", "bim"), strict=True)])
+    rows = rows.where("t is not null").groupBy(*keys, "t").agg(*[F.sum(c).alias(c) for c in ("are", "aim", "bre", "bim")])
+    own = F.floor(F.col("t") / n).cast("long")
+    first = F.floor((F.col("t") - (lags - 1)) / n).cast("long")
+    dealt = rows.select("*", F.explode(F.sequence(first, own)).alias("block"))
+    fields = "".join(f"`{c}` {k}, " for c, k in rows.select(*keys).dtypes)
+
+    def correlate(group):
+        import pyarrow as pa
+
+        start = group.column("block")[0].as_py() * n
+        at = group.column("t").to_numpy() - start
+        x, y = np.zeros(n + lags - 1, complex), np.zeros(n + lags - 1, complex)
+        inner = at < n
+        x[at[inner]] = group.column("are").to_numpy()[inner] + 1j * group.column("aim").to_numpy()[inner]
+        y[at] = group.column("bre").to_numpy() + 1j * group.column("bim").to_numpy()
+        size = 1 << (2 * len(x) - 1).bit_length()
+        sums = np.fft.ifft(np.conj(np.fft.fft(x, size)) * np.fft.fft(y, size))[:lags].real
+        fixed = [pa.array([group.column(c)[0].as_py()] * lags, group.column(c).type) for c in keys]
+        return pa.table([*fixed, pa.array(np.arange(lags)), pa.array(sums)], [*keys, "lag", "total"])
+
+    sums = dealt.groupBy(*keys, "block").applyInArrow(correlate, f"{fields}lag long, total double")
+    return sums.groupBy(*keys, "lag").agg(F.sum("total").alias("total"))
+
+
+def long_delays(series: DataFrame, keys: Sequence[str], tick: str, a: Sequence[str], b: Sequence[str], lags: int, block: int = 1 << 16) -> DataFrame:
+    """keys, found, delay: the lag below lags with the largest sum of lag_sums(), the first of equals; not found if it isn't above epsilon."""
+    best = F.max(F.struct("total", (-F.col("lag")).alias("back"))).alias("x")
+    out = lag_sums(series, keys, tick, a, b, lags, block).groupBy(*keys).agg(best)
+    found = F.col("x.total") > float(np.finfo(np.float64).eps)
+    return out.select(*keys, found.alias("found"), F.when(found, -F.col("x.back")).otherwise(0).cast("long").alias("delay"))

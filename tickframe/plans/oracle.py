@@ -254,6 +254,13 @@ SQL: dict[str, str] = {
       e AS (SELECT *, coalesce(lag(first_seq + block_count) OVER (PARTITION BY stock ORDER BY arrival), 0) AS expected FROM p)
       SELECT stock, arrival, first_seq, block_count, expected::BIGINT AS expected, (first_seq - expected)::BIGINT AS gap FROM e""",
 }
+SQL["long_delay_sums"] = FEED + f""", ticks AS (
+  SELECT stock % 2 AS half, ts_us // {MINUTE} AS tick, sum(px / 10000.0) AS re, sum(shares) AS im FROM feed WHERE px IS NOT NULL GROUP BY ALL
+), products AS (
+  SELECT a.half, b.tick + 23 - a.tick AS lag, sum(a.re * b.re + a.im * b.im) AS total
+  FROM ticks a JOIN ticks b ON a.half = b.half AND b.tick + 23 - a.tick BETWEEN 0 AND 47 GROUP BY ALL
+), every AS (SELECT half, lag FROM (SELECT DISTINCT half FROM ticks), (SELECT unnest(range(48)) AS lag))
+SELECT half::BIGINT AS half, lag, round(coalesce(total, 0) / 1000)::BIGINT AS total FROM every LEFT JOIN products USING (half, lag)"""
 SQL["order_fold"] = SQL["order_updates"]
 _AS_ONE = _STATES.replace("SELECT seq, ts_us, ts_ns, stock, side, px, qty, type", "SELECT seq, ts_us, ts_ns, 0::BIGINT AS stock, side, px, qty, type")
 SQL["consolidated_bbo"] = _with(_FEED, _AS_ONE, _LEVELS, _BOOK) + "SELECT seq, bid_px, bid_qty, offer_px, offer_qty FROM book"

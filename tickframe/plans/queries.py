@@ -325,6 +325,20 @@ def time_delay_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delays(spark, sf_dir).select("vec_id", F.round("confidence", 3).alias("confidence"))
 
 
+LONG_LAG, LAGS, BLOCK = 23, 48, 4_096
+
+
+def long_delay_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by minute, value as real and quantity as imaginary part, against the same series LONG_LAG minutes later: the sum of each lag, over blocks."""
+    minute = F.floor(F.col("ts_us") / MINUTE).cast("long")
+    rows = feed(spark, sf_dir).where("px is not null").select("stock", minute.alias("tick"), (F.col("px") / 10_000).alias("re"), F.col("shares").alias("im"))
+    rows = rows.withColumn("half", F.col("stock") % 2)
+    one = rows.select("half", "tick", "re", "im", F.lit(None).cast("double").alias("later_re"), F.lit(None).cast("double").alias("later_im"))
+    later = rows.select("half", (F.col("tick") + LONG_LAG).alias("tick"), F.lit(None).cast("double").alias("re"), F.lit(None).cast("double").alias("im"), F.col("re").alias("later_re"), F.col("im").cast("double").alias("later_im"))
+    sums = delay.lag_sums(one.unionByName(later), ["half"], "tick", ["re", "im"], ["later_re", "later_im"], LAGS, BLOCK)
+    return sums.select("half", "lag", F.round(F.col("total") / 1000).cast("long").alias("total"))
+
+
 def inside_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.grid(books(spark, sf_dir), HOUR)
 
@@ -616,7 +630,7 @@ QUERIES: dict[str, Query] = {
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
         interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
-        time_delay, time_delay_confidence, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, live_inside, invalid_messages,
+        time_delay, time_delay_confidence, long_delay_sums, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, live_inside, invalid_messages,
         inside_statistics, spectrum, number_helpers, generic_reductions, pitch_roundtrip, trade_lines, directory_depth, inside_feed_statistics,
     )
 }
