@@ -112,3 +112,43 @@ def test_gaps_of_sparse_orders(spark, monkeypatch):
     df = spark.createDataFrame([(k * 10**12, k * k) for k in range(200)], "o long, t long")
     assert rates.with_part(df, "o").groupBy("part").count().count() >= 4
     assert sorted(r.gap for r in statistics.ordered_gaps(df).collect()) == [2 * k + 1 for k in range(199)]
+
+
+def test_long_delays(spark):
+    """Blocks shorter than the lags and longer than the series, missing ticks, nulls, negative ticks, complex samples; a planted delay is found."""
+    from tickframe.operators import delay
+
+    pick = random.Random(6)
+    rows = [(g, t, pick.gauss(0, 1), pick.gauss(0, 1)) for g in "ab" for t in range(-40, 160) if pick.random() < 0.9]
+    pairs = [(g, t, re, im, None, None) for g, t, re, im in rows] + [(g, t + 13, None, None, re, im) for g, t, re, im in rows] + [("a", None, 9.0, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(pairs, "g string, t long, re double, im double, re2 double, im2 double")
+    want = {}
+    for g in "ab":
+        x, y = ({t: complex(re, im) for k, t, re, im in rows if k == g}, {t + 13: complex(re, im) for k, t, re, im in rows if k == g})
+        for lag in range(30):
+            want[g, lag] = sum((v.conjugate() * y.get(t + lag, 0)).real for t, v in x.items())
+    for block in (8, 64, 100_000):
+        got = delay.lag_sums(df, ["g"], "t", ["re", "im"], ["re2", "im2"], 30, block).collect()
+        assert {(r.g, r.lag): r.total for r in got} == pytest.approx(want, abs=1e-6)
+    assert sorted(map(tuple, delay.long_delays(df, ["g"], "t", ["re", "im"], ["re2", "im2"], 30, 64).collect())) == [("a", True, 13), ("b", True, 13)]
+    assert delay.lag_sums(df.limit(0), ["g"], "t", ["re"], ["re2"], 5).count() == 0
+
+
+def test_delay_of_complex_series(spark):
+    from tickframe.operators import delay
+
+    pick = random.Random(7)
+    x = [(pick.gauss(0, 1), pick.gauss(0, 1)) for _ in range(64)]
+    kind = "array<struct<re:double,im:double>>"
+    rows = [(k, x, x[-k:] + x[:-k] if k else x) for k in (0, 5, 40)] + [(9, None, x), (10, [], [])]
+    df = spark.createDataFrame(rows, f"k int, a {kind}, b {kind}")
+    assert sorted((r.k, r.found, r.delay) for r in delay.delays(df, "a", "b").collect()) == [(0, True, 0), (5, True, 5), (9, False, 0), (10, False, 0), (40, True, 40)]
+
+
+def test_extrapolation(spark):
+    from tickframe.operators import delay
+
+    series = F.array(*[F.lit(float(v)) for v in (1, 2, 4)])
+    mirrored = lambda k, size: F.get(series, F.when(k < 0, -k - 1).otherwise(2 * size - k - 1))
+    row = spark.range(1).select(delay.delayed(series, 2, mirrored).alias("a"), delay.delayed(series, -2, mirrored).alias("b"), delay.delayed(series, 1).alias("c")).first()
+    assert (row.a, row.b, row.c) == ([2.0, 1.0, 1.0], [4.0, 4.0, 2.0], [4.0, 1.0, 2.0])

@@ -10,12 +10,12 @@ a last message that is cut off), splits (the folder of a written plan).
 from __future__ import annotations
 
 import gzip
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -181,27 +181,40 @@ def blocks(packets: DataFrame, data: str = "data") -> DataFrame:
     """Messages of packets (any columns and the packet's bytes): session, first_seq, block_count, seq, payload.
 
     A block's number is the packet's first number and its place. Packets without blocks are heartbeats and
-    give no rows.
+    give no rows, as do null packets and such as are shorter than a header. A packet that is cut off gives the
+    blocks that are whole. Columns of packets stay, but for such as have the new ones' names.
     """
-    p = F.col(data)
-    head = packets.withColumns(
-        {
-            "session": F.rtrim(F.decode(F.substring(p, 1, 10), "ISO-8859-1")),
-            "first_seq": F.conv(F.hex(F.substring(p, 11, 8)), 16, 10).cast("long"),
-            "block_count": F.conv(F.hex(F.substring(p, 19, 2)), 16, 10).cast("int"),
-        }
-    )
-    # walk over the lengths: places of the blocks' first bytes
-    start = F.struct(F.lit(21).alias("at"), F.expr("cast(array() as array<struct<at:int,size:int>>)").alias("found"))
-
-    def step(s, _):
-        size = F.conv(F.hex(F.substring(p, s["at"], F.lit(2))), 16, 10).cast("int")
-        one = F.struct((s["at"] + 2).alias("at"), size.alias("size"))
-        return F.struct((s["at"] + 2 + size).alias("at"), F.array_append(s["found"], one).alias("found"))
-
-    counts = F.sequence(F.lit(1), F.col("block_count"))
-    walked = head.where("block_count > 0").withColumn("found", F.aggregate(counts, start, step)["found"])
-    out = walked.select("*", F.posexplode("found").alias("k", "block"))
-    payload = F.substring(p, F.col("block.at"), F.col("block.size"))
-    keep = [c for c in packets.columns if c != data]
-    return out.select(*keep, "session", "first_seq", "block_count", (F.col("first_seq") + F.col("k")).alias("seq"), payload.alias("payload"))
+    kept = [c for c in packets.columns if c not in (data, *_BLOCK)]
+    rows = packets.select(*kept, data)
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*kept).dtypes)
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            of: list[int] = []
+            out: list[list] = [[] for _ in _BLOCK]
+            for row, value in enumerate(batch.column(len(kept))):
+                raw = value.as_py() or b""
+                if len(raw) < struct.calcsize(_HEAD):
+                    continue
+                name, first, count = struct.unpack_from(_HEAD, raw)
+                session, at = name.decode("latin-1").rstrip(" "), struct.calcsize(_HEAD)
+                for k in range(count):
+                    end = at + 2 + int.from_bytes(raw[at : at + 2], "big")
+                    if at + 2 > len(raw) or end > len(raw):
+                        break
+                    of.append(row)
+                    for column, x in zip(out, (session, first, count, first + k, raw[at + 2 : end]), strict=True):
+                        column.append(x)
+                    at = end
+            taken = batch.take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*kept, *_BLOCK])
+
+    return rows.mapInArrow(walk, kinds + "session string, first_seq long, block_count int, seq long, payload binary")
+
+
+_BLOCK = ("session", "first_seq", "block_count", "seq", "payload")
+#: Session, number of the first block, number of blocks.
+_HEAD = ">10sQH"
