@@ -152,3 +152,14 @@ def test_extrapolation(spark):
     mirrored = lambda k, size: F.get(series, F.when(k < 0, -k - 1).otherwise(2 * size - k - 1))
     row = spark.range(1).select(delay.delayed(series, 2, mirrored).alias("a"), delay.delayed(series, -2, mirrored).alias("b"), delay.delayed(series, 1).alias("c")).first()
     assert (row.a, row.b, row.c) == ([2.0, 1.0, 1.0], [4.0, 4.0, 2.0], [4.0, 1.0, 2.0])
+
+
+def test_rates_of_nanoseconds_since_1970(spark):
+    """Times that a double can't tell apart: five events within 1,000 ns, and one 999 ns after the fifth."""
+    first = 1_700_000_000_000_000_101
+    times = [first + d for d in (0, 1, 2, 3, 4, 1_003, 1_004)]
+    df = spark.createDataFrame([("a", k, t) for k, t in enumerate(times)], "s string, o long, t long")
+    steps = rates.rate_steps(df, ["s"], "t", "o", 1_000, 1)
+    want = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 996), (1_000, 4, 1), (1_001, 3, 1), (1_002, 2, 1), (1_003, 2, 1)]
+    assert [(r.tick - first, r.rate, r.weight) for r in steps.orderBy("tick").collect()] == want
+    assert rates.rate_steps(df.withColumn("t", -F.col("t")), ["s"], "t", "o", 1_000, 1_000).isEmpty()

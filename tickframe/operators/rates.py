@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.functions.numbers import floor_div
 from tickframe.sources.shared import kept
 
 
@@ -29,7 +30,7 @@ def rate_steps(events: DataFrame, keys: Sequence[str], time: str, order: str, me
     within ranges of about RANGE_ROWS rows and then over the ranges, so that no task sees all events.
     """
     n = window_ticks(measurement, sampling)
-    tick = F.floor(F.col(time) / sampling).cast("long")
+    tick = floor_div(F.col(time), sampling)
     rows = events.where(F.col(time).isNotNull()).select(*keys, F.col(order).alias("o"), tick.alias("t"))
     most = None if keys else rows.count()
     if keys:

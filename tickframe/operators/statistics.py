@@ -31,8 +31,12 @@ PROCESSING = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99
 
 
 def _named(samples: DataFrame, value: str, binning: IntegerRange, shares: dict[str, float], suffix: str, weight: str | None = None) -> DataFrame:
-    """Name and the percentiles, their names with the suffix."""
-    rows = summary(bins(samples, ["Name"], value, binning, weight), ["Name"], binning, shares)
+    return named(bins(samples, ["Name"], value, binning, weight), binning, shares, suffix)
+
+
+def named(parts: DataFrame, binning: IntegerRange, shares: dict[str, float], suffix: str) -> DataFrame:
+    """Name and the percentiles of rows of bins by Name, their names with the suffix."""
+    rows = summary(parts, ["Name"], binning, shares)
     return rows.select("Name", *[F.col(n).alias(f"{n}{suffix}") for n in ("min", *shares, "max")])
 
 

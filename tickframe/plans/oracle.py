@@ -357,7 +357,7 @@ def _statistics(feed: str, base: str, processing: str | None = None) -> str:
 
 #: Name, measurement and sampling period in ns, largest rate with a bin of its own.
 RATES = (("RatePerSec", 1_000_000_000, 1_000_000, 1_000_000), ("RatePerMSec", 1_000_000, 1_000, 100_000), ("RatePerUSec", 1_000, 1, 100_000))
-SQL["feed_statistics"] = _statistics(FEED.replace("feed AS (", "base AS (", 1).replace("FROM feed", "FROM base"), "base")
+SQL["feed_statistics"] = SQL["live_statistics"] = _statistics(FEED.replace("feed AS (", "base AS (", 1).replace("FROM feed", "FROM base"), "base")
 SQL["inside_feed_statistics"] = _statistics(
     BOOK + f", reported AS (SELECT stock, seq, ts_us, qty FROM book WHERE {_REPORTED})", "reported", "abs(qty) * 1000 + seq % 997"
 )

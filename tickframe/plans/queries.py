@@ -209,6 +209,21 @@ def feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.feed_statistics(rows, "stock", "ns", "seq")
 
 
+def live_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that a stream over the feed has merged from its slices of a day when the feed ends."""
+    from tickframe.sources.shared import shared_path
+    from tickframe.streaming import statistics as live
+
+    day = 86_400 * statistics.SECOND
+    rows = feed(spark, sf_dir).select("stock", (F.col("ts_us") * 1000).alias("ns"))
+    path = shared_path(spark, "sent")
+    rows.write.parquet(path)
+    spark.read.parquet(path).agg(F.lit(None).cast("long").alias("stock"), (F.max("ns") + 3 * day).alias("ns")).write.mode("append").parquet(path)  # the end of the feed
+    stream = spark.readStream.schema("stock long, ns long").parquet(path)
+    out = shared_path(spark, "statistics")
+    return live.report(live.run_statistics(live.sliced(stream, "stock", "ns", day), out, f"{out}/checkpoint", day))
+
+
 def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.depth_statistics(book_depth(spark, sf_dir), "stock", "depth", 5000)
 
@@ -628,7 +643,7 @@ QUERIES: dict[str, Query] = {
         feed_messages, type_counts, trades, symbols, order_updates, order_fold, skipped_messages, order_remaining, replace_chain, level_quantity,
         level_intervals, bbo, consolidated_bbo, worst_quotes, level_counts, inside_reported, inside_lines, inside_changed, published_inside, top_n_levels,
         price_levels_, level_to_price_, penny_book_bbo, book_depth, event_depth, book_depth_stats, event_depth_stats, depth_stats_by_symbol,
-        interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
+        interarrival, rate_steps, rate_histogram, rate_quantiles, arrival_quantiles, feed_stats, feed_statistics, live_statistics, depth_statistics, hist_integer, hist_cuts, hist_mean,
         hist_summary, index_percentile, text_formats, validation_flags, stop_after, sum_square, delay_series, conj_multiply, reductions,
         time_delay, time_delay_confidence, long_delay_sums, inside_grid, packet_table, mold_gaps, decode_roundtrip, file_inside, packet_inside, live_inside, invalid_messages,
         inside_statistics, spectrum, number_helpers, generic_reductions, pitch_roundtrip, trade_lines, directory_depth, inside_feed_statistics,
