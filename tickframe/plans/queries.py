@@ -221,7 +221,7 @@ def live_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(path).agg(F.lit(None).cast("long").alias("stock"), (F.max("ns") + 3 * day).alias("ns")).write.mode("append").parquet(path)  # the end of the feed
     stream = spark.readStream.schema("stock long, ns long").parquet(path)
     out = shared_path(spark, "statistics")
-    return live.report(live.run_statistics(live.sliced(stream, "stock", "ns", day), out, f"{out}/checkpoint", day))
+    return live.report(live.run_statistics(live.sliced(stream, "stock", "ns", day, buckets=16), out, f"{out}/checkpoint", day))
 
 
 def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

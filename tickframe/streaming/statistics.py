@@ -26,14 +26,14 @@ LEAD = max(measurement for _, measurement, _, _ in RATES)
 
 
 class Slices(StatefulProcessor):
-    """Times of a slice of a security, 8 bytes each, until the slice closes."""
+    """Times of a slice of a bucket of securities, 8 bytes each, until the slice closes; everything has a bucket of its own."""
 
     def __init__(self, length: int):
         self.length = length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "lead boolean, t binary")
+        self.times = handle.getListState("times", "Name string, lead boolean, t binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from ()
@@ -42,18 +42,24 @@ class Slices(StatefulProcessor):
         if not self.times.exists():
             self.handle.registerTimer((key[1] + 1) * self.length // 1_000_000)
         for part in rows:
-            for lead, own in part.groupby("lead"):
-                self.times.appendValue((bool(lead), own["t"].to_numpy("int64").tobytes()))
+            each = part.groupby(["Name", "lead"])["t"]
+            for (name, lead), t in each:
+                self.times.appendValue((name, bool(lead), t.to_numpy("int64").tobytes()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         import numpy as np
 
-        held: dict[bool, list] = {True: [], False: []}
-        for lead, packed in self.times.get():
-            held[lead].append(np.frombuffer(packed, np.int64))
+        held: dict[str, dict[bool, list]] = {}
+        for name, lead, packed in self.times.get():
+            held.setdefault(name, {True: [], False: []})[lead].append(np.frombuffer(packed, np.int64))
         self.times.clear()
-        lead, own = (np.sort(np.concatenate(held[k])) if held[k] else np.empty(0, np.int64) for k in (True, False))
-        rows = [(*key, *r) for r in of_slice(lead, own, int(key[1]), self.length)]
+        rows = []
+        for name, times in held.items():
+            lead, own = (np.sort(np.concatenate(times[k])) if times[k] else np.empty(0, np.int64) for k in (True, False))
+            rows += [(name, key[1], *r) for r in of_slice(lead, own, int(key[1]), self.length)]
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=_NAMES)
+                rows = []
         yield pd.DataFrame(rows, columns=_NAMES)
 
 
@@ -92,12 +98,12 @@ def _counted(kind: str, is_open: bool, values, weights, most: int) -> Iterator[t
         yield kind, is_open, most, int(total[over].sum()), int(each[over][0]), int(each[-1])
 
 
-def sliced(events: DataFrame, name: str, time: str, length: int = 10 * SECOND, late: str = "1 second") -> DataFrame:
+def sliced(events: DataFrame, name: str, time: str, length: int = 10 * SECOND, late: str = "1 second", buckets: int = 256) -> DataFrame:
     """PARTS of a stream of events, a slice when the watermark passes its end.
 
     time is in ns. Events later than `late` behind the newest are left out by Spark; within that, the order of times
     is the order of the feed. A row without a name only moves the watermark: the end of a feed. length, a multiple of a
-    second, bounds what one task holds: the times of the busiest slice of everything. Rows without a time are left out.
+    second, bounds what one task holds: the times of the busiest slice of everything. Securities share `buckets` states a slice. Rows without a time are left out.
     Sets spark.sql.streaming.stateStore.providerClass for the session.
     """
     if length < LEAD or length % SECOND:
@@ -112,7 +118,9 @@ def sliced(events: DataFrame, name: str, time: str, length: int = 10 * SECOND, l
     both = F.when(F.col("t") >= (own + 1) * length - LEAD, F.concat(here(own, False), here(own + 1, True))).otherwise(here(own, False))
     places = F.when(F.col("own").isNull(), F.array(to(F.lit(None).cast("string"), own, False))).otherwise(both)
     keyed = rows.select("at", "t", F.explode(places).alias("x")).select("at", "t", "x.Name", "x.slice", "x.lead")
-    return keyed.groupBy("Name", "slice").transformWithStateInPandas(Slices(length), PARTS, "append", "EventTime")
+    bucket = F.when(F.col("Name") == AGGREGATE, -1).otherwise(F.pmod(F.xxhash64("Name"), F.lit(buckets)).cast("int"))
+    keyed = keyed.withColumn("bucket", F.when(F.col("Name").isNotNull(), bucket))
+    return keyed.groupBy("bucket", "slice").transformWithStateInPandas(Slices(length), PARTS, "append", "EventTime")
 
 
 def condensed(parts: DataFrame) -> DataFrame:
