@@ -589,7 +589,9 @@ def invalid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = lambda at, text: F.concat(F.substring(p, 1, at), F.unhex(F.lit(text)), F.substring(p, at + 1 + len(text) // 2, 1 << 20))
     spoilt = F.when(way == 1, replaced(0, "5A")).when(way == 2, F.substring(p, 1, 12)).when(way == 3, replaced(5, "FFFFFFFFFFFF")).otherwise(p)
     spoilt = F.when((way == 4) & F.substring(p, 1, 1).isin(bytearray(b"A"), bytearray(b"F")), replaced(19, "3F")).otherwise(spoilt)
-    return invalid(_encoded(spark, sf_dir).withColumn("payload", spoilt)).select("seq", "type", "reason")
+    # the checks refer to the bytes many times, and Spark would put their whole expression into each place
+    sent = kept(_encoded(spark, sf_dir), "messages")
+    return invalid(kept(sent.withColumn("payload", spoilt), "spoilt")).select("seq", "type", "reason")
 
 
 def inside_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
