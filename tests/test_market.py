@@ -407,6 +407,11 @@ def test_checks_read_kept_bytes(spark, data):
     assert "unhex" not in _plan(queries.invalid_messages(spark, data)).lower()
 
 
+@pytest.mark.parametrize("name, types", [("decode_roundtrip", 19), ("pitch_roundtrip", 13)])
+def test_decoders_read_their_type_only(spark, data, name, types):
+    assert _plan(queries.QUERIES[name](spark, data)).count("PartitionFilters: [isnotnull(folder") == types
+
+
 def test_feed_statistics(spark, tmp_path):
     from tickframe.operators.statistics import feed_statistics, write_csv
 

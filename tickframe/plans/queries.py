@@ -404,17 +404,28 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickframe.sources.encode import payload
 
     n, kinds = F.col("o_orderkey"), list(ITCH)
-    made = None
-    for k, kind in enumerate(kinds):
-        values = {f.name: _field_value(f, i, n) for i, f in enumerate((*ITCH_HEADER, *ITCH[kind]))}
-        test = n % len(kinds) == k
-        made = F.when(test, payload(kind, **values)) if made is None else made.when(test, payload(kind, **values))
-    raw = kept(_table(spark, sf_dir, "orders").select("o_orderkey", made.alias("payload")), "messages")  # decoders refer to the bytes many times
-    raw = flags(raw).where("ok").select("o_orderkey", "payload")
-    views = [view(raw, kind) for kind in kinds]
+    made = {kind: payload(kind, **{f.name: _field_value(f, i, n) for i, f in enumerate((*ITCH_HEADER, *ITCH[kind]))}) for kind in kinds}
+    raw = _in_turn(_table(spark, sf_dir, "orders"), "o_orderkey", made)
+    raw = flags(raw).where("ok").select("o_orderkey", "payload", "folder")
+    views = [view(raw.where(F.col("folder") == kind).drop("folder"), kind) for kind in kinds]
     return folded(DataFrame.unionByName, [v.select("o_orderkey", "type", _said(v.columns[2:]).alias("fields")) for v in views])
 
 
+def _in_turn(rows: DataFrame, key: str, made: dict) -> DataFrame:
+    """key, payload and folder: rows as messages of the types in turn, kept in a folder for each type, so that a decoder reads its own type only.
+
+    Every type is encoded by itself, as one expression for all of them would be too large to compile.
+    """
+    from functools import reduce as folded
+
+    from tickframe.sources.shared import shared_path
+
+    of = lambda k, kind: rows.where(F.col(key) % len(made) == k).select(key, made[kind].alias("payload"), F.lit(str(kind)).alias("folder"))
+    sent, path = folded(DataFrame.unionByName, [of(k, kind) for k, kind in enumerate(made)]), shared_path(rows.sparkSession, "messages")
+    sent.write.partitionBy("folder").parquet(path)
+    return rows.sparkSession.read.schema(sent.schema).parquet(path)
+
+
 def pitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages of the 13 little-endian types in turn, encoded and decoded: order, type, fields as text."""
     from functools import reduce as folded
@@ -424,13 +435,9 @@ def pitch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickframe.sources.encode import pitch_payload
 
     n, kinds = F.col("o_orderkey"), list(PITCH)
-    made = None
-    for k, kind in enumerate(kinds):
-        values = {f.name: _field_value(f, i, n) for i, f in enumerate(PITCH[kind])}
-        test = n % len(kinds) == k
-        made = F.when(test, pitch_payload(kind, **values)) if made is None else made.when(test, pitch_payload(kind, **values))
-    raw = kept(_table(spark, sf_dir, "orders").select("o_orderkey", made.alias("payload")), "messages")
-    views = [(kind, pitch_view(raw, kind)) for kind in kinds]
+    made = {kind: pitch_payload(kind, **{f.name: _field_value(f, i, n) for i, f in enumerate(PITCH[kind])}) for kind in kinds}
+    raw = _in_turn(_table(spark, sf_dir, "orders"), "o_orderkey", made)
+    views = [(kind, pitch_view(raw.where(F.col("folder") == str(kind)).drop("folder"), kind)) for kind in kinds]
     return folded(DataFrame.unionByName, [v.select("o_orderkey", F.lit(kind).alias("type"), _said(v.columns[1:]).alias("fields")) for kind, v in views])
 
 
