@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,32 +58,42 @@ def triangle(size: int, period: int) -> Column:
 COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
 
 
-def _complex(series: pd.Series) -> list[np.ndarray | None]:
-    """Series of numbers, or of structs re and im, as complex arrays."""
-    read = lambda x: np.array([complex(v["re"], v["im"]) for v in x], complex) if len(x) and isinstance(x[0], dict) else np.asarray(x, complex)
-    return [None if x is None else read(x) for x in series]
+def _complex(series: pa.Array) -> list[np.ndarray | None]:
+    """Series of numbers, or of structs re and im, as complex arrays; no sample becomes a Python object."""
+    offsets, flat = series.offsets.to_numpy(), series.values
+    part = lambda x: x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    samples = part(flat.field("re")) + 1j * part(flat.field("im")) if pa.types.is_struct(flat.type) else part(flat).astype(complex)
+    missing = series.is_null().to_numpy(zero_copy_only=False)
+    return [None if m else samples[a:b] for m, a, b in zip(missing, offsets, offsets[1:], strict=False)]
 
 
-def _transformed(series: pd.Series, how) -> pd.Series:
-    """Series of one length are transformed together; null stays null and empty stays empty."""
-    rows, out = _complex(series), [None] * len(series)
-    sizes = np.array([-1 if x is None else len(x) for x in rows])
-    for n in np.unique(sizes[sizes >= 0]):
-        own = np.flatnonzero(sizes == n)
-        made = how(np.stack([rows[k] for k in own])) if n else np.zeros((len(own), 0), complex)
-        for k, x in zip(own, made, strict=True):
-            out[k] = [{"re": float(v.real), "im": float(v.imag)} for v in x]
-    return pd.Series(out, index=series.index, dtype=object)
+def _transformed(series: pa.Array, how) -> pa.Array:
+    """Series of one length are transformed together, PIECE samples or a series at once; null stays null and empty stays empty."""
+    rows = _complex(series)
+    sizes = np.array([-1 if x is None else len(x) for x in rows], np.int64)
+    ends = np.cumsum(np.concatenate([[0], np.maximum(sizes, 0)]))
+    out = np.empty(ends[-1], complex)
+    for n in np.unique(sizes[sizes > 0]):
+        own, step = np.flatnonzero(sizes == n), max(1, PIECE // int(n))
+        for some in (own[k : k + step] for k in range(0, len(own), step)):
+            for k, x in zip(some, how(np.stack([rows[k] for k in some])), strict=True):
+                out[ends[k] : ends[k + 1]] = x
+    parts = pa.StructArray.from_arrays([pa.array(out.real.copy()), pa.array(out.imag.copy())], ["re", "im"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts, mask=pa.array(sizes < 0))
+
 
+#: Samples that are transformed at once, about.
+PIECE = 1 << 18
 
-@F.pandas_udf(COMPLEX)
-def forward_fft(series: pd.Series) -> pd.Series:
+
+@F.arrow_udf(COMPLEX)
+def forward_fft(series: pa.Array) -> pa.Array:
     """The discrete Fourier transform of a series of numbers or of structs re and im."""
     return _transformed(series, lambda x: np.fft.fft(x, axis=1))
 
 
-@F.pandas_udf(COMPLEX)
-def backward_fft(series: pd.Series) -> pd.Series:
+@F.arrow_udf(COMPLEX)
+def backward_fft(series: pa.Array) -> pa.Array:
     """The inverse transform without its factor: forward and backward together give the series times its length."""
     return _transformed(series, lambda x: np.fft.ifft(x, axis=1) * x.shape[1])
 
@@ -98,8 +108,8 @@ _ESTIMATE = T.StructType(
 )
 
 
-@F.pandas_udf(_ESTIMATE)
-def estimate_delay(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_ESTIMATE)
+def estimate_delay(a: pa.Array, b: pa.Array) -> pa.Array:
     """The delay of b against a, with peak correlation over the sum of squares of a as confidence.
 
     Series are of numbers or of structs re and im; the correlation's real part counts. Those of a batch that have one
@@ -107,12 +117,14 @@ def estimate_delay(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     of different sizes are an error.
     """
     found, delay, confidence = np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a))
+    a, b = _complex(a), _complex(b)
     sizes = np.array([-1 if x is None or y is None else len(x) if len(x) == len(y) else -2 for x, y in zip(a, b, strict=True)])
     if (sizes == -2).any():
         raise ValueError("series of different sizes")
-    for n in np.unique(sizes[sizes > 0]):
-        rows = np.flatnonzero(sizes == n)
-        x, y = (np.stack(_complex(s.iloc[rows])) for s in (a, b))
+    pieces = (own[k : k + step] for n in np.unique(sizes[sizes > 0]) for own, step in [(np.flatnonzero(sizes == n), max(1, PIECE // int(n)))] for k in range(0, len(own), step))
+    for rows in pieces:
+        n = sizes[rows[0]]
+        x, y = (np.stack([s[k] for k in rows]) for s in (a, b))
         if x.imag.any() or y.imag.any():
             peak = np.fft.ifft(np.conj(np.fft.fft(x, axis=1)) * np.fft.fft(y, axis=1), axis=1).real * n
         else:
@@ -121,7 +133,7 @@ def estimate_delay(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         good = top > np.finfo(np.float64).eps
         found[rows], delay[rows] = good, np.where(good, best, 0)
         confidence[rows] = np.where(power > np.finfo(np.float64).eps, top / np.maximum(power, np.finfo(np.float64).eps), 0.0)
-    return pd.DataFrame({"found": found, "delay": delay, "confidence": confidence})
+    return pa.StructArray.from_arrays([pa.array(found), pa.array(delay), pa.array(confidence)], ["found", "delay", "confidence"])
 
 
 def delays(pairs: DataFrame, a: str, b: str) -> DataFrame:
