@@ -180,3 +180,16 @@ def test_more_securities_than_locates(spark, data, tmp_path, name):
     got = queries.QUERIES[name](spark, str(tmp_path)).select("seq", "stock", "bid_px", "bid_qty", "offer_px", "offer_qty")
     want = con.sql(oracle.SQL[name]).select("seq, stock, bid_px, bid_qty, offer_px, offer_qty").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_blocks_leave_in_pieces(spark, monkeypatch):
+    """A batch of many packets leaves its task as batches of few blocks; none is lost or twice."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(itch, "BLOCKS_AT_ONCE", 30)
+    made = [encode.packet("S", 20 * k, [b"%d" % (20 * k + j) for j in range(20)]) for k in range(50)]
+    packets = spark.createDataFrame([], "data binary")
+    monkeypatch.setattr(type(packets), "mapInArrow", lambda self, function, schema: function)
+    out = list(itch.blocks(packets)(iter([pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["data"])])))
+    assert max(b.num_rows for b in out) <= 50
+    assert [(s, p) for b in out for s, p in zip(b["seq"].to_pylist(), b["payload"].to_pylist(), strict=True)] == [(k, b"%d" % k) for k in range(1_000)]

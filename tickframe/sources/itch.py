@@ -192,7 +192,13 @@ def blocks(packets: DataFrame, data: str = "data") -> DataFrame:
         import pyarrow as pa
 
         types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        def made(batch, of: list[int], out: list[list]):
+            taken = batch.take(pa.array(of, pa.int64()))
+            return pa.RecordBatch.from_arrays([*taken.columns[:-1], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*kept, *_BLOCK])
+
         for batch in batches:
+            # the column of packets isn't taken along: only its number of rows counts
+            others = batch.set_column(len(kept), "data", pa.nulls(batch.num_rows))
             of: list[int] = []
             out: list[list] = [[] for _ in _BLOCK]
             for row, value in enumerate(batch.column(len(kept))):
@@ -209,12 +215,16 @@ def blocks(packets: DataFrame, data: str = "data") -> DataFrame:
                     for column, x in zip(out, (session, first, count, first + k, raw[at + 2 : end]), strict=True):
                         column.append(x)
                     at = end
-            taken = batch.take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*kept, *_BLOCK])
+                if len(of) >= BLOCKS_AT_ONCE:
+                    yield made(others, of, out)
+                    of, out = [], [[] for _ in _BLOCK]
+            yield made(others, of, out)
 
     return rows.mapInArrow(walk, kinds + "session string, first_seq long, block_count int, seq long, payload binary")
 
 
 _BLOCK = ("session", "first_seq", "block_count", "seq", "payload")
+#: Blocks that are held as objects, about, before they leave a task as a batch.
+BLOCKS_AT_ONCE = 8_192
 #: Session, number of the first block, number of blocks.
 _HEAD = ">10sQH"
