@@ -193,3 +193,34 @@ def test_blocks_leave_in_pieces(spark, monkeypatch):
     out = list(itch.blocks(packets)(iter([pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["data"])])))
     assert max(b.num_rows for b in out) <= 50
     assert [(s, p) for b in out for s, p in zip(b["seq"].to_pylist(), b["payload"].to_pylist(), strict=True)] == [(k, b"%d" % k) for k in range(1_000)]
+
+
+def test_sequencer_asks_for_no_block_by_itself():
+    """Blocks that come in turn cost the state no call each."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            State.calls += 1
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+        def update(self, value):
+            self["value"] = value
+
+        def get(self):
+            return self["value"]
+
+        def exists(self):
+            return "value" in self
+
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    one = sequence.Sequencer(0, 1_000)
+    one.next, one.timer, one.held = State(), State(), State()
+    rows = pd.DataFrame({"seq": range(500), "payload": [b"x"] * 500, "received": pd.Timestamp("2024-01-01", tz="UTC")})
+    (out,) = one.handleInputRows(("S",), iter([rows]), clock)
+    assert out["seq"].tolist() == list(range(500)) and State.calls == 0

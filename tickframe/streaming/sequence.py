@@ -48,11 +48,13 @@ class Sequencer(StatefulProcessor):
                 if seq >= turn:
                     came.setdefault(int(seq), (payload, received))
         mark = timerValues.getCurrentWatermarkInMs() + 1
-        out, turn = self._drained(key, turn, came, mark)
+        held = self._numbers()
+        out, turn = self._drained(key, turn, came, held, mark)
         for seq, value in came.items():
-            if not self.held.containsKey((seq,)):
+            if seq not in held:
                 self.held.updateValue((seq,), value)
-        self._left(turn)
+                held.add(seq)
+        self._left(turn, held)
         if out:
             yield pd.DataFrame(out, columns=_NAMES)
 
@@ -61,40 +63,45 @@ class Sequencer(StatefulProcessor):
             return
         self.timer.clear()
         turn = self.next.get()[0] if self.next.exists() else self.first
-        mark, out = timerValues.getCurrentWatermarkInMs() + 1, []
-        while (waiting := self._first_held()) and _ms(waiting[1]) + self.wait_ms < mark:
+        mark, out, held = timerValues.getCurrentWatermarkInMs() + 1, [], self._numbers()
+        while (waiting := self._first_held(held)) and _ms(waiting[1]) + self.wait_ms < mark:
             seq, received = waiting
             out.append((key[0], turn, seq - turn, received, _released(received, mark), None))
-            more, turn = self._drained(key, seq, {}, mark)
+            more, turn = self._drained(key, seq, {}, held, mark)
             out += more
-        self._left(turn)
+        self._left(turn, held)
         if out:
             yield pd.DataFrame(out, columns=_NAMES)
 
-    def _drained(self, key, turn: int, came: dict, mark: int) -> tuple[list[tuple], int]:
-        """What leaves in sequence from turn on, and the number that is next; takes it out of came and held."""
+    def _numbers(self) -> set[int]:
+        """Numbers of the blocks that are held, read once a call: to ask the state for each block is a message to the JVM and back."""
+        return {k[0] for k in self.held.keys()}
+
+    def _drained(self, key, turn: int, came: dict, held: set[int], mark: int) -> tuple[list[tuple], int]:
+        """What leaves in sequence from turn on, and the number that is next; takes it out of came, held and the state."""
         out = []
         while True:
             if turn in came:
                 payload, received = came.pop(turn)
-            elif self.held.containsKey((turn,)):
+            elif turn in held:
                 payload, received = self.held.getValue((turn,))
             else:
                 return out, turn
-            if self.held.containsKey((turn,)):
+            if turn in held:
                 self.held.removeKey((turn,))
+                held.remove(turn)
             out.append((key[0], turn, 0, received, _released(received, mark), payload))
             turn += 1
 
-    def _first_held(self) -> tuple | None:
+    def _first_held(self, held: set[int]) -> tuple | None:
         """Number and receive time of the first block that is held."""
-        seq = min((k[0] for k in self.held.keys()), default=None)
+        seq = min(held, default=None)
         return None if seq is None else (seq, self.held.getValue((seq,))[1])
 
-    def _left(self, turn: int) -> None:
+    def _left(self, turn: int, held: set[int]) -> None:
         """Writes the state; a timer runs for the first block that is held, from when it was received."""
         self.next.update((turn,))
-        waiting = self._first_held()
+        waiting = self._first_held(held)
         at = None if waiting is None else _ms(waiting[1]) + self.wait_ms
         if self.timer.exists():
             if self.timer.get()[0] == at:
