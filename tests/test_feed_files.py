@@ -224,3 +224,109 @@ def test_sequencer_asks_for_no_block_by_itself():
     rows = pd.DataFrame({"seq": range(500), "payload": [b"x"] * 500, "received": pd.Timestamp("2024-01-01", tz="UTC")})
     (out,) = one.handleInputRows(("S",), iter([rows]), clock)
     assert out["seq"].tolist() == list(range(500)) and State.calls == 0
+
+
+def test_sequencer_holds_little(monkeypatch):
+    """Blocks ahead of their turn go to the state while others still come, and all leave in sequence, each once."""
+    import pandas as pd
+
+    class State(dict):
+        calls, most = 0, 0
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key], State.calls = value, State.calls + 1
+            State.most = max(State.most, len(self))
+
+        def getValue(self, key):  # noqa: N802
+            return self[key]
+
+        def removeKey(self, key):  # noqa: N802
+            del self[key]
+
+        def update(self, value):
+            self["value"] = value
+
+        def get(self):
+            return self["value"]
+
+        def exists(self):
+            return "value" in self
+
+    monkeypatch.setattr(sequence, "GATHERED", 1 << 14, raising=False)
+    monkeypatch.setattr(sequence, "CHUNK", 1_000, raising=False)
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    one = sequence.Sequencer(0, 1_000)
+    one.next, one.timer, one.held = State(), State(), State()
+    numbers = [list(range(200 * k, 200 * k + 250)) for k in reversed(range(100))]  # they overlap, and the first comes last
+    frame = lambda seq: pd.DataFrame({"seq": seq, "payload": [b"%d" % k for k in seq], "received": pd.Timestamp("2024-01-01", tz="UTC")})
+    early = []
+
+    def rows():
+        for k, seq in enumerate(numbers):
+            if k == 50:
+                early.append(len(one.held))
+            yield frame(seq)
+
+    out = pd.concat(list(one.handleInputRows(("S",), rows(), clock)))
+    assert out["seq"].tolist() == list(range(20_050)) and out["payload"].tolist() == [b"%d" % k for k in range(20_050)]
+    assert early[0] > 0 and not one.held and State.most < 1_000 and State.calls < 1_000
+
+
+def test_packs(spark):
+    """Rows by session, null too, with the newest time of a pack; nothing is lost."""
+    import pyarrow as pa
+
+    from tickframe.streaming import packs
+
+    times = pa.array([5, 9, 2, 7, 1], pa.timestamp("us", "UTC"))
+    columns = {"session": ["X", "Y", None, "X", "Y"], "seq": [3, 1, 0, 4, 2], "received": times, "payload": [b"c", b"a", None, b"d", b"b"]}
+    (out,) = packs.packed(iter(pa.table(columns).to_batches()), "session", pa.string(), sequence.PACK, "received")
+    got = {s: (at.value, packs.rows_of([p], sequence.PACK).select(["seq", "payload"]).to_pylist()) for s, at, p in zip(out["session"].to_pylist(), out["at"], out["pack"].to_pylist(), strict=True)}
+    row = lambda seq, payload: {"seq": seq, "payload": payload}
+    assert got == {"X": (7, [row(3, b"c"), row(4, b"d")]), "Y": (9, [row(1, b"a"), row(2, b"b")]), None: (2, [row(0, None)])}
+
+
+def test_live_books_ask_once_for_a_security():
+    """Orders of a security come from the state and go there as one value; ids have all their 64 bits."""
+    import pyarrow as pa
+
+    from tickframe.streaming import live, packs
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            State.calls += 1
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            State.calls += 1
+            self[key] = value
+
+        def getValue(self, key):  # noqa: N802
+            State.calls += 1
+            return self[key]
+
+        def removeKey(self, key):  # noqa: N802
+            State.calls += 1
+            del self[key]
+
+    import pandas as pd
+
+    high, books = 1 << 60, live.LiveBooks()
+    books.books = State()
+
+    def quotes(*messages):
+        rows = pa.Table.from_pylist([dict(zip(live.PACK.names, m, strict=True)) for m in messages], live.PACK)
+        (frame,) = books.handleInputRows((0,), iter([pd.DataFrame({"pack": [packs.bytes_of(rows)]})]), None)
+        return frame[["stock", "seq", "qty", "bid_px", "bid_qty"]].values.tolist()
+
+    adds = [(7, k, "A", high + k, None, "B", 10, 100 + k) for k in range(300)]
+    assert quotes(*reversed(adds))[-1] == [7, 299, 10, 399, 10] and State.calls == 2
+    replaced = (7, 300, "U", high + 299, high + 1_001, None, 20, 500)
+    assert quotes(replaced, (8, 0, "A", 1, None, "B", 5, 9)) == [[7, 300, 20, 500, 20], [8, 0, 5, 9, 5]]
+    assert quotes((7, 301, "D", high + 1_001, None, None, None, None)) == [[7, 301, -20, 398, 10]]
+    assert quotes((8, 1, "X", 1, None, None, 5, None)) == [[8, 1, -5, 0, 0]] and list(books.books) == [(7,)]

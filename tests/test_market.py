@@ -259,6 +259,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out")).select(*names)) == key(batch)
 
 
+def test_live_ids_have_64_bits(spark, tmp_path):
+    """A replaced order's new id beyond 2^53 is found again, also when other messages have none."""
+    high = (1 << 60) + 1
+    log = [(1, 0, "A", 5, None, "B", 10, 100), (1, 1, "U", 5, high, None, 20, 200), (1, 2, "X", high, None, None, 5, None)]
+    names = "stock long, seq long, type string, order_id long, new_order_id long, side string, shares long, px long"
+    spark.createDataFrame(log, names).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run_available(live_quotes(spark.readStream.schema(names).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("seq", "qty", "bid_px", "bid_qty").collect()
+    assert [tuple(r) for r in got] == [(0, 10, 100, 10), (1, 20, 200, 20), (2, -5, 200, 15)]
+
+
 def test_feed_handler(spark, tmp_path):
     """Packets in files, over two micro-batches, to several outputs."""
     log = [(k, 1, *m) for k, m in enumerate([("A", 1, "B", 500, 100000), ("A", 2, "B", 100, 110000), ("F", 3, "S", 50, 120000), ("A", 4, "B", 5, 90000)])]

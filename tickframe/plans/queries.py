@@ -557,7 +557,6 @@ def live_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tickframe.sources.capture import CaptureSource, record
     from tickframe.sources.encode import packets as packed
-    from tickframe.sources.itch import blocks
     from tickframe.sources.shared import shared_path
     from tickframe.streaming import live, sequence
 
@@ -571,15 +570,14 @@ def live_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent.write.parquet(path)
     sent = spark.read.parquet(path)
     packet = sent.withColumn("packet", F.floor(F.col("number") / PACKET_BLOCKS))
-    packet = packed(packet, ["session", "packet"], F.col("session"), "number", also={"ts_us": F.max("ts_us")})
+    packet = kept(packed(packet, ["session", "packet"], F.col("session"), "number", also={"ts_us": F.max("ts_us")}), "packets")
     captured = shared_path(spark, "captured")
     for channel in (1, 3):
-        kept = packet.where(F.col("packet") % 5 != channel)
+        came = packet.where(F.col("packet") % 5 != channel)
         shaken = F.col("packet") + F.pmod(F.xxhash64("session", "packet", F.lit(channel)), F.lit(6))
-        kept = kept.repartitionByRange("ts_us").sortWithinPartitions(shaken, "session")
-        kept.select(record(F.col("data"), F.col("ts_us")).alias("data")).write.format("itch5").options(records="packets").mode("append").save(captured)
-    came = blocks(spark.readStream.format("capture").load(captured))
-    in_turn = sequence.sequenced(came.select("session", "seq", "received", "payload"), late="3650 days")
+        came = came.repartitionByRange("ts_us").sortWithinPartitions(shaken, "session")
+        came.select(record(F.col("data"), F.col("ts_us")).alias("data")).write.format("itch5").options(records="packets").mode("append").save(captured)
+    in_turn = sequence.sequenced_packets(spark.readStream.format("capture").load(captured), late="3650 days")
     quotes = live.live_quotes(live.messages(in_turn.where("missing = 0")))
     out = shared_path(spark, "live")
     live.run_available(quotes, f"{out}/rows", f"{out}/checkpoint")

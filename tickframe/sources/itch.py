@@ -13,6 +13,7 @@ import gzip
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -188,39 +189,42 @@ def blocks(packets: DataFrame, data: str = "data") -> DataFrame:
     rows = packets.select(*kept, data)
     kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*kept).dtypes)
 
-    def walk(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        def made(batch, of: list[int], out: list[list]):
-            taken = batch.take(pa.array(of, pa.int64()))
-            return pa.RecordBatch.from_arrays([*taken.columns[:-1], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*kept, *_BLOCK])
-
-        for batch in batches:
-            # the column of packets isn't taken along: only its number of rows counts
-            others = batch.set_column(len(kept), "data", pa.nulls(batch.num_rows))
-            of: list[int] = []
-            out: list[list] = [[] for _ in _BLOCK]
-            for row, value in enumerate(batch.column(len(kept))):
-                raw = value.as_py() or b""
-                if len(raw) < struct.calcsize(_HEAD):
-                    continue
-                name, first, count = struct.unpack_from(_HEAD, raw)
-                session, at = name.decode("latin-1").rstrip(" "), struct.calcsize(_HEAD)
-                for k in range(count):
-                    end = at + 2 + int.from_bytes(raw[at : at + 2], "big")
-                    if at + 2 > len(raw) or end > len(raw):
-                        break
-                    of.append(row)
-                    for column, x in zip(out, (session, first, count, first + k, raw[at + 2 : end]), strict=True):
-                        column.append(x)
-                    at = end
-                if len(of) >= BLOCKS_AT_ONCE:
-                    yield made(others, of, out)
-                    of, out = [], [[] for _ in _BLOCK]
-            yield made(others, of, out)
-
-    return rows.mapInArrow(walk, kinds + "session string, first_seq long, block_count int, seq long, payload binary")
+    return rows.mapInArrow(partial(walked, kept=kept), kinds + "session string, first_seq long, block_count int, seq long, payload binary")
+
+
+def walked(batches: Iterator, kept: list[str]) -> Iterator:
+    """The blocks of packets, of batches with the columns kept and the packets' bytes after them."""
+    import pyarrow as pa
+
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def made(batch, of: list[int], out: list[list]):
+        taken = batch.take(pa.array(of, pa.int64()))
+        return pa.RecordBatch.from_arrays([*taken.columns[:-1], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*kept, *_BLOCK])
+
+    for batch in batches:
+        # the column of packets isn't taken along: only its number of rows counts
+        others = batch.set_column(len(kept), "data", pa.nulls(batch.num_rows))
+        of: list[int] = []
+        out: list[list] = [[] for _ in _BLOCK]
+        for row, value in enumerate(batch.column(len(kept))):
+            raw = value.as_py() or b""
+            if len(raw) < struct.calcsize(_HEAD):
+                continue
+            name, first, count = struct.unpack_from(_HEAD, raw)
+            session, at = name.decode("latin-1").rstrip(" "), struct.calcsize(_HEAD)
+            for k in range(count):
+                end = at + 2 + int.from_bytes(raw[at : at + 2], "big")
+                if at + 2 > len(raw) or end > len(raw):
+                    break
+                of.append(row)
+                for column, x in zip(out, (session, first, count, first + k, raw[at + 2 : end]), strict=True):
+                    column.append(x)
+                at = end
+            if len(of) >= BLOCKS_AT_ONCE:
+                yield made(others, of, out)
+                of, out = [], [[] for _ in _BLOCK]
+        yield made(others, of, out)
 
 
 _BLOCK = ("session", "first_seq", "block_count", "seq", "payload")

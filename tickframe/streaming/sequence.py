@@ -4,22 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickframe.sources.itch import walked
+from tickframe.streaming import packs
 from tickframe.streaming.live import _ROCKS
 
 BLOCKS = "session string, seq long, missing long, received timestamp, released timestamp, payload binary"
 _NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
+#: Blocks in a pack.
+PACK = pa.schema([("seq", pa.int64()), ("received", pa.timestamp("us", "UTC")), ("payload", pa.binary())])
+#: Numbers of a chunk, whose blocks are held together, and bytes of blocks that a task gathers before they leave or go to the state, about.
+CHUNK, GATHERED = 1 << 14, 32 << 20
 
 
-def _released(received, mark_ms: int) -> pd.Timestamp:
-    return max(pd.Timestamp(received), pd.Timestamp(mark_ms, unit="ms", tz=pd.Timestamp(received).tz))
+def _blocks(frame: pd.DataFrame) -> pa.Table:
+    """The blocks of a frame of packs, or of one with a row for each block."""
+    if "pack" in frame:
+        return packs.rows_of(frame["pack"], PACK)
+    return pa.Table.from_pandas(frame[PACK.names], PACK, preserve_index=False)
 
 
-def _ms(received) -> int:
-    return int(pd.Timestamp(received).timestamp() * 1000)
+def _micros(blocks: pa.Table) -> np.ndarray:
+    return blocks["received"].cast(pa.int64()).to_numpy()
+
+
+def _ordered(tables: list[pa.Table], turn: int) -> pa.Table:
+    """The blocks from turn on in the order of their numbers, each once, as it was first received."""
+    blocks = pa.concat_tables(tables).combine_chunks()
+    seq = blocks["seq"].to_numpy()
+    kept = np.flatnonzero(seq >= turn)
+    order = kept[np.lexsort((_micros(blocks)[kept], seq[kept]))]
+    return blocks.take(order[np.diff(seq[order], prepend=turn - 1) != 0])
 
 
 class Sequencer(StatefulProcessor):
@@ -27,7 +47,8 @@ class Sequencer(StatefulProcessor):
 
     A block ahead of its turn is held. If the missing ones haven't come when the watermark is wait_ms past the first
     one that is held, a row with missing, the number of blocks given up from seq on, takes their place, and what was held goes on.
-    Blocks that come after they were given up, or for a second time, are left out. Only what is held is in the state.
+    Blocks that come after they were given up, or for a second time, are left out. Only what is held is in the state, in packs of a
+    chunk of numbers, so that a task has about GATHERED bytes and a chunk in memory, however many blocks come in a micro-batch.
     released is the stream's time at which a block leaves, never before the watermark, as what is held grows old.
     """
 
@@ -38,71 +59,88 @@ class Sequencer(StatefulProcessor):
         self.handle = handle
         self.next = handle.getValueState("next", "seq long")
         self.timer = handle.getValueState("timer", "at long")
-        self.held = handle.getMapState("held", "seq long", "payload binary, received timestamp")
+        self.held = handle.getMapState("held", "chunk long, part long", "pack binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turn = self.next.get()[0] if self.next.exists() else self.first
-        came = {}
-        for part in rows:
-            for seq, payload, received in zip(part["seq"], part["payload"], part["received"], strict=True):
-                if seq >= turn:
-                    came.setdefault(int(seq), (payload, received))
-        mark = timerValues.getCurrentWatermarkInMs() + 1
-        held = self._numbers()
-        out, turn = self._drained(key, turn, came, held, mark)
-        for seq, value in came.items():
-            if seq not in held:
-                self.held.updateValue((seq,), value)
-                held.add(seq)
-        self._left(turn, held)
-        if out:
-            yield pd.DataFrame(out, columns=_NAMES)
+        turn, parts = self._turn(), self._parts()
+        mark, came, size = timerValues.getCurrentWatermarkInMs() + 1, [], 0
+        for frame in rows:
+            came.append(_blocks(frame))
+            size += came[-1].nbytes
+            if size >= GATHERED:
+                turn = yield from self._settled(key, turn, came, parts, mark)
+                came, size = [], 0
+        if came:
+            turn = yield from self._settled(key, turn, came, parts, mark)
+        self._left(turn, parts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
             return
         self.timer.clear()
-        turn = self.next.get()[0] if self.next.exists() else self.first
-        mark, out, held = timerValues.getCurrentWatermarkInMs() + 1, [], self._numbers()
-        while (waiting := self._first_held(held)) and _ms(waiting[1]) + self.wait_ms < mark:
+        turn, parts, mark = self._turn(), self._parts(), timerValues.getCurrentWatermarkInMs() + 1
+        while (waiting := self._first_held(turn, parts)) and waiting[1] // 1000 + self.wait_ms < mark:
             seq, received = waiting
-            out.append((key[0], turn, seq - turn, received, _released(received, mark), None))
-            more, turn = self._drained(key, seq, {}, held, mark)
-            out += more
-        self._left(turn, held)
-        if out:
-            yield pd.DataFrame(out, columns=_NAMES)
-
-    def _numbers(self) -> set[int]:
-        """Numbers of the blocks that are held, read once a call: to ask the state for each block is a message to the JVM and back."""
-        return {k[0] for k in self.held.keys()}
-
-    def _drained(self, key, turn: int, came: dict, held: set[int], mark: int) -> tuple[list[tuple], int]:
-        """What leaves in sequence from turn on, and the number that is next; takes it out of came, held and the state."""
-        out = []
-        while True:
-            if turn in came:
-                payload, received = came.pop(turn)
-            elif turn in held:
-                payload, received = self.held.getValue((turn,))
-            else:
-                return out, turn
-            if turn in held:
-                self.held.removeKey((turn,))
-                held.remove(turn)
-            out.append((key[0], turn, 0, received, _released(received, mark), payload))
-            turn += 1
-
-    def _first_held(self, held: set[int]) -> tuple | None:
-        """Number and receive time of the first block that is held."""
-        seq = min(held, default=None)
-        return None if seq is None else (seq, self.held.getValue((seq,))[1])
-
-    def _left(self, turn: int, held: set[int]) -> None:
+            yield _frame(key, turn, seq - turn, [received], mark, None)
+            turn = yield from self._settled(key, seq, [], parts, mark)
+        self._left(turn, parts)
+
+    def _turn(self) -> int:
+        return self.next.get()[0] if self.next.exists() else self.first
+
+    def _parts(self) -> dict[int, list[int]]:
+        """Numbers of the packs that are held, by chunk, read once a call."""
+        found = {}
+        for chunk, part in self.held.keys():
+            found.setdefault(chunk, []).append(part)
+        return found
+
+    def _settled(self, key, turn: int, came: list[pa.Table], parts: dict, mark: int) -> Iterator[pd.DataFrame]:
+        """Frames of what leaves in sequence from turn on, then the number that is next; the rest of came is held."""
+        new = _by_chunk(_ordered(came, turn)) if came else {}
+        reached = not came
+        while (chunk := turn // CHUNK) in new or (reached and chunk in parts):
+            own = _ordered([*self._read(chunk, parts), *([new.pop(chunk)] if chunk in new else [])], turn)
+            self._removed(chunk, parts)
+            seq = own["seq"].to_numpy()
+            count = int((seq == turn + np.arange(len(seq))).sum())  # numbers only grow, so those in their places come first
+            if count:
+                yield _frame(key, seq[:count], 0, _micros(own)[:count], mark, own["payload"].slice(0, count).to_numpy())
+                turn += count
+            if count < len(seq):
+                self._hold(chunk, own.slice(count), parts)
+            reached = turn // CHUNK != chunk
+            if not reached:
+                break
+        for chunk, blocks in new.items():
+            self._hold(chunk, blocks, parts)
+        return turn
+
+    def _read(self, chunk: int, parts: dict) -> list[pa.Table]:
+        found = [self.held.getValue((chunk, part))[0] for part in parts.get(chunk, ())]
+        return [packs.rows_of(found, PACK)] if found else []
+
+    def _removed(self, chunk: int, parts: dict) -> None:
+        for part in parts.pop(chunk, ()):
+            self.held.removeKey((chunk, part))
+
+    def _hold(self, chunk: int, blocks: pa.Table, parts: dict) -> None:
+        own = parts.setdefault(chunk, [])
+        own.append(max(own, default=-1) + 1)
+        self.held.updateValue((chunk, own[-1]), (packs.bytes_of(blocks),))
+
+    def _first_held(self, turn: int, parts: dict) -> tuple[int, int] | None:
+        """Number and receive time, in microseconds, of the first block that is held."""
+        if not parts:
+            return None
+        first = _ordered(self._read(min(parts), parts), turn).slice(0, 1)
+        return first["seq"][0].as_py(), int(_micros(first)[0])
+
+    def _left(self, turn: int, parts: dict) -> None:
         """Writes the state; a timer runs for the first block that is held, from when it was received."""
         self.next.update((turn,))
-        waiting = self._first_held(held)
-        at = None if waiting is None else _ms(waiting[1]) + self.wait_ms
+        waiting = self._first_held(turn, parts)
+        at = None if waiting is None else waiting[1] // 1000 + self.wait_ms
         if self.timer.exists():
             if self.timer.get()[0] == at:
                 return
@@ -113,13 +151,49 @@ class Sequencer(StatefulProcessor):
             self.handle.registerTimer(at)
 
 
+def _by_chunk(blocks: pa.Table) -> dict[int, pa.Table]:
+    """Blocks in order, cut at the ends of chunks."""
+    number = blocks["seq"].to_numpy() // CHUNK
+    found, at = np.unique(number, return_index=True)
+    ends = [*at[1:].tolist(), len(number)]
+    return {chunk: blocks.slice(a, b - a) for chunk, a, b in zip(found.tolist(), at.tolist(), ends, strict=False)}
+
+
+def _frame(key, seq, missing: int, received, mark: int, payload) -> pd.DataFrame:
+    received = np.asarray(received, np.int64)
+    at = lambda us: pd.to_datetime(us, unit="us", utc=True)
+    columns = (key[0], seq, missing, at(received), at(np.maximum(received, mark * 1000)), payload)
+    return pd.DataFrame(dict(zip(_NAMES, columns, strict=True)))
+
+
 def sequenced(blocks: DataFrame, wait_ms: int = 1_000, late: str = "10 seconds", first: int = 0) -> DataFrame:
     """session, seq, missing, received, released, payload: a stream of blocks (session, seq, received, payload; any number of channels) in sequence.
 
-    Rows with missing above 0 stand for blocks from seq on that never came. Sessions are the unit of parallel work.
-    late is how far channels may lie apart in receive time; blocks older than the watermark are left out by Spark.
-    Sets spark.sql.streaming.stateStore.providerClass for the session.
+    Rows with missing above 0 stand for blocks from seq on that never came. Sessions are the unit of parallel work; their blocks are
+    packed before they are shuffled. late is how far channels may lie apart in receive time; packs whose newest block is older than the
+    watermark are left out by Spark. Sets spark.sql.streaming.stateStore.providerClass for the session.
     """
-    blocks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    rows = blocks.select("session", "seq", "received", "payload").withWatermark("received", late)
-    return rows.groupBy("session").transformWithStateInPandas(Sequencer(first, wait_ms), BLOCKS, "append", "EventTime", eventTimeColumnName="released")
+    return _sequenced(blocks.select("session", "seq", "received", "payload").where("seq is not null").mapInArrow(_packed, _PACKS), wait_ms, late, first)
+
+
+def sequenced_packets(packets: DataFrame, wait_ms: int = 1_000, late: str = "10 seconds", first: int = 0) -> DataFrame:
+    """sequenced() of the blocks of packets (received, data), which are packed as they are read out of their packets."""
+    return _sequenced(packets.select("received", "data").mapInArrow(_packed_packets, _PACKS), wait_ms, late, first)
+
+
+_PACKS = "session string, at timestamp, pack binary"
+
+
+def _packed(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return packs.packed(blocks, "session", pa.string(), PACK, "received")
+
+
+def _packed_packets(packets: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _packed(walked(packets, ["received"]))
+
+
+def _sequenced(packed: DataFrame, wait_ms: int, late: str, first: int) -> DataFrame:
+    packed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    packs.small_batches(packed.sparkSession)
+    sessions = packed.withWatermark("at", late).groupBy("session")
+    return sessions.transformWithStateInPandas(Sequencer(first, wait_ms), BLOCKS, "append", "EventTime", eventTimeColumnName="released")
